@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kinweave.plans.lineage import cut
 from kinweave.plans.ordinals import (
     block_of,
     blocks_between,
@@ -98,21 +99,21 @@ class Catalog:
             F.sum(F.col("size") - 1).alias("edge_count"),
         )
         listed = self.datasets.select("node_id").distinct()
-        return listed.join(held, "node_id", "full_outer").select(
+        return cut(listed.join(held, "node_id", "full_outer").select(
             "node_id",
             F.coalesce("node_first", F.lit(0)).cast("bigint").alias("node_first"),
             F.coalesce("node_size", F.lit(0)).cast("bigint").alias("node_size"),
             F.coalesce("edge_count", F.lit(0)).cast("bigint").alias("edge_count"),
-        )
+        ))
 
     @cached_property
     def entities(self) -> DataFrame:
         """One row per logical entity that is registered or realised, with its posting size."""
         held = self.members.groupBy("identity_id").agg(F.first("size").alias("size"))
-        listed = self.identities.select("identity_id", "name").dropDuplicates(["identity_id"])
-        return listed.join(held, "identity_id", "full_outer").select(
+        listed = self.identities.groupBy("identity_id").agg(F.min("name").alias("name"))
+        return cut(listed.join(held, "identity_id", "full_outer").select(
             "identity_id", "name", F.coalesce("size", F.lit(0)).cast("bigint").alias("size")
-        )
+        ))
 
     @cached_property
     def column_ids(self) -> DataFrame:

@@ -285,7 +285,7 @@ UNION ALL SELECT 'entity_definition', 'entity_universe', {held} || 'entity_unive
 UNION ALL SELECT 'entity_definition', 'total', {held} || 'total' FROM m WHERE total IS NULL
 UNION ALL SELECT 'entity_definition', 'unique', {held} || 'unique' FROM m WHERE uniq IS NULL""",
         "accessor_warnings": """WITH a AS (SELECT 'order:' || o_orderkey AS node_id, length('{"endpoint":"orders","kind":"table","labels":{"status":"' || o_orderstatus || '"},"properties":{"key":"' || o_orderkey || '"}}') AS length FROM orders)
-SELECT node_id, length, 'nodes[' || node_id || '].accessor: ' || length || ' characters exceeds the 84-character soft limit' AS message FROM a WHERE length > 84""",
+SELECT node_id, length, 'nodes[' || node_id || '].accessor: ' || length || ' characters exceeds the 87-character soft limit' AS message FROM a WHERE length > 87""",
         "catalog_counts": "WITH " + ORDERS + """ e AS (SELECT 1) SELECT NULL::VARCHAR AS version, (SELECT count(*) FROM orders) AS node_count, (SELECT count(*) FROM defs) AS entity_definition_count,
 (SELECT count(*) FROM part) AS identity_count, 0::BIGINT AS entity_relationship_count""",
         "measured_keys": keys,
@@ -363,7 +363,7 @@ UNION ALL SELECT o_orderkey, '$.datasets[0].rows', 'unknown_key', 'info' FROM or
 UNION ALL SELECT doc_id, loc, 'edge_key', 'error' FROM e WHERE broken AND doc_id % 6 <> 0
 UNION ALL SELECT doc_id, loc || '.edge', 'dangling_reference', 'warning' FROM e WHERE t_node <> node_id AND doc_id % 6 <> 0""",
         "document_differences": prelude + """
-SELECT doc_id, loc AS location, 'unknown_element' AS rule, 'error' AS severity FROM e WHERE broken OR t_node = node_id AND false
+SELECT doc_id, loc AS location, 'unknown_element' AS rule, 'error' AS severity FROM e WHERE broken
 UNION ALL SELECT o_orderkey, '$.datasets[''order:' || o_orderkey || '''].descriptor.description', 'graph_mismatch', 'error' FROM orders WHERE o_orderkey % 4 = 0""",
         "document_sentences": prelude + f""", names AS (SELECT doc_id, node_id, cast(doc_id AS VARCHAR) AS nm FROM e GROUP BY ALL)
 SELECT doc_id, CASE WHEN broken THEN 'D' || t_ord || '-D' || s_ord ELSE 'D' || s_ord || '-D' || t_ord END AS edge_id, {sentence} AS forward

@@ -367,7 +367,7 @@ def unknown_claims(spark, folder):
 
 @query
 def accessor_warnings(spark, folder):
-    return integrity.accessor_warnings(membership.order_catalog(spark, folder), 84)
+    return integrity.accessor_warnings(membership.order_catalog(spark, folder), 87)
 
 
 @query

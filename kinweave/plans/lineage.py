@@ -29,8 +29,3 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` materialised with its partition layout, and without its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def width(spark: SparkSession) -> int:
-    """Partitions to ask for when a plan fixes its own layout."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from kinweave.plans.lineage import cut, width
+from kinweave.plans.lineage import cut
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
@@ -26,9 +26,10 @@ CLAIMS = ["entity_universe", "unique", "total", "conforms"]
 def dense_ordinal(df: DataFrame, order_by: list[str], name: str = "ord") -> DataFrame:
     """``df`` plus ``name``: 1-based rank by ``order_by``, whose values must be unique."""
     keys = [F.col(c) for c in order_by]
-    placed = cut(
-        df.repartitionByRange(width(df.sparkSession), *keys).sortWithinPartitions(*keys)
-    ).withColumn("_row", F.monotonically_increasing_id())
+    # No partition count is named, so adaptive execution fits it to the data before the cut fixes it.
+    placed = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys)).withColumn(
+        "_row", F.monotonically_increasing_id()
+    )
     partition = F.shiftright("_row", _ROW_BITS)
     # One row per partition from here on, so the global window and the broadcast are bounded.
     counts = placed.groupBy(partition.alias("_part")).agg(F.count("*").alias("_n"))
@@ -96,7 +97,7 @@ def membership_index(definitions: DataFrame, block_rows: int) -> DataFrame:
         "ord", *DEFINITION_KEY, *CLAIMS,
         "node_first", "node_size", "node_block", "pos", "size", "entity_block",
     )
-    return cut(rows.repartition(width(definitions.sparkSession), "identity_id", "entity_block"))
+    return cut(rows.repartition("identity_id", "entity_block"))
 
 
 def table_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.catalog import TABLES, Catalog
 from kinweave.operators.integrity import integrity
-from kinweave.plans.lineage import width
 from kinweave.sources.collections import NODE, STATED, catalog_from_files
 
 _CLUSTER = {"definitions": "identity_id", "columns": "node_id", "datasets": "node_id"}
@@ -32,7 +31,7 @@ def publish(cat: Catalog, root: str, version: str | None = None) -> str:
             table = cat.spark.range(1).select(F.lit(version).alias("version"))
         elif name in _CLUSTER:
             key = _CLUSTER[name]
-            table = table.repartitionByRange(width(cat.spark), key).sortWithinPartitions(key)
+            table = table.repartitionByRange(key).sortWithinPartitions(key)
         table.write.mode("errorifexists").parquet(f"{folder}/{name}")
     faults = integrity(_read(cat.spark, folder, cat.block_rows)).limit(5).collect()
     if faults:

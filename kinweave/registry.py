@@ -20,7 +20,7 @@ from kinweave.operators import (
 )
 from kinweave.plans.lineage import cut
 from kinweave.sources import membership
-from kinweave.sources.membership import read_table
+from kinweave.sources.membership import read_table, read_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -395,14 +395,14 @@ def catalog_fingerprint(spark, folder):
 
 @query
 def normalized_documents(spark, folder):
-    docs = read_table(spark, folder, "documents")
+    docs = read_texts(spark, folder, "documents")
     return docs.select("doc_id", text.normalize_term(F.col("text")).alias("n")).select("doc_id", F.md5("n").alias("digest"), F.char_length("n").cast("bigint").alias("length"))
 
 
 @query
 def term_frequencies(spark, folder):
     """In how many documents each term occurs, the whole text counting as a term too."""
-    docs = read_table(spark, folder, "documents").select("doc_id", text.normalize_term(F.col("text")).alias("n"))
+    docs = read_texts(spark, folder, "documents").select("doc_id", text.normalize_term(F.col("text")).alias("n"))
     terms = docs.select("doc_id", F.explode(text.index_terms(F.col("n"))).alias("term"))
     return terms.groupBy(F.md5("term").alias("term")).agg(F.count("*").alias("document_count"))
 

@@ -11,6 +11,17 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of long texts, spread out when its files make fewer tasks than the session can run.
+
+    Text work is heavy per row, and one small file is one task. Large tables have enough splits and
+    are read as they are, without a shuffle.
+    """
+    table = read_table(spark, folder, name)
+    wanted = spark.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= wanted else table.repartition(wanted)
+
+
 def _id(prefix: str, key: str):
     return F.concat(F.lit(prefix + ":"), F.col(key).cast("string"))
 
@@ -122,7 +133,7 @@ def supply_catalog(spark: SparkSession, folder: str, block_rows: int = DEFAULT_B
 
 def library_catalog(spark: SparkSession, folder: str, block_rows: int = DEFAULT_BLOCK_ROWS) -> Catalog:
     """A catalog to search: documents and parts are entities, suppliers are datasets."""
-    documents = read_table(spark, folder, "documents").select(
+    documents = read_texts(spark, folder, "documents").select(
         _id("doc", "doc_id").alias("identity_id"),
         F.concat(F.col("lang"), F.lit(" "), F.col("source")).alias("name"),
         F.col("text").alias("description"), F.array("lang", "source").alias("synonyms"),

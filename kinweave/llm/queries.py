@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinweave.llm import label_sharding, line_frequency, mixing
+from kinweave.llm import label_sharding, line_frequency, mixing, positional_index, token_codes
 from kinweave.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,12 +23,26 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+@query
+def op2_positional_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = positional_index.contamination(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 @query
 def op3_line_frequency_rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_frequency.quality_rules(documents(spark, folder)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed")
 
 
+@query
+def op4_token_codes(spark: SparkSession, folder: str) -> DataFrame:
+    path = token_codes.shared_folder(spark, "token-codes")
+    token_codes.write_tokens(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), path)
+    return token_codes.read_documents(spark, path)
+
+
 @query
 def op5_pivotal_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")

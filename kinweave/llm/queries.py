@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinweave.llm import label_sharding, line_frequency, mixing, positional_index, token_codes
+from kinweave.llm import (
+    label_sharding, line_frequency, mixing, ordinal_quality, positional_index, rank_profiles, token_codes,
+)
 from kinweave.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,10 +50,21 @@ def op5_pivotal_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op6_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = ordinal_quality.quality_model(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    return ordinal_quality.grade_documents(docs, model, ["doc_id"])
+
+
 @query
 def op8_label_shards(spark: SparkSession, folder: str) -> DataFrame:
     return label_sharding.shard_documents(documents(spark, folder))
 
+@query
+def op9_rank_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    return rank_profiles.predict_languages(documents(spark, folder))
+
 
 def oracle_sql() -> dict[str, str]:
     return {}

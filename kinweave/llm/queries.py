@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.llm import (
-    label_sharding, line_frequency, mixing, ordinal_quality, positional_index, rank_profiles, token_codes,
+    label_sharding, line_frequency, mixing, ordinal_quality, positional_index, rank_profiles, suffix_dedup,
+    token_codes,
 )
 from kinweave.llm.common import documents
 
@@ -65,6 +66,12 @@ def op8_label_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op9_rank_profiles(spark: SparkSession, folder: str) -> DataFrame:
     return rank_profiles.predict_languages(documents(spark, folder))
 
+@query
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    changed, untouched = suffix_dedup.remove_repeats(documents(spark, folder))
+    changed = changed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return changed.unionByName(untouched.withColumn("n_removed", F.lit(0).cast("bigint")))
+
 
 def oracle_sql() -> dict[str, str]:
     return {}

@@ -15,8 +15,7 @@ A run of ``width`` words is removed from a document if it also starts in a docum
 4. Later occurrences of a passage go as a whole; its first one loses what the automaton found.
 
 Sending every automaton to every document would cost shards x documents; with the anchors a document
-only meets the shards that can match it. Anchors travel in packed blocks; an anchor that is frequent
-within a task is sent on once, and its documents take part in a join that Spark can split.
+only meets the shards that can match it.
 """
 
 from __future__ import annotations
@@ -30,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.llm.batches import Piece, mix, pieces, split
+from kinweave.llm.shared_keys import shared_keys
 from kinweave.llm.token_codes import shared_folder
 from kinweave.plans.shipping import ship_by_value
 
@@ -37,8 +37,6 @@ ship_by_value(__name__)
 
 GRAM = 6  # words of an anchor
 SHARD = 150_000  # words of a reference shard
-FREQUENT = 64  # documents of one task that make an anchor frequent
-BUCKETS = 1024
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -84,114 +82,15 @@ def _piece_anchors(piece: Piece, width: int) -> tuple[np.ndarray, np.ndarray]:
     return row[fresh], anchors[fresh]
 
 
-PACKED = "bucket int, anchors binary, docs binary, tops binary, frequent boolean"
+def _anchors(width: int):
+    def extract(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for piece in pieces(batch.column(1)):
+            row, anchors = _piece_anchors(piece, width)
+            if len(row):
+                yield ids[piece.first : piece.last][row], anchors
 
-
-def _pack(width: int):
-    """Blocks of sorted anchors with their documents; frequent ones once with their range, and apart with all documents."""
-
-    def block(bucket: int, anchors: np.ndarray, docs: np.ndarray, tops: np.ndarray, frequent: bool) -> dict:
-        return {"bucket": bucket, "anchors": anchors.astype("<u8").tobytes(), "docs": docs.astype("<i8").tobytes(),
-                "tops": tops.astype("<i8").tobytes(), "frequent": frequent}
-
-    def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("anchors", pa.binary()), ("docs", pa.binary()), ("tops", pa.binary()), ("frequent", pa.bool_())])
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            anchors, docs = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((docs, anchors))
-            anchors, docs = anchors[order], docs[order]
-            new = np.ones(len(anchors), dtype=bool)
-            new[1:] = anchors[1:] != anchors[:-1]
-            first = np.flatnonzero(new)
-            counts = np.diff(np.append(first, len(anchors)))
-            often = counts > FREQUENT
-            rows = []
-            if often.any():
-                rows.append(block(-1, anchors[(each := np.repeat(often, counts))], docs[each], docs[:0], True))
-                top = docs[first[often] + counts[often] - 1]
-                cold = ~each
-                extra_a, extra_d, extra_t = anchors[first[often]], docs[first[often]], top
-            else:
-                cold = np.ones(len(anchors), dtype=bool)
-                extra_a, extra_d, extra_t = anchors[:0], docs[:0], docs[:0]
-            at = (anchors >> np.uint64(53)).astype(np.int64)
-            at_extra = (extra_a >> np.uint64(53)).astype(np.int64)
-            bounds = np.searchsorted(at, np.arange(BUCKETS + 1))
-            extra = np.searchsorted(at_extra, np.arange(BUCKETS + 1))
-            for b in range(BUCKETS):
-                s = slice(bounds[b], bounds[b + 1])
-                if bounds[b] < bounds[b + 1]:
-                    rows.append(block(b, anchors[s][cold[s]], docs[s][cold[s]], docs[:0], False))
-                if extra[b] < extra[b + 1]:
-                    e = slice(extra[b], extra[b + 1])
-                    rows.append(block(b, extra_a[e], extra_d[e], extra_t[e], True))
-            held.clear()
-            return pa.RecordBatch.from_pylist(rows, schema=schema)
-
-        for batch in batch_iter:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for piece in pieces(batch.column(1)):
-                row, anchors = _piece_anchors(piece, width)
-                if len(row):
-                    held.append((anchors, ids[piece.first : piece.last][row]))
-                    size += len(row)
-                if size > 4_000_000:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
-
-    return run
-
-
-def _owners(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, anchor, owner) of anchors with several documents; doc_id NULL for the frequent ones."""
-    held: dict[int, list] = {}
-    for batch in batch_iter:
-        for r in batch.to_pylist():
-            held.setdefault(r["bucket"], []).append((np.frombuffer(r["anchors"], "<u8"), np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["tops"], "<i8"), r["frequent"]))
-    for blocks in held.values():
-        anchors = np.concatenate([a for a, _, _, _ in blocks])
-        docs = np.concatenate([d for _, d, _, _ in blocks])
-        tops = np.concatenate([t if f else d for _, d, t, f in blocks])
-        often = np.concatenate([np.full(len(a), f) for a, _, _, f in blocks])
-        if not len(anchors):
-            continue
-        order = np.argsort(anchors, kind="stable")
-        anchors, docs, tops, often = anchors[order], docs[order], tops[order], often[order]
-        new = np.ones(len(anchors), dtype=bool)
-        new[1:] = anchors[1:] != anchors[:-1]
-        first = np.flatnonzero(new)
-        counts = np.diff(np.append(first, len(anchors)))
-        low = np.minimum.reduceat(docs, first)
-        shared = low < np.maximum.reduceat(tops, first)
-        hot = np.logical_or.reduceat(often, first) & shared
-        each = np.repeat(shared, counts) & ~often
-        yield pa.RecordBatch.from_pydict({
-            "doc_id": pa.array(np.concatenate([docs[each], np.zeros(hot.sum(), np.int64)]), pa.int64(),
-                               mask=np.concatenate([np.zeros(each.sum(), bool), np.ones(hot.sum(), bool)])),
-            "anchor": pa.array(np.concatenate([anchors[each], anchors[first][hot]]).astype(np.int64)),
-            "owner": pa.array(np.concatenate([np.repeat(low, counts)[each], low[hot]])),
-        })
-
-
-def _unpack(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batch_iter:
-        for r in batch.to_pylist():
-            yield pa.RecordBatch.from_pydict({
-                "anchor": pa.array(np.frombuffer(r["anchors"], "<u8").astype(np.int64)), "doc_id": pa.array(np.frombuffer(r["docs"], "<i8"))})
-
-
-def shared_anchors(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, anchor, owner) for every document that holds an anchor shared with another document."""
-    packed = docs.select("doc_id", "text").mapInArrow(_pack(width), PACKED)
-    found = packed.where("bucket >= 0").repartition("bucket").mapInArrow(_owners, "doc_id bigint, anchor bigint, owner bigint")
-    often = packed.where("bucket < 0").mapInArrow(_unpack, "anchor bigint, doc_id bigint")
-    often = often.join(found.where("doc_id is null").select("anchor", "owner"), "anchor").select("doc_id", "anchor", "owner")
-    return found.where("doc_id is not null").unionByName(often)
+    return extract
 
 
 SPANS = "array<struct<owner: bigint, start: int, words: binary>>"
@@ -226,7 +125,7 @@ def _spans(width: int):
                         anchor = known.field(0).to_numpy().astype(np.uint64)
                         order = np.argsort(anchor)
                         anchor, owner = anchor[order], known.field(1).to_numpy()[order]
-                        mine = window_anchors(own, width)
+                        mine = mix(window_anchors(own, width))
                         place = np.minimum(np.searchsorted(anchor, mine), len(anchor) - 1)
                         live = anchor[place] == mine
                         for a, b in _runs(np.where(live, owner[place], 0), live):
@@ -374,7 +273,8 @@ def remove_repeats(docs: DataFrame, width: int = 13, shard_words: int = SHARD) -
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    hits = shared_anchors(docs.where("doc_id is not null"), width).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "owner")).alias("hits"))
+    hits = shared_keys(docs.where("doc_id is not null").select("doc_id", "text"), _anchors(width)).groupBy(
+        F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("key", "owner")).alias("hits"))
     path = shared_folder(spark, "spans")
     docs.join(hits, "doc_id", "left").select("doc_id", "text_key", "text", "hits").mapInArrow(_spans(width), STAGED).write.option(
         "compression", "zstd").parquet(path)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.llm import (
-    label_sharding, line_frequency, mixing, ordinal_quality, positional_index, rank_profiles, suffix_dedup,
+    label_sharding, line_frequency, metric_join, mixing, ordinal_quality, positional_index, rank_profiles, suffix_dedup,
     token_codes,
 )
 from kinweave.llm.common import documents
@@ -26,6 +26,11 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+@query
+def op1_metric_join(spark: SparkSession, folder: str) -> DataFrame:
+    return metric_join.similar_sets(documents(spark, folder), 3, 90)
+
+
 @query
 def op2_positional_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = positional_index.contamination(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))

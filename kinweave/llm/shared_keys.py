@@ -37,6 +37,9 @@ def starts_of(values: np.ndarray) -> np.ndarray:
 def _blocks(keys: np.ndarray, docs: np.ndarray) -> list[dict]:
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
+    keys, docs = keys[new], docs[new]
     first = starts_of(keys)
     counts = np.diff(np.append(first, len(keys)))
     often = counts > FREQUENT
@@ -111,7 +114,7 @@ def _unpack(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_keys(rows: DataFrame, extract: Extract) -> DataFrame:
     """(doc, key, owner) for every key that at least two different documents hold.
 
-    ``extract`` turns a batch of ``rows`` into (documents, keys) arrays, each pair once. ``key`` is the
+    ``extract`` turns a batch of ``rows`` into (documents, keys) arrays. ``key`` is the
     given key after ``batches.mix``.
     """
     packed = rows.mapInArrow(_pack(extract), PACKED)

@@ -65,18 +65,13 @@ def window_anchors(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def _piece_anchors(piece: Piece, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, anchor) of a piece, in order of anchor."""
+    """(row, anchor) of a piece's windows, without neighbours that agree."""
     words = split(piece)
     if len(words.hashes) < width:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     anchors = _least(_grams(words.hashes, GRAM), width - GRAM + 1)
     same = words.row[: len(anchors)] == words.row[width - 1 :]
     anchors, row = anchors[same], words.row[: len(same)][same]
-    fresh = np.ones(len(anchors), dtype=bool)  # neighbours mostly agree
-    fresh[1:] = (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1])
-    anchors, row = anchors[fresh], row[fresh]
-    order = np.lexsort((row, anchors))
-    anchors, row = anchors[order], row[order]
     fresh = np.ones(len(anchors), dtype=bool)
     fresh[1:] = (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1])
     return row[fresh], anchors[fresh]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.llm import (
-    label_sharding, line_frequency, metric_join, mixing, ordinal_quality, positional_index, rank_profiles, suffix_dedup,
+    label_sharding, line_frequency, metric_join, mixing, ordinal_quality, positional_index, pseudonyms, rank_profiles, suffix_dedup,
     token_codes,
 )
 from kinweave.llm.common import documents
@@ -63,6 +63,11 @@ def op6_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
     return ordinal_quality.grade_documents(docs, model, ["doc_id"])
 
 
+@query
+def op7_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonyms.pseudonymised(documents(spark, folder), key="corpus")
+
+
 @query
 def op8_label_shards(spark: SparkSession, folder: str) -> DataFrame:
     return label_sharding.shard_documents(documents(spark, folder))

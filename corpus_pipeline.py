@@ -1,14 +1,99 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``. Stages select rows by
+(doc_id, hash of the whole row); rows equal in every column are one document until the mix repeats
+them. Columns beyond those of ``documents`` are carried along.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from kinweave.llm import label_sharding, metric_join, mixing, ordinal_quality, positional_index
+from kinweave.llm.token_codes import shared_folder
+from kinweave.plans.lineage import cut
+
+SHARDS = 40
+ROW = "_row_key"
+READ = ("doc_id", "text", "source")  # the columns that stages look at
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` plus a hash of the whole row; the order of columns does not matter."""
+    return docs.withColumn(ROW, F.xxhash64(*[F.col(f"`{c}`") for c in sorted(docs.columns)]))
+
+
+def _attached(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The documents of ``chosen`` (doc_id, row key, others): one row for each row of ``chosen``."""
+    once = keyed.dropDuplicates(["doc_id", ROW])
+    chosen = chosen.withColumnRenamed("doc_id", "_chosen").withColumnRenamed(ROW, "_chosen_key")
+    same = (F.col(ROW) == F.col("_chosen_key")) & F.col("doc_id").eqNullSafe(F.col("_chosen"))
+    return once.join(chosen, same).drop("_chosen", "_chosen_key", ROW)
+
+
+def _renamed(docs: DataFrame) -> DataFrame:
+    """Other columns under names that no operator uses."""
+    return docs.toDF(*[c if c in READ else f"_column_{i}" for i, c in enumerate(docs.columns)])
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps; it learns on the labelled ones among ``docs``."""
+    model = ordinal_quality.quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    plain = _renamed(docs)
+    return ordinal_quality.grade_documents(plain, model, plain.columns).where("kept").select(*plain.columns).toDF(*docs.columns)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, 0.8): the one with the smallest id.
+
+    Documents without words or without an id are no copies and stay.
+    """
+    keyed = _keyed(docs)
+    groups = metric_join.similar_sets(keyed, 5, 80, keep=[ROW])
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    first = groups.where(~alone).groupBy("component_id", "root").agg(F.min(F.struct("doc_id", ROW)).alias("f")).select("f.*")
+    return _attached(keyed, first.unionByName(groups.where(alone).select("doc_id", ROW).distinct()))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    plain = _renamed(docs)
+    found = positional_index.contamination(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=plain.columns)
+    return found.where(~F.col("contaminated")).select(*plain.columns).toDF(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it: 0 to 3 times."""
+    keyed = _keyed(docs)
+    taken = cut(mixing.mix(keyed, keep=[ROW]).where("copies > 0").select("doc_id", ROW, "copies"))
+    return _attached(keyed, taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", ROW))
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with ``shard`` (0 to 39, row counts one apart at most) and ``slot``."""
+    keyed = _keyed(docs)
+    rows = cut(keyed.select("doc_id", ROW, F.md5(F.col("text").cast("binary")).alias("_text_key")))
+    placed = label_sharding.balanced_shards(rows, ROW, "_text_key", SHARDS)
+    return _attached(keyed, placed.select("doc_id", ROW, "shard", "slot"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", classify),
+    ("n-gram Jaccard join", deduplicate),
+    ("benchmark decontamination", decontaminate),
+    ("mixing", mix),
+    ("sharding", shard),
+]
 
+#: SQL cannot express the classifier, the rounding of the mix and the propagation of labels.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, one after the other."""
+    folder = shared_folder(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
+    return docs

@@ -165,19 +165,21 @@ def grade_documents(docs: DataFrame, model: Model, keep: list[str], at_least: fl
     """
     bits = int(len(model.weights)).bit_length() - 1
 
+    names = [*keep] if "text" in keep else [*keep, "text"]
+    text = names.index("text")
+
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:
-            for piece in pieces(batch.column(batch.num_columns - 1)):
+            for piece in pieces(batch.column(text)):
                 index, counts = features(piece, bits)
                 t = tails(_sums(model.weights[index], counts) / np.sqrt(np.maximum(counts, 1)), model.thresholds)
                 part = batch.slice(piece.first, piece.last - piece.first)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(t.sum(axis=1)), pa.array(t[:, -1]), pa.array(t[:, -1] >= at_least)],
-                    names=[*part.schema.names[:-1], "expected_grade", "tail", "kept"])
+                    [*part.columns[: len(keep)], pa.array(t.sum(axis=1)), pa.array(t[:, -1]), pa.array(t[:, -1] >= at_least)],
+                    names=[*keep, "expected_grade", "tail", "kept"])
 
-    rows = docs.select(*keep, F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(run, f"{schema}, expected_grade double, tail double, kept boolean")
+    return docs.select(*names).mapInArrow(run, f"{schema}, expected_grade double, tail double, kept boolean")
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:

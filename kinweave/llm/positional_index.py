@@ -133,7 +133,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, keep: list
     rows = docs.select(
         "doc_id", F.xxhash64("text").alias("_key"), F.size(tokens(F.col("text"))).cast("bigint").alias("n_words"),
         *[c for c in keep or [] if c != "doc_id"])
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), "left")
+    joined = rows.join(small(cut(found), PORTION), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), "left")
     hit = F.coalesce("n_hit", F.lit(0))
     return joined.drop("_key", "_d", "_t").withColumns({
         "n_hit": hit, "items": F.coalesce("items", F.array().cast("array<string>")),

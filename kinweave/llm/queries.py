@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.llm import (
-    label_sharding, line_frequency, metric_join, mixing, ordinal_quality, positional_index, pseudonyms, rank_profiles, suffix_dedup,
+    label_sharding, line_frequency, metric_join, mixing, oracles, ordinal_quality, positional_index, pseudonyms, rank_profiles, suffix_dedup,
     token_codes,
 )
 from kinweave.llm.common import documents
@@ -28,7 +28,7 @@ def queries() -> dict[str, Query]:
 
 @query
 def op1_metric_join(spark: SparkSession, folder: str) -> DataFrame:
-    return metric_join.similar_sets(documents(spark, folder), 3, 90)
+    return metric_join.similar_sets(documents(spark, folder), 3, 90).drop("root")
 
 
 @query
@@ -84,4 +84,4 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)

@@ -93,7 +93,9 @@ def phrase_matches(docs: DataFrame, wanted: DataFrame, width: int, rarest: int =
     index = cut(postings(docs, cut(asked), width))
 
     lead = plan.select("phrase", "terms", F.col("terms")[0]["term"].alias("term"), F.col("terms")[0]["offset"].alias("offset"))
-    found = index.join(small(lead, PORTION), "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
+    found = index.join(small(lead, PORTION), "term").withColumn("start", F.col("pos") - F.col("offset"))
+    if not slack:
+        found = found.where("start >= 0")
     for k in range(1, rarest):
         other, place = F.get("terms", F.lit(k)), F.col("start") + F.get("terms", F.lit(k))["offset"]
         step = found.where(F.size("terms") > k).withColumns({"other": other["term"], "place": place})

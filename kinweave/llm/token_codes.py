@@ -65,8 +65,8 @@ def access(levels: list[dict[str, bytes]], at: np.ndarray) -> np.ndarray:
             break
         block = at // BLOCK
         inside = np.arange(BLOCK // 8)[None, :] + (block * (BLOCK // 8))[:, None]
-        full = np.bitwise_count(np.where(inside < (at >> 3)[:, None], bits[np.minimum(inside, len(bits) - 1)], 0)).sum(axis=1)
-        last = np.bitwise_count(bits[at >> 3] & ((1 << (at & 7)) - 1).astype(np.uint8))
+        full = np.bitwise_count(np.where(inside < (at >> 3)[:, None], bits[np.minimum(inside, len(bits) - 1)], 0)).sum(axis=1, dtype=np.int64)
+        last = np.bitwise_count(bits[at >> 3] & ((1 << (at & 7)) - 1).astype(np.uint8)).astype(np.int64)
         at = np.frombuffer(level["ranks"], "<u8")[block].astype(np.int64) + full + last
     return out
 

@@ -51,8 +51,10 @@ def relationships(cat: Catalog, offset: int = 0, limit: int = 200) -> DataFrame:
     """A page of the unordered pairs of every entity, each pair with its lower ordinal first.
 
     A definition is paired with the ``limit`` definitions that follow it in its entity after
-    ``offset``. Increasing offsets visit every pair exactly once. The join key is (entity, position),
-    which at most ``limit`` rows share, so a hub costs the same per row as any other entity.
+    ``offset``. Increasing offsets visit every pair exactly once; ``pair_total`` is the number of
+    definitions that follow it in all, ``more`` whether some come after this page. The join key is
+    (entity, position), which at most ``limit`` rows share, so a hub costs the same per row as any
+    other entity.
     """
     _check_page(offset, limit)
     first = F.col("a_pos") + offset + 1
@@ -73,6 +75,8 @@ def relationships(cat: Catalog, offset: int = 0, limit: int = 200) -> DataFrame:
         F.col("reverse_multiplicity").alias("ba_multiplicity"),
         F.col("reverse_match_existence").alias("ba_existence"),
         unknown_fields("a_to_b", "b_to_a").alias("unknown_fields"),
+        (F.col("a_size") - F.col("a_pos")).cast("bigint").alias("pair_total"),
+        (F.col("a_size") - F.col("a_pos") > offset + limit).alias("more"),
     )
 
 

@@ -106,7 +106,7 @@ UNION ALL SELECT right_id, left_id, x_ord, descriptions, {mirror}, me_right, me_
         "relationship_ordinals": supply + "SELECT left_id, right_id, x_ord FROM s",
         "relationship_pages": EVENT_MEMBERS + f"""SELECT a.ord AS lo, b.ord AS hi, 'D' || a.ord || '-D' || b.ord AS edge_id, a.identity_id,
   a.node_id AS a_node_id, b.node_id AS b_node_id, {ab} AS ab_multiplicity, {ae} AS ab_existence, {ba} AS ba_multiplicity,
-  {be} AS ba_existence, {unknown} AS unknown_fields
+  {be} AS ba_existence, {unknown} AS unknown_fields, (a.size - a.pos)::BIGINT AS pair_total, a.size - a.pos > 200 AS more
 FROM m a JOIN m b ON a.identity_id = b.identity_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 200""",
         "relationship_profile": ORDER_MEMBERS + profile,
         "relationship_profile_hubs": EVENT_MEMBERS + profile,
@@ -232,7 +232,7 @@ def _traversal() -> dict[str, str]:
 SELECT req_id, rank, len(edges) AS edge_count, array_to_string(list_transform(edges, lambda e: e.lo || ':' || e.hi || ':' || e.start), '|') AS edges, n > {k} AS truncated FROM g WHERE rank <= {k}"""
 
     return {
-        "neighbourhood": ORDER_MEMBERS + seeds + levels + "SELECT req_id, node_id, distance, rank, reached FROM ranked WHERE rank <= 1000",
+        "neighbourhood": ORDER_MEMBERS + seeds + levels + "SELECT req_id, node_id, distance, rank, reached, 'ok' AS status FROM ranked WHERE rank <= 1000",
         "neighbourhood_edges": ORDER_MEMBERS + seeds + levels + """, kept AS (SELECT * FROM ranked WHERE rank <= 60)
 , src AS (SELECT k.req_id, m.*, size - 1 AS edge_count FROM kept k JOIN m USING (node_id) WHERE distance < 2 AND size > 1)
 , tgt AS (SELECT k.req_id, m.identity_id, m.ord FROM kept k JOIN m USING (node_id))

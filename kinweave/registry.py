@@ -20,7 +20,7 @@ from kinweave.operators import (
 )
 from kinweave.plans.lineage import cut
 from kinweave.sources import membership
-from kinweave.sources.membership import read_table, read_texts
+from kinweave.sources.membership import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -87,10 +87,10 @@ def _part_requests(spark: SparkSession, folder: str) -> DataFrame:
 def _type_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Each event type, with the types before it as targets."""
     kinds = read_table(spark, folder, "events").select("event_type").distinct()
-    earlier = kinds.select(F.col("event_type").alias("e"))
-    targets = F.collect_list(F.when(F.col("e").isNotNull(), F.concat(F.lit("type:"), F.col("e"))))
-    return kinds.join(earlier, F.col("e") < F.col("event_type"), "left").groupBy("event_type").agg(targets.alias("targets")).select(
-        F.col("event_type").alias("req_id"), F.concat(F.lit("type:"), F.col("event_type")).alias("identity_id"), "targets",
+    name = F.concat(F.lit("type:"), F.col("event_type"))
+    earlier = W.orderBy("event_type").rowsBetween(W.unboundedPreceding, -1)  # one row per event type
+    return kinds.select(
+        F.col("event_type").alias("req_id"), name.alias("identity_id"), F.collect_list(name).over(earlier).alias("targets"),
         F.array(F.lit("complete"), F.lit("unknown")).alias("universes"),
     )
 
@@ -116,10 +116,11 @@ def relationship_ordinals(spark, folder):
 
 @query
 def relationship_pages(spark, folder):
+    """The first page of every user: the next 200 definitions of the type, how many follow, and whether more pages do."""
     cat = _catalog("event", spark, folder)
     return relationships.relationships(cat).select(
         "lo", "hi", "edge_id", "identity_id", "a_node_id", "b_node_id", "ab_multiplicity", "ab_existence",
-        "ba_multiplicity", "ba_existence", _joined(F.col("unknown_fields")).alias("unknown_fields"),
+        "ba_multiplicity", "ba_existence", _joined(F.col("unknown_fields")).alias("unknown_fields"), "pair_total", "more",
     )
 
 
@@ -268,7 +269,7 @@ def dataset_records(spark, folder):
 @query
 def neighbourhood(spark, folder):
     cat = _catalog("order", spark, folder)
-    return traversal.expand(cat, _nation_seeds(spark, folder), 2, 1000).select("req_id", "node_id", "distance", "rank", "reached")
+    return traversal.expand(cat, _nation_seeds(spark, folder), 2, 1000).select("req_id", "node_id", "distance", "rank", "reached", "status")
 
 
 @query
@@ -395,14 +396,14 @@ def catalog_fingerprint(spark, folder):
 
 @query
 def normalized_documents(spark, folder):
-    docs = read_texts(spark, folder, "documents")
+    docs = read_table(spark, folder, "documents")
     return docs.select("doc_id", text.normalize_term(F.col("text")).alias("n")).select("doc_id", F.md5("n").alias("digest"), F.char_length("n").cast("bigint").alias("length"))
 
 
 @query
 def term_frequencies(spark, folder):
     """In how many documents each term occurs, the whole text counting as a term too."""
-    docs = read_texts(spark, folder, "documents").select("doc_id", text.normalize_term(F.col("text")).alias("n"))
+    docs = read_table(spark, folder, "documents").select("doc_id", text.normalize_term(F.col("text")).alias("n"))
     terms = docs.select("doc_id", F.explode(text.index_terms(F.col("n"))).alias("term"))
     return terms.groupBy(F.md5("term").alias("term")).agg(F.count("*").alias("document_count"))
 

@@ -52,21 +52,30 @@ DOCUMENT = (
     f"schema_version string, logical_identities map<string, {IDENTITY}>, nodes array<{NODE}>, "
     f"entity_relationships array<{STATED}>"
 )
-# Allowed keys per object, for the extra-field check
-ALLOWED = {
-    "node": ("node_id", "descriptor", "accessor", "grain", "columns", "entity_definitions"),
-    "definition": (
-        "identity_id", "dataset_columns", "entity_universe", "unique", "total", "conforms",
-        "entity_expression", "entity_metadata", "description",
-    ),
-    "entity_relationship": ("endpoints", "multiplicity", "match_existence", "descriptions"),
-    "identity": ("name", "description", "synonyms"),
-}
-REQUIRED = {
-    "node": ("node_id", "descriptor", "accessor", "grain", "columns"),
-    "definition": ("identity_id", "dataset_columns", "entity_universe", "unique", "total", "conforms"),
-    "entity_relationship": ("endpoints", "multiplicity", "match_existence", "descriptions"),
-    "identity": ("name",),
+# The fields of catalog documents. `name!` is required; `list<x>` and `map<x>` hold x; an
+# object's name opens it; a claim is true, false or the word unknown; a grain may be that word too.
+OBJECTS = {
+    "identity": {"name!": "string", "description": "string", "synonyms": "list<string>"},
+    "node": {
+        "node_id!": "string", "descriptor!": "descriptor", "accessor!": "accessor", "grain!": "grain",
+        "columns!": "list<column>", "entity_definitions": "list<definition>",
+    },
+    "descriptor": {
+        "qualified_name!": "string", "display_name!": "string", "description": "string", "synonyms": "list<string>",
+        "tags": "list<string>",
+    },
+    "accessor": {"kind!": "string", "endpoint!": "string", "labels": "map<string>", "properties": "map<any>"},
+    "grain": {"components!": "list<component>", "description": "string"},
+    "component": {"dataset_columns!": "list<string>", "identity_id": "string", "description": "string"},
+    "column": {"name!": "string", "description": "string", "value_description": "string", "synonyms": "list<string>"},
+    "definition": {
+        "identity_id!": "string", "dataset_columns!": "list<string>", "entity_universe!": "string", "unique!": "claim",
+        "total!": "claim", "conforms!": "claim", "entity_expression": "list<string>", "entity_metadata": "map<any>",
+        "description": "string",
+    },
+    "entity_relationship": {
+        "endpoints!": "list<string>", "multiplicity!": "string", "match_existence!": "list<string>", "descriptions!": "list<string>",
+    },
 }
 
 
@@ -95,7 +104,27 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def catalog_from_files(spark: SparkSession, files: DataFrame, version: str | None = None, **options) -> Catalog:
     """Catalog tables of parsed files ``(path, json)``; together they make one catalog."""
     documents = files.select("path", F.from_json("json", DOCUMENT).alias("d")).select("path", "d.*")
+    identities = documents.select(F.explode("logical_identities").alias("identity_id", "i")).select("identity_id", "i.*")
     nodes = documents.select("path", F.posexplode("nodes").alias("pos", "n")).select("path", "pos", "n.*")
+    stated = documents.select(F.explode("entity_relationships").alias("r"))
+    return catalog_of(spark, nodes, identities, stated, version, **options)
+
+
+def _full_grain() -> Column:
+    """The grain as the catalog serves it: a description left out is the empty text."""
+    grain = F.from_json("grain", GRAIN)
+    components = F.transform(grain["components"], lambda c: F.struct(
+        c["dataset_columns"].alias("dataset_columns"), c["identity_id"].alias("identity_id"),
+        F.coalesce(c["description"], F.lit("")).alias("description"),
+    ))
+    full = F.struct(components.alias("components"), F.coalesce(grain["description"], F.lit("")).alias("description"))
+    return F.when(F.col("grain") != "unknown", full)
+
+
+def catalog_of(
+    spark: SparkSession, nodes: DataFrame, identities: DataFrame, stated: DataFrame, version: str | None = None, **options,
+) -> Catalog:
+    """Catalog tables of exploded nodes, identities and stated relationships ``(r)``. The version is fixed here."""
     held = nodes.select("node_id", F.posexplode("entity_definitions").alias("pos", "e")).select("node_id", "pos", "e.*")
     empty = F.array().cast("array<string>")
     accessor = F.struct(
@@ -106,7 +135,7 @@ def catalog_from_files(spark: SparkSession, files: DataFrame, version: str | Non
         "node_id", "pos", "descriptor", accessor.alias("accessor"),
         accessor_json(F.col("accessor")).alias("accessor_canonical"),
         F.coalesce(canonical_json(F.col("accessor.properties")), F.lit("null")).alias("properties_canonical"),
-        F.when(F.col("grain") != "unknown", F.from_json("grain", GRAIN)).alias("grain"),
+        _full_grain().alias("grain"),
     )
     columns = nodes.select("node_id", F.posexplode("columns").alias("pos", "c")).select("node_id", "pos", "c.*")
     definitions = held.select(
@@ -114,18 +143,15 @@ def catalog_from_files(spark: SparkSession, files: DataFrame, version: str | Non
         *(_claim(name).alias(name) for name in ("unique", "total", "conforms")),
         F.coalesce("entity_expression", empty).alias("entity_expression"), "entity_metadata", "description",
     )
-    identities = documents.select(F.explode("logical_identities").alias("identity_id", "i")).select("identity_id", "i.*")
-    stated = documents.select(F.explode("entity_relationships").alias("r")).select(
+    stated = stated.select(
         F.get("r.endpoints", F.lit(0)).alias("left_id"), F.get("r.endpoints", F.lit(1)).alias("right_id"),
         "r.multiplicity", F.get("r.match_existence", F.lit(0)).alias("me_left"),
         F.get("r.match_existence", F.lit(1)).alias("me_right"), "r.descriptions",
     )
-    snapshot = spark.range(1).select(
-        (F.lit(version) if version else snapshot_version()).alias("version")
-    )
+    version = version or spark.range(1).select(snapshot_version()).first()[0]
     return Catalog(
         spark, datasets=datasets, columns=columns, definitions=definitions, identities=identities,
-        entity_relationships=stated, snapshot=snapshot, **options,
+        entity_relationships=stated, snapshot=spark.range(1).select(F.lit(version).alias("version")), **options,
     )
 
 
@@ -139,8 +165,26 @@ def _claim(name: str) -> Column:
 
 
 def ingest(spark: SparkSession, paths: str | list[str], version: str | None = None, **options) -> Catalog:
-    """The catalog of one assembled file or of several collection files."""
-    return catalog_from_files(spark, read_files(spark, paths), version, **options)
+    """The catalog of one assembled file or of several collection files.
+
+    A file that cannot be read whole refuses the catalog; ``ingest_findings`` lists everything that is
+    wrong, and ``manifest_findings`` and ``ownership_findings`` check a folder against its manifest.
+    """
+    files = read_files(spark, paths)
+    faults = ingest_findings(files).limit(5).collect()
+    if faults:
+        raise ValueError("catalog files are not sound: " + "; ".join(f"{f.location} {f.message}" for f in faults))
+    return catalog_from_files(spark, files, version, **options)
+
+
+def ingest_findings(files: DataFrame) -> DataFrame:
+    """Everything in parsed files ``(path, json, error)`` that would not reach the catalog as it is written."""
+    at = _at(F.col("path"), ":$")
+    sound = files.where("error is null")
+    unreadable = _finding(files.where("error is not null"), at, "yaml_syntax", F.col("error"))
+    shapeless = _finding(sound.where(F.json_object_keys("json").isNull()), at, "mapping_type", "each file must contain a top-level mapping")
+    fields = _field_findings(sound).select(_at(F.col("path"), ":", F.col("location")).alias("location"), "rule", "message")
+    return unreadable.unionByName(shapeless).unionByName(fields)
 
 
 # -- findings ------------------------------------------------------------------------------------
@@ -168,7 +212,7 @@ def manifest_entries(manifest: DataFrame) -> DataFrame:
     entries = F.concat(
         F.array(row("logical_identities", F.col("logical_identities"), F.lit(0), F.lit("$.logical_identities"))),
         nodes,
-        F.array(row("entity_relationships", F.col("entity_relationships"), F.lit(1_000_000), F.lit("$.entity_relationships"))),
+        F.array(row("entity_relationships", F.col("entity_relationships"), F.coalesce(F.size("nodes"), F.lit(0)) + 1, F.lit("$.entity_relationships"))),
     )
     return read.select("schema_version", F.explode(entries).alias("e")).select("schema_version", "e.*").where("path is not null")
 
@@ -177,7 +221,8 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """Relative paths below ``folder``, from file metadata alone."""
     root = folder.rstrip("/")
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    return listed.select(F.regexp_replace("path", rf"\A.*?{root}/", "").alias("path"))
+    below = F.instr("path", f"{root}/") + F.lit(len(root) + 1)
+    return listed.select(F.substr(F.col("path"), below).alias("path"))
 
 
 def manifest_findings(entries: DataFrame, listing: DataFrame) -> DataFrame:
@@ -256,47 +301,90 @@ def ownership_findings(entries: DataFrame, files: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, findings)
 
 
-def field_findings(files: DataFrame) -> DataFrame:
-    """Missing required fields, extra fields and claim values outside their domains, in raw documents."""
-    body = files.where("error is null").select("path", F.parse_json("json").alias("_v"))
-
-    def objects(kind: str) -> DataFrame:
-        if kind == "identity":
-            return body.select("path", F.explode(F.variant_get("_v", "$.logical_identities", "map<string,variant>")).alias("k", "o")).select(
-                "path", _at("$.logical_identities.", F.col("k")).alias("location"), "o"
-            )
-        if kind == "entity_relationship":
-            return body.select("path", F.posexplode(F.variant_get("_v", "$.entity_relationships", "array<variant>")).alias("i", "o")).select(
-                "path", _at("$.entity_relationships[", F.col("i").cast("string"), "]").alias("location"), "o"
-            )
-        nodes = body.select("path", F.posexplode(F.variant_get("_v", "$.nodes", "array<variant>")).alias("i", "o")).select(
-            "path", _at("$.nodes[", F.col("i").cast("string"), "]").alias("location"), "o"
-        )
-        if kind == "node":
-            return nodes
-        return nodes.select("path", "location", F.posexplode(F.variant_get("o", "$.entity_definitions", "array<variant>")).alias("j", "d")).select(
-            "path", _at(F.col("location"), ".entity_definitions[", F.col("j").cast("string"), "]").alias("location"), F.col("d").alias("o")
-        )
+def _violation(kind: str, value: Column) -> Column:
+    """The rule that ``value`` breaks as a ``kind``, or NULL; an absent or null value breaks none here."""
+    shape = F.schema_of_variant(value)
+    given = shape.isNotNull() & (shape != "VOID")
+    if kind == "string":
+        return F.when(given & (shape != "STRING"), "string_type")
+    if kind == "claim":
+        unknown = (shape == "STRING") & (F.try_variant_get(value, "$", "string") == "unknown")
+        return F.when(given & (shape != "BOOLEAN") & ~F.coalesce(unknown, F.lit(False)), "claim_domain")
+    if kind.startswith("list<"):
+        odd = F.exists(F.when(shape.startswith("ARRAY"), value.cast("array<variant>")), lambda v: F.schema_of_variant(v) != "STRING")
+        items = F.when(odd, "string_type") if kind == "list<string>" else F.lit(None).cast("string")
+        return F.when(given & ~shape.startswith("ARRAY"), "list_type").otherwise(items)
+    fits = shape.startswith("OBJECT")
+    if kind == "grain":
+        fits = fits | F.coalesce(F.try_variant_get(value, "$", "string") == "unknown", F.lit(False))
+    if kind == "map<string>":
+        held = F.map_values(F.when(shape.startswith("OBJECT"), value.cast("map<string,variant>")))
+        return F.when(given & ~fits, "dict_type").when(F.exists(held, lambda v: F.schema_of_variant(v) != "STRING"), "string_type")
+    return F.when(given & ~fits, "dict_type")
+
+
+def _field_findings(files: DataFrame) -> DataFrame:
+    """(path, location, rule, message): missing, extra and mistyped fields, object by object."""
+    body = files.where("json is not null").select("path", F.lit("$").alias("location"), F.parse_json("json").alias("o"))
+    body = body.where(F.schema_of_variant("o").startswith("OBJECT"))
+
+    def opened(rows: DataFrame, field: str, holder: str) -> DataFrame:
+        """The objects in ``field`` of ``rows``; what is no object there is reported with the field itself."""
+        value = F.variant_get("o", f"$.{field}", "variant")
+        shape = F.schema_of_variant(value)
+        if holder == "list":
+            items = F.when(shape.startswith("ARRAY"), value.cast("array<variant>"))
+            each = rows.select("path", "location", F.posexplode(items).alias("i", "v")).withColumn("step", _at("[", F.col("i").cast("string"), "]"))
+        elif holder == "map":
+            items = F.when(shape.startswith("OBJECT"), value.cast("map<string,variant>"))
+            each = rows.select("path", "location", F.explode(items).alias("i", "v")).withColumn("step", _at(".", F.col("i")))
+        else:
+            each = rows.select("path", "location", value.alias("v"), F.lit("").alias("step"))
+        return each.select("path", _at(F.col("location"), f".{field}", F.col("step")).alias("location"), F.col("v").alias("o"))
+
+    def reported(rows: DataFrame, location: Column, rule: Column | str, message: str) -> DataFrame:
+        rule = F.lit(rule) if isinstance(rule, str) else rule
+        return rows.select("path", location.alias("location"), rule.alias("rule"), F.lit(message).alias("message"))
 
     findings = []
-    for kind in ALLOWED:
-        rows = objects(kind)
-        keys = rows.withColumn("keys", F.map_keys(F.col("o").cast("map<string,variant>")))
-        needed = F.array(*map(F.lit, REQUIRED[kind]))
-        allowed = F.array(*map(F.lit, ALLOWED[kind]))
-        absent = keys.withColumn("key", F.explode(F.array_except(needed, "keys")))
-        extra = keys.withColumn("key", F.explode(F.array_except("keys", allowed)))
-        findings.append(_finding(absent, _at(F.col("location"), ".", F.col("key")), "missing", "field required"))
-        findings.append(_finding(extra, _at(F.col("location"), ".", F.col("key")), "extra_forbidden", "extra inputs are not permitted"))
-        if kind == "definition":
-            for claim in ("unique", "total", "conforms"):
-                value = F.variant_get("o", f"$.{claim}", "variant")
-                shape, text = F.schema_of_variant(value), F.try_variant_get("o", f"$.{claim}", "string")
-                bad = rows.where(shape.isNotNull() & (shape != "BOOLEAN") & ~F.coalesce((shape == "STRING") & (text == "unknown"), F.lit(False)))
-                findings.append(_finding(bad, _at(F.col("location"), f".{claim}"), "claim_domain", "must be true, false or unknown"))
+
+    def check(rows: DataFrame, kind: str) -> None:
+        shape = F.schema_of_variant("o")
+        whole = rows.where(shape.startswith("OBJECT"))
+        if kind not in ("grain", "descriptor", "accessor"):  # those three are reported with the field that holds them
+            findings.append(reported(rows.where(~shape.startswith("OBJECT")), F.col("location"), "dict_type", "must be a mapping"))
+        fields = {name.rstrip("!"): (k, name.endswith("!")) for name, k in OBJECTS[kind].items()}
+        given = F.map_keys(F.col("o").cast("map<string,variant>"))
+        absent = F.array_except(F.array(*[F.lit(f) for f, (_, needed) in fields.items() if needed]), given)
+        extra = F.array_except(given, F.array(*map(F.lit, fields)))
+        broken = F.filter(F.array(*[
+            F.struct(F.lit(f).alias("key"), _violation(k, F.variant_get("o", f"$.{f}", "variant")).alias("rule")) for f, (k, _) in fields.items()
+        ]), lambda x: x["rule"].isNotNull())
+        faults = F.concat(
+            F.transform(absent, lambda f: F.struct(f.alias("key"), F.lit("missing").alias("rule"), F.lit("field required").alias("message"))),
+            F.transform(extra, lambda f: F.struct(f.alias("key"), F.lit("extra_forbidden").alias("rule"), F.lit("unsupported field").alias("message"))),
+            F.transform(broken, lambda x: F.struct(x["key"].alias("key"), x["rule"].alias("rule"), F.lit("value has the wrong type").alias("message"))),
+        )
+        found = whole.select("path", "location", F.explode(faults).alias("f"))
+        findings.append(found.select("path", _at(F.col("location"), ".", F.col("f.key")).alias("location"), "f.rule", "f.message"))
+        for field, (k, _) in fields.items():
+            inner, holder = (k[5:-1], "list") if k.startswith("list<") else (k, "one")
+            if inner in OBJECTS:
+                check(opened(whole, field, holder), inner)
+
+    for field, holder, kind in (("logical_identities", "map", "identity"), ("nodes", "list", "node"), ("entity_relationships", "list", "entity_relationship")):
+        value = F.variant_get("o", f"$.{field}", "variant")
+        wrong = _violation("map<any>" if holder == "map" else "list<object>", value)
+        findings.append(reported(body.withColumn("wrong", wrong).where("wrong is not null"), F.lit(f"$.{field}"), F.col("wrong"), "collection has the wrong type"))
+        check(opened(body, field, holder), kind)
     return reduce(DataFrame.unionByName, findings)
 
 
+def field_findings(files: DataFrame) -> DataFrame:
+    """Missing, extra and mistyped fields at every level of raw documents ``(path, json, error)``."""
+    return _field_findings(files.where("error is null")).select("location", "rule", "message")
+
+
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``docs(doc_id, payload)`` from JSON files, or YAML files by suffix; the path is the ID.
 

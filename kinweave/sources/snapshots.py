@@ -1,4 +1,4 @@
-"""Published catalogs: one folder per version, and a pointer that is written last.
+"""Published catalogs: one folder per version, and a list of pointers that is appended to last.
 
 A version folder is complete and checked before the pointer names it, so a failed publication leaves
 the current catalog as it was. Definitions are written clustered by entity and columns by dataset.
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.catalog import TABLES, Catalog
 from kinweave.operators.integrity import integrity
-from kinweave.sources.collections import NODE, STATED, catalog_from_files
+from kinweave.sources.collections import NODE, STATED, catalog_of
 
 _CLUSTER = {"definitions": "identity_id", "columns": "node_id", "datasets": "node_id"}
 
@@ -36,10 +36,21 @@ def publish(cat: Catalog, root: str, version: str | None = None) -> str:
     faults = integrity(_read(cat.spark, folder, cat.block_rows)).limit(5).collect()
     if faults:
         raise ValueError(f"candidate {version} is not sound: {[f.message for f in faults]}")
-    cat.spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    number = (_pointers(cat.spark, root).agg(F.max("number")).first()[0] or 0) + 1
+    pointer = cat.spark.range(1).select(F.lit(number).alias("number"), F.lit(version).alias("version"))
+    pointer.coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/current")  # what is there stays until this is committed
     return version
 
 
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    """(number, version) of every publication; the highest number is current."""
+    folder = f"{root.rstrip('/')}/current"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "number int, version string")
+    return spark.read.schema("number int, version string").json(folder)
+
+
 def _read(spark: SparkSession, folder: str, block_rows: int) -> Catalog:
     return Catalog(spark, block_rows=block_rows, **{
         name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in TABLES.items()
@@ -49,7 +60,9 @@ def _read(spark: SparkSession, folder: str, block_rows: int) -> Catalog:
 def load(spark: SparkSession, root: str, version: str | None = None, block_rows: int = 100_000) -> Catalog:
     """The current catalog, or the one of a named version."""
     if version is None:
-        version = spark.read.schema("version string").json(f"{root}/current").first()[0]
+        version = _pointers(spark, root).agg(F.max_by("version", F.struct("number", "version"))).first()[0]
+        if version is None:
+            raise ValueError(f"nothing is published below {root}")
     return _read(spark, _folder(root, version), block_rows)
 
 
@@ -76,14 +89,11 @@ def load_artifact(spark: SparkSession, nodes: str, annotations: str | None = Non
     stated = None
     if entity_relationships:
         stated = spark.read.schema(f"entity_relationships array<{STATED}>").json(entity_relationships, multiLine=True)
-    by_id = F.map_from_entries(F.transform(
-        F.coalesce("logical_identities", F.array().cast(node_file.schema["logical_identities"].dataType)),
-        lambda i: F.struct(i["identity_id"], F.struct(i["name"].alias("name"), i["description"].alias("description"), i["synonyms"].alias("synonyms"))),
-    ))
-    files = node_file.select(F.lit("nodes").alias("path"), F.to_json(F.struct(by_id.alias("logical_identities"), "nodes")).alias("json"))
-    if stated is not None:
-        files = files.unionByName(stated.select(F.lit("entity_relationships").alias("path"), F.to_json(F.struct("entity_relationships")).alias("json")))
-    cat = catalog_from_files(spark, files, versions[0])
+    identities = node_file.select(F.explode("logical_identities").alias("i")).select("i.*")
+    node_rows = node_file.select(F.posexplode("nodes").alias("pos", "n")).select("pos", "n.*")
+    if stated is None:
+        stated = spark.createDataFrame([], f"entity_relationships array<{STATED}>")
+    cat = catalog_of(spark, node_rows, identities, stated.select(F.explode("entity_relationships").alias("r")), versions[0])
     if annotations:
         read = spark.read.schema(
             "annotations array<struct<edge_id: string, description: string, tags: array<string>>>"
@@ -97,6 +107,5 @@ def load_artifact(spark: SparkSession, nodes: str, annotations: str | None = Non
 
 def envelope_findings(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Artifact files whose version differs from the first file's."""
-    versions = artifact_versions(spark, paths)
-    first = versions.where(F.col("path").endswith(paths[0].split("/")[-1])).select(F.col("version").alias("expected"))
-    return versions.join(F.broadcast(first)).where(~F.col("version").eqNullSafe(F.col("expected")))  # one row
+    expected = artifact_versions(spark, paths[:1]).select(F.col("version").alias("expected")).limit(1)
+    return artifact_versions(spark, paths).join(F.broadcast(expected)).where(~F.col("version").eqNullSafe(F.col("expected")))  # one row

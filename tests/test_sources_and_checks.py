@@ -9,29 +9,50 @@ from kinweave.functions.canonical import canonical_json
 from kinweave.operators import discovery, documents, integrity, measure, paths, projection, relationships
 from kinweave.plans.lineage import cut
 from kinweave.sources import collections, snapshots
-from tests import lending
+from tests import observatory as obs
+
+
+def parsed(spark, source):
+    return spark.createDataFrame([("f", json.dumps(source), None)], "path string, json string, error string")
 
 
 @pytest.fixture(scope="module")
 def cat(spark, tmp_path_factory):
-    path = tmp_path_factory.mktemp("yaml") / "lending.yaml"
-    path.write_text(yaml.safe_dump(lending.catalog(), sort_keys=False))
-    return collections.ingest(spark, str(path), "2026-01-02T03:04:05Z", block_rows=4)
+    path = tmp_path_factory.mktemp("yaml") / "observatory.yaml"
+    path.write_text(yaml.safe_dump(obs.catalog(), sort_keys=False))
+    return collections.ingest(spark, str(path), obs.VERSION, block_rows=4)
 
 
-def test_ingest_matches_known_ordinals_and_edges(cat):
+def test_ingest_matches_brute_force(cat):
     got = {r.edge_id: (r.ab_multiplicity, r.ab_existence, r.ba_multiplicity, r.ba_existence) for r in relationships.relationships(cat).collect()}
-    assert got == lending.EDGES
+    assert got == obs.edges()
+    g = obs.graph()
     degrees = {r.node_id: r.edge_count for r in relationships.degrees(cat).collect()}
-    assert degrees == {lending.P + k: v for k, v in lending.DEGREES.items()}
-    counts = cat.counts().first()
-    assert tuple(counts) == ("2026-01-02T03:04:05Z", 5, 10, 5, 4)
+    assert degrees == {n: len({frozenset((g.ord[d], g.ord[t])) for d in g.on(n) for t in g.edges_from(d)}) for n in g.nodes}
+    assert tuple(cat.counts().first()) == (obs.VERSION, len(obs.TABLES), len(g.defs), 5, len(obs.STATED))
     assert integrity.integrity(cat).count() == 0
     locations = {r.location for r in integrity.unknown_claims(cat).collect()}
-    assert 'nodes["sqlite:lending.region"].grain' in locations
-    assert 'nodes["sqlite:lending.account"].entity_definitions[["region_identity",["region_id"]]].conforms' in locations
-    assert 'entity_relationships[["account_identity","customer_identity"]].match_existence.1' in locations
-    assert len(locations) == 1 + 5 + 3
+    assert 'nodes["obs/night_log"].grain' in locations
+    assert 'nodes["obs/camera"].entity_definitions[["key:site",["site_code"]]].conforms' in locations
+    assert 'entity_relationships[["key:camera","key:site"]].match_existence.1' in locations
+    unknown = sum((d.universe == "unknown") + (d.unique is None) + (d.total is None) + (d.conforms is None) for d in g.defs)
+    stated = sum(s[2:5].count("unknown") for s in obs.STATED)
+    assert len(locations) == 1 + unknown + stated
+
+
+def test_ingestion_refuses_or_reports(spark, tmp_path):
+    source = obs.catalog()
+    source["logical_identities"]["key:site"]["synonyms"] = "oops"
+    source["nodes"][0]["columns"][1]["colour"] = "red"
+    (tmp_path / "good.yaml").write_text(yaml.safe_dump(source))
+    (tmp_path / "bad.yaml").write_text("a: [")
+    paths_ = [str(tmp_path / "good.yaml"), str(tmp_path / "bad.yaml")]
+    with pytest.raises(ValueError, match="bad.yaml"):
+        collections.ingest(spark, paths_)
+    found = collections.ingest_findings(collections.read_files(spark, paths_)).collect()
+    assert {(r.location.rpartition("/")[2], r.rule) for r in found} == {
+        ("bad.yaml:$", "yaml_syntax"), ("good.yaml:$.logical_identities.key:site.synonyms", "list_type"),
+        ("good.yaml:$.nodes[0].columns[1].colour", "extra_forbidden")}
 
 
 def test_publish_and_load(cat, tmp_path, spark):
@@ -44,35 +65,52 @@ def test_publish_and_load(cat, tmp_path, spark):
                      identities=cat.identities, snapshot=cat.snapshot)
     with pytest.raises(ValueError):
         snapshots.publish(broken, root, "2027-01-01T00:00:00Z")
-    assert snapshots.load(spark, root).counts().first()["version"] == "2026-01-02T03:04:05Z"
+    assert snapshots.load(spark, root).counts().first()["version"] == obs.VERSION
+    snapshots.publish(cat, root, "2026-02-01T00:00:00Z")  # the last one published is current, not the greatest text
+    assert snapshots.load(spark, root).counts().first()["version"] == "2026-02-01T00:00:00Z"
+
+
+def test_version_is_fixed_when_built(spark, tmp_path):
+    import time
+
+    cat = collections.catalog_from_files(spark, parsed(spark, obs.catalog()))
+    first = cat.snapshot.first()[0]
+    time.sleep(1.2)
+    assert cat.snapshot.first()[0] == first
 
 
 def test_json_artifact(spark, tmp_path):
-    source = lending.catalog()
-    files = {
-        "nodes": {"version": "v1", "nodes": source["nodes"], "logical_identities": [{"identity_id": k, **v} for k, v in source["logical_identities"].items()]},
-        "annotations": {"version": "v1", "annotations": [{"edge_id": "D1-D3", "description": "check"}]},
+    source = obs.catalog()
+    identities = [{"identity_id": k, **v} for k, v in source["logical_identities"].items()]
+    edge_id = obs.edge("field", "obs/exposure", "obs/field")[-1]
+    bodies = {
+        "nodes": {"version": "v1", "nodes": source["nodes"], "logical_identities": identities},
+        "annotations": {"version": "v1", "annotations": [{"edge_id": edge_id, "description": "check"}]},
         "entity_relationships": {"version": "v1", "entity_relationships": source["entity_relationships"]},
     }
-    paths_ = {}
-    for name, body in files.items():
-        paths_[name] = str(tmp_path / f"{name}.json")
-        (tmp_path / f"{name}.json").write_text(json.dumps(body, indent=2))
-    cat = snapshots.load_artifact(spark, *paths_.values())
-    req = spark.createDataFrame([(1, "D1-D3", lending.P + "account_holder", None)], "req_id bigint, edge_id string, from_node_id string, from_dataset_columns array<string>")
+
+    def write(**changed):
+        for name, body in {**bodies, **changed}.items():
+            (tmp_path / f"{name}.json").write_text(json.dumps(body, indent=2))
+        return [str(tmp_path / f"{name}.json") for name in bodies]
+
+    cat = snapshots.load_artifact(spark, *write())
+    req = spark.createDataFrame([(1, edge_id, "obs/exposure", None)], "req_id bigint, edge_id string, from_node_id string, from_dataset_columns array<string>")
     row = relationships.lookup_relationships(cat, req).first()
-    assert row.annotation.description == "check" and row.multiplicity == "many:1"
-    assert row.edge == "sqlite:lending.account_holder[account_id] -> sqlite:lending.account[account_id]"
-    assert cat.entity_relationships.count() == 4 and integrity.integrity(cat).count() == 0
-    (tmp_path / "annotations.json").write_text(json.dumps({"version": "v2", "annotations": []}))
+    expected = obs.edge("field", "obs/exposure", "obs/field")
+    assert row.annotation.description == "check" and (row.edge, row.multiplicity) == (expected[0], expected[1])
+    assert cat.entity_relationships.count() == len(obs.STATED) and integrity.integrity(cat).count() == 0
+    names = write(annotations={"version": "v2", "annotations": []})
     with pytest.raises(ValueError):
-        snapshots.load_artifact(spark, *paths_.values())
-    assert [r.version for r in snapshots.envelope_findings(spark, list(paths_.values())).collect()] == ["v2"]
+        snapshots.load_artifact(spark, *names)
+    assert [r.version for r in snapshots.envelope_findings(spark, names).collect()] == ["v2"]
+    twice = {**bodies["nodes"], "logical_identities": identities + identities[:1]}
+    assert "duplicate_identity" in {r.rule for r in integrity.integrity(snapshots.load_artifact(spark, *write(nodes=twice))).collect()}
 
 
 def test_folder_manifest(spark, tmp_path):
-    source = lending.catalog()
-    folder = tmp_path / "final"
+    source = obs.catalog()
+    folder = tmp_path / "fin(a)l"
     (folder / "nodes").mkdir(parents=True)
     def write(path, **body):
         (folder / path).write_text(yaml.safe_dump(body))
@@ -91,7 +129,7 @@ def test_folder_manifest(spark, tmp_path):
         ("manifest:$.nodes[5]", "unsupported_file"), ("readme.txt", "unsupported_file"), ("nodes/c.yaml", "unlisted_file"),
     }
     files = collections.read_files(spark, [str(folder / p) for p in ("ids.yaml", "nodes/a.yaml", "nodes/b.yaml", "nodes/c.yaml", "nodes/bad.yaml")])
-    files = files.withColumn("path", F.regexp_replace("path", ".*/final/", ""))
+    files = files.withColumn("path", F.regexp_replace("path", ".*/fin.a.l/", ""))
     own = spark.createDataFrame([(json.dumps({"schema_version": "1", "logical_identities": "ids.yaml", "nodes": ["nodes/a.yaml", "nodes/b.yaml", "nodes/c.yaml", "nodes/bad.yaml"]}),)], "json string")
     found = {(r.location, r.rule) for r in collections.ownership_findings(collections.manifest_entries(own), files).collect()}
     assert found == {
@@ -102,196 +140,194 @@ def test_folder_manifest(spark, tmp_path):
 
 
 def test_raw_field_findings(spark):
-    source = lending.catalog()
-    del source["nodes"][0]["grain"]
-    source["nodes"][1]["rows"] = 5
-    source["nodes"][1]["entity_definitions"][0]["unique"] = "maybe"
-    source["logical_identities"]["loan_identity"].pop("name")
-    files = spark.createDataFrame([("f", json.dumps(source), None)], "path string, json string, error string")
-    assert {(r.location, r.rule) for r in collections.field_findings(files).collect()} == {
-        ("$.nodes[0].grain", "missing"), ("$.nodes[1].rows", "extra_forbidden"),
-        ("$.nodes[1].entity_definitions[0].unique", "claim_domain"), ("$.logical_identities.loan_identity.name", "missing"),
-    }
+    source = obs.catalog()
+    nodes = source["nodes"]
+    del nodes[0]["grain"]
+    nodes[1]["rows"] = 5
+    nodes[1]["entity_definitions"][0]["unique"] = "maybe"
+    nodes[1]["descriptor"]["owner"] = "me"
+    nodes[2]["accessor"]["endpoint"] = 7
+    nodes[2]["grain"]["components"][0]["dataset_columns"] = "camera_no"
+    nodes[3]["columns"][0].pop("name")
+    nodes[3]["grain"] = "none"
+    source["logical_identities"]["key:log"].pop("name")
+    source["entity_relationships"][1]["match_existence"] = "optional"
+    assert {(r.location, r.rule) for r in collections.field_findings(parsed(spark, source)).collect()} == {
+        ("$.nodes[0].grain", "missing"), ("$.nodes[1].rows", "extra_forbidden"), ("$.nodes[1].entity_definitions[0].unique", "claim_domain"),
+        ("$.nodes[1].descriptor.owner", "extra_forbidden"), ("$.nodes[2].accessor.endpoint", "string_type"),
+        ("$.nodes[2].grain.components[0].dataset_columns", "list_type"), ("$.nodes[3].columns[0].name", "missing"),
+        ("$.nodes[3].grain", "dict_type"), ("$.logical_identities.key:log.name", "missing"),
+        ("$.entity_relationships[1].match_existence", "list_type")}
 
 
 def test_integrity_finds_each_fault(spark):
-    source = lending.catalog()
-    nodes = source["nodes"]
-    nodes.append(json.loads(json.dumps(nodes[4])))  # duplicate node, accessor, columns and definition
-    nodes[0]["entity_definitions"][0]["dataset_columns"] = ["zz", "account_id"]
-    nodes[1]["entity_definitions"][0]["identity_id"] = "nobody"
-    nodes[2]["entity_definitions"][0]["conforms"] = False
-    nodes[3]["accessor"]["endpoint"] = "  "
-    nodes[3]["entity_definitions"][1]["entity_universe"] = "some"
-    source["entity_relationships"] += [
-        {"endpoints": ["region_identity", "account_identity"], "multiplicity": "1:2", "match_existence": ["always", "always"], "descriptions": ["x", "x"]},
-        {"endpoints": ["account_identity", "customer_identity"], "multiplicity": "1:1", "match_existence": ["always", "always"], "descriptions": []},
-        {"endpoints": ["account_identity", "stranger"], "multiplicity": "1:1", "match_existence": ["always", "always"], "descriptions": [" "]},
-    ]
-    files = spark.createDataFrame([("f", json.dumps(source))], "path string, json string")
-    cat = collections.catalog_from_files(spark, files, "v")
-    cat.annotations = spark.createDataFrame([("D1-D2", "", []), ("D1-D2", "", []), ("D7-D10", "", [])], "edge_id string, description string, tags array<string>")
+    source = obs.catalog()
+    by_name = {n["node_id"]: n for n in source["nodes"]}
+    log, exposure, camera, field = (by_name[f"obs/{n}"] for n in ("night_log", "exposure", "camera", "field"))
+    source["nodes"].append(json.loads(json.dumps(field)))  # node, accessor, columns and definition twice
+    camera["entity_definitions"][0]["dataset_columns"] = ["lens", "camera_no"]
+    camera["entity_definitions"][1]["dataset_columns"] = ["zenith"]
+    exposure["entity_definitions"][0]["identity_id"] = "key:none"
+    log["entity_definitions"][1]["conforms"] = False
+    log["accessor"]["endpoint"] = "  "
+    log["entity_definitions"][2]["entity_universe"] = "most"
+    stated = source["entity_relationships"]
+    for a, b, m, texts in (("site", "camera", "2:1", ["x", "x"]), ("camera", "site", "1:1", []), ("camera", "moon", "1:1", [" "])):
+        stated.append({"endpoints": [obs.key(a), obs.key(b)], "multiplicity": m, "match_existence": ["always", "always"], "descriptions": texts})
+    cat = collections.catalog_from_files(spark, parsed(spark, source), "v")
+    cat.annotations = spark.createDataFrame([("D1-D2", "", []), ("D1-D2", "", []), ("D3-D7", "", [])], "edge_id string, description string, tags array<string>")
     cat.definitions = cat.definitions.dropDuplicates(["node_id", "identity_id", "dataset_columns"])
-    rules = {r.rule for r in integrity.integrity(cat).collect()}
-    assert rules == {
+    assert {r.rule for r in integrity.integrity(cat).collect()} >= {
         "duplicate_node", "duplicate_accessor", "duplicate_column", "missing_column", "column_list", "unknown_identity",
         "complete_must_conform", "blank", "claim_domain", "endpoints", "duplicate_pair", "descriptions", "grain_definition",
-        "duplicate_annotation", "unknown_edge",
-    }
-    twice = collections.catalog_from_files(spark, files, "v")
-    assert integrity.duplicate_definitions(twice).count() == 1
+        "duplicate_annotation", "unknown_edge"}
+    assert integrity.duplicate_definitions(collections.catalog_from_files(spark, parsed(spark, source), "v")).count() == 1
 
 
 def test_accessor_warning_and_canonical_json(spark):
     samples = ['{"b":1,"a":{"d":[1,"é\\n"],"c":null}}', '{"z":"\\u00e9","A":true,"a":1.5}']
     got = [r[0] for r in spark.createDataFrame([(s,) for s in samples], "s string").select(canonical_json(F.col("s"))).collect()]
     assert got == [json.dumps(json.loads(s), ensure_ascii=False, separators=(",", ":"), sort_keys=True) for s in samples]
-    source = lending.catalog()
-    source["nodes"][0]["accessor"]["properties"]["long"] = "x" * 300
-    source["nodes"][0]["accessor"]["labels"] = {"b": "1", "a": 'q"'}
-    files = spark.createDataFrame([("f", json.dumps(source))], "path string, json string")
-    rows = integrity.accessor_warnings(collections.catalog_from_files(spark, files, "v")).collect()
-    expected = len(json.dumps(source["nodes"][0]["accessor"], ensure_ascii=False, separators=(",", ":"), sort_keys=True))
-    assert [(r.node_id, r.length) for r in rows] == [("sqlite:lending.account", expected)]
+    source = obs.catalog()
+    long = source["nodes"][2]["accessor"]
+    long["properties"]["long"], long["labels"] = "x" * 300, {"b": "1", "a": 'q"'}
+    rows = integrity.accessor_warnings(collections.catalog_from_files(spark, parsed(spark, source), "v")).collect()
+    assert [(r.node_id, r.length) for r in rows] == [
+        (source["nodes"][2]["node_id"], len(json.dumps(long, ensure_ascii=False, separators=(",", ":"), sort_keys=True)))]
 
 
 def test_records_and_groups(cat, spark):
-    req = spark.createDataFrame([(lending.P + "loan",), ("nowhere",)], "node_id string")
+    req = spark.createDataFrame([("obs/exposure",), ("nowhere",)], "node_id string")
     rows = {r.status: r for r in projection.dataset_records(cat, req).collect()}
-    loan = rows["ok"]
-    assert [c.name for c in loan.columns] == ["loan_id", "account_id", "amount", "status"]
-    assert [c.id for c in loan.columns][:2] == ["C14", "C12"]
-    assert [(d.id, d.effective_description, d.description_source) for d in loan.entity_definitions] == [("D8", "the repaying account", "column"), ("D9", "id of the loan", "column")]
+    record, columns = rows["ok"], obs.TABLES["obs/exposure"][0]
+    assert [(c.id, c.name) for c in record.columns] == [(obs.column_id("obs/exposure", c), c) for c in columns]
+    own = [(f"D{obs.graph().ord[d]}", obs.described("obs/exposure", d.columns[0]), "column") for d in obs.graph().on("obs/exposure")]
+    assert [(d.id, d.effective_description, d.description_source) for d in record.entity_definitions] == own
     assert rows["unknown_dataset"].qualified_name is None
     small = projection.dataset_records(cat, req, "essential", {"dataset": ["grain"]})
-    assert small.columns == ["qualified_name", "edge_count", "accessor", "grain", "status"] or small.columns[0] == "node_id"
+    assert {"qualified_name", "edge_count", "accessor", "grain", "status"} <= set(small.columns) and "columns" not in small.columns
     with pytest.raises(ValueError):
         projection.chosen_fields("edge", "full", {"edge": ["nope"]})
     assert projection.chosen_fields("dataset", "essential", {"entity_definition": ["total"]})[-1] == "entity_definitions"
+    assert "identity_id" in projection.chosen_fields("edge", "essential", paths=True)
     fields = projection.chosen_fields("dataset", "standard")
     flat = projection.flattened(projection.dataset_records(cat, detail="standard"), [f for f in fields if f != "distance"])
     assert "accessor.kind" in flat.columns
 
-    ask = spark.createDataFrame([(1, lending.P + "account")], "req_id bigint, node_id string")
+    ask = spark.createDataFrame([(1, "obs/camera")], "req_id bigint, node_id string")
     page = relationships.describe_edges(cat, discovery.edge_page(cat, ask))
     groups = {r.identity_id: r.entity_definitions for r in projection.edge_groups(page).collect()}
-    account = groups["account_identity"][0]
-    assert (account.id, account.edge_count, account.truncated) == ("D1", 2, False)
-    assert [(e.edge_id, e.multiplicity, e.to_description) for e in account.edges] == [("D1-D3", "1:many", "the account held"), ("D1-D8", "1:many", "the repaying account")]
+    first = groups[obs.key("camera")][0]
+    expected = sorted([obs.edge("camera", "obs/camera", t) for t in ("obs/exposure", "obs/night_log")], key=lambda e: int(e[-1].split("-D")[1]))
+    assert (first.id, first.edge_count, first.truncated) == (f"D{obs.ordinal('obs/camera', 'camera')}", 2, False)
+    assert [(e.edge_id, e.multiplicity, e.to_description) for e in first.edges] == [(e[7], e[1], e[6]) for e in expected]
     assert projection.edge_rows(page, "essential").columns == ["req_id", "s_ord", "rank", "edge", "multiplicity", "match_existence", "edge_id"]
 
 
 def test_entity_relationships_and_paths(cat, spark):
-    req = spark.createDataFrame([(1, "customer_identity"), (2, "holder_identity"), (3, "nobody")], "req_id bigint, identity_id string")
+    req = spark.createDataFrame([(1, "key:exposure"), (2, "key:log"), (3, "key:none")], "req_id bigint, identity_id string")
     rows = sorted(relationships.entity_relationships(cat, req).collect(), key=lambda r: (r.req_id, r["rank"] or 0))
-    first = [(r.other_id, r.id, r.multiplicity, r.match_existence, r.reverse_match_existence, r.unknown_fields) for r in rows if r.req_id == 1]
-    assert first == [
-        ("account_identity", "X1", "1:many", "unknown", "always", ["match_existence"]),
-        ("customer_identity", "X2", "1:many", "optional", "optional", []),
-        ("region_identity", "X3", "many:1", "unknown", "optional", ["match_existence"]),
-    ]
+    assert [(r.other_id, r.id, r.multiplicity, r.match_existence, r.unknown_fields) for r in rows if r.req_id == 1] == [
+        ("key:exposure", "X2", "unknown", "optional", ["multiplicity"]), ("key:field", "X3", "many:1", "unknown", ["match_existence"])]
     assert [(r.status, r.total) for r in rows if r.req_id > 1] == [("ok", 0), ("unknown_identity", 0)]
-    req = spark.createDataFrame([(1, "account_identity", "loan_identity"), (2, "account_identity", "holder_identity")], "req_id bigint, from_identity_id string, to_identity_id string")
+    req = spark.createDataFrame([(1, "key:camera", "key:exposure"), (2, "key:camera", "key:log")], "req_id bigint, from_identity_id string, to_identity_id string")
     found = paths.entity_paths(cat, req, 2, 4)
-    assert [(r.req_id, r.ids, r.truncated) for r in found.collect()] == [(1, ["account_identity", "customer_identity", "region_identity", "loan_identity"], False)]
+    way = ["key:camera", "key:site", "key:field", "key:exposure"]
+    assert [(r.req_id, r.ids, r.truncated) for r in found.collect()] == [(1, way, False)]
     steps = sorted(paths.entity_path_steps(cat, found).collect(), key=lambda r: r.step)
-    assert [(r.from_id, r.multiplicity, r.id) for r in steps] == [("account_identity", "many:1", "X1"), ("customer_identity", "many:1", "X3"), ("region_identity", "unknown", "X4")]
-
-
-def _set(doc, path, value):
-    at = doc
-    for key in path[:-1]:
-        at = at[key]
-    if value is _DELETE:
-        del at[path[-1]]
-    else:
-        at[path[-1]] = value
-
-
-_DELETE = object()
-_E = ["datasets", 0, "edge_groups", 0, "entity_definitions", 0]
-CASES = [
-    (["question"], _DELETE, "missing", "error", "$.question"),
-    (["datasets", 0, "accessor", "kind"], _DELETE, "missing", "error", "$.datasets[0].accessor.kind"),
-    (["datasets", 0, "accessor", "endpoint"], _DELETE, "missing", "error", "$.datasets[0].accessor.endpoint"),
-    (["datasets"], {}, "list_type", "error", "$.datasets"),
-    (["status"], "open", "literal_error", "error", "$.status"),
-    (["edge_fields", 7], "annotation", "edge_fields", "error", "$.edge_fields"),
-    ([*_E, "edges", 0], ["a[b] -> c[d]", "many:1"], "edge_length", "error", None),
-    ([*_E, "edges", 0, 0], "nonsense", "edge_label", "error", None),
-    ([*_E, "dataset_columns"], ["loan_id"], "edge_start", "error", None),
-    (["datasets", 1, "edge_groups", 0, "entity_definitions", 0, "edges", 0, 7], "D10-D2", "edge_key", "error", None),
-    ([*_E, "usage"], {"D2-D10": {"note": "x"}}, "usage_key", "error", None),
-    ([*_E, "usage", "D1-D8", "keep"], [lending.P + "region"], "not_an_endpoint", "error", None),
-    (["datasets", 2], _DELETE, "dangling_reference", "warning", None),
-    (["datasets", 0, "columns", 0], _DELETE, "unlisted_column", "warning", "$.datasets['sqlite:lending.loan'].usage.columns['loan_id']"),
-    (["gaps", "region-match", "datasets"], ["sqlite:lending.branch"], "dangling_reference", "warning", "$.gaps['region-match'].datasets[0]"),
-    (["gaps", "region-match", "edges"], [{"definition_id": "D10", "edge_id": "D2-D10"}], "dangling_reference", "warning", "$.gaps['region-match'].edges[0]"),
-    (["datasets", 0, "row_count"], 10, "unknown_key", "info", "$.datasets[0].row_count"),
-    (["datasets", 1, "node_id"], lending.P + "loan", "duplicate_dataset", "error", "$.datasets[1]"),
+    assert [(r.from_id, r.multiplicity, r.id) for r in steps] == [(way[0], "many:1", "X1"), (way[1], "many:many", "X4"), (way[2], "1:many", "X3")]
+
+
+def start(doc):
+    """The exposure's first definition with an edge, and the exposure."""
+    exposure = doc["datasets"][1]
+    return exposure["edge_groups"][1]["entity_definitions"][0], exposure
+
+
+#: One fault per rule: what is done to a sound document, how severe that is, and where it must be seen.
+FAULTS = [
+    ("missing", "error", "$.edge_fields", lambda d: d.pop("edge_fields")),
+    ("missing", "error", "$.datasets[2].accessor.endpoint", lambda d: d["datasets"][2]["accessor"].pop("endpoint")),
+    ("list_type", "error", "$.datasets[0].columns", lambda d: d["datasets"][0].update(columns="all")),
+    ("dict_type", "error", "$.datasets[0].stats", lambda d: d["datasets"][0].update(stats="many")),
+    ("dict_type", "error", "$.datasets[2].accessor.properties", lambda d: d["datasets"][2]["accessor"].update(properties=[1])),
+    ("dict_type", "error", "$.datasets[2].grain", lambda d: d["datasets"][2].update(grain=5)),
+    ("literal_error", "error", "$.datasets[0].usage.role", lambda d: d["datasets"][0]["usage"].update(role="hero")),
+    ("edge_fields", "error", "$.edge_fields", lambda d: d.update(edge_fields=d["edge_fields"][:-1] + ["colour"])),
+    ("edge_length", "error", None, lambda d: start(d)[0]["edges"][0].pop()),
+    ("edge_label", "error", None, lambda d: start(d)[0]["edges"][0].__setitem__(0, "field to exposure")),
+    ("edge_start", "error", None, lambda d: start(d)[0].update(dataset_columns=["taken_at"])),
+    ("edge_key", "error", None, lambda d: start(d)[0]["edges"][0].__setitem__(7, "D9-D4")),
+    ("usage_key", "error", None, lambda d: start(d)[0].update(usage={"D1-D2": {"note": "other"}})),
+    ("not_an_endpoint", "error", None, lambda d: start(d)[0]["usage"][start(d)[0]["edges"][0][7]].update(keep=["obs/camera"])),
+    ("dangling_reference", "warning", None, lambda d: d["datasets"].pop(2)),
+    ("dangling_reference", "warning", "$.gaps['unseen'].datasets[0]", lambda d: d["gaps"]["unseen"].update(datasets=["obs/moon"])),
+    ("unlisted_column", "warning", "$.datasets['obs/exposure'].usage.columns['exposure_no']", lambda d: d["datasets"][1]["columns"].pop(0)),
+    ("unknown_key", "info", "$.datasets[0].altitude", lambda d: d["datasets"][0].update(altitude=1)),
+    ("duplicate_dataset", "error", "$.datasets[2]", lambda d: d["datasets"][2].update(node_id="obs/field")),
 ]
 
 
 def test_document_checks(spark):
-    rows = [(0, json.dumps(lending.document())), (99, "{")]
-    for i, (path, value, *_) in enumerate(CASES, 1):
-        doc = lending.document()
-        _set(doc, path, value)
+    rows = [(0, json.dumps(obs.document())), (99, "{")]
+    for i, (*_, change) in enumerate(FAULTS, 1):
+        doc = obs.document()
+        change(doc)
         rows.append((i, json.dumps(doc)))
     docs = spark.createDataFrame(rows, "doc_id bigint, payload string").cache()
     checked = cut(documents.check_documents(docs))
     found = checked.collect()
     assert not [f for f in found if f.doc_id == 0], [f for f in found if f.doc_id == 0]
     assert [f.rule for f in found if f.doc_id == 99] == ["parse_error"]
-    for i, (path, _, rule, severity, location) in enumerate(CASES, 1):
+    for i, (rule, severity, location, _) in enumerate(FAULTS, 1):
         own = [f for f in found if f.doc_id == i]
-        assert any(f.rule == rule and f.severity == severity and location in (None, f.location) for f in own), (path, own)
-    final = documents.check_references(docs.where("doc_id = 13"), final=True).collect()
+        assert any(f.rule == rule and f.severity == severity and location in (None, f.location) for f in own), (rule, location, own)
+    gone = 1 + next(i for i, f in enumerate(FAULTS) if f[0] == "dangling_reference")
+    final = documents.check_references(docs.where(f"doc_id = {gone}"), final=True).collect()
     assert {f.severity for f in final if f.rule == "dangling_reference"} == {"error"}
     ready = {r.doc_id: r.finalisable for r in documents.finalisable(docs, checked).collect()}
-    assert ready[0] and ready[13] and ready[17] and not ready[1] and not ready[99]
+    assert ready[0] and ready[gone] and not ready[1] and not ready[99]
 
 
 def test_documents_against_catalog(spark, cat):
-    rows = [(0, lending.document())]
-    changes = [
-        ([*_E, "edges", 0, 1], "1:1", "graph_mismatch", ".multiplicity"), ([*_E, "id"], "D7", "graph_mismatch", ".id"),
-        (["datasets", 0, "node_id"], lending.P + "lease", "unknown_element", "lease']"),
-        (["datasets", 0, "columns", 0, "description"], "else", "graph_mismatch", "columns['loan_id'].description"),
-        (["datasets", 0, "columns", 0, "name"], "nope", "unknown_element", "columns['nope']"),
-        (["datasets", 0, "descriptor", "tags"], ["x"], "graph_mismatch", ".descriptor.tags"),
-        (["datasets", 0, "accessor", "properties"], {"schema": "other"}, "graph_mismatch", ".accessor.properties"),
-        (["datasets", 2, "grain"], {"components": []}, "graph_mismatch", ".grain"),
-        (["graph"], {"snapshot": {"api_version": "1", "version": "2026-01-02T03:04:05Z"}}, "graph_mismatch", "$.graph.snapshot.api_version"),
-        ([*_E, "dataset_columns"], ["status"], "unknown_element", "entity_definitions[['status']]"),
-        ([*_E, "edges", 0, 7], "D1-D9", "unknown_element", "edges['D1-D9']"),
-        (["datasets", 0, "entity_definitions"], [{"identity_id": "loan_identity", "dataset_columns": ["loan_id"], "unique": False, "conforms": "unknown", "entity_metadata": {"context": "column reference"}}], "graph_mismatch", ".unique"),
+    differing = [
+        ("graph_mismatch", ".multiplicity", lambda d: start(d)[0]["edges"][0].__setitem__(1, "1:1")),
+        ("graph_mismatch", ".id", lambda d: start(d)[0].update(id="D9")),
+        ("unknown_element", "moon']", lambda d: d["datasets"][2].update(node_id="obs/moon")),
+        ("graph_mismatch", "columns['field_no'].description", lambda d: d["datasets"][0]["columns"][0].update(description="else")),
+        ("unknown_element", "columns['nope']", lambda d: d["datasets"][0]["columns"][1].update(name="nope")),
+        ("graph_mismatch", ".descriptor.tags", lambda d: d["datasets"][2]["descriptor"].update(tags=[])),
+        ("graph_mismatch", ".accessor.properties", lambda d: d["datasets"][2]["accessor"].update(properties={"layout": "flat"})),
+        ("graph_mismatch", ".grain", lambda d: d["datasets"][2].update(grain={"components": []})),
+        ("graph_mismatch", "$.graph.snapshot.api_version", lambda d: d.update(graph={"snapshot": {"api_version": "1", "version": obs.VERSION}})),
+        ("unknown_element", "entity_definitions[['taken_at']]", lambda d: start(d)[0].update(dataset_columns=["taken_at"])),
+        ("unknown_element", "edges['D1-D9']", lambda d: start(d)[0]["edges"][0].__setitem__(7, "D1-D9")),
     ]
-    for i, (path, value, *_) in enumerate(changes, 1):
-        doc = lending.document()
-        _set(doc, path, value)
+    served = obs.document()  # as the catalog serves it: defaults written out
+    served["datasets"][2]["grain"] = {"description": "", "components": [
+        {"dataset_columns": ["camera_no"], "identity_id": "key:camera", "description": ""}]}
+    rows = [(0, served)]
+    for i, (*_, change) in enumerate(differing, 1):
+        doc = obs.document()
+        change(doc)
         rows.append((i, doc))
     docs = spark.createDataFrame([(i, json.dumps(d)) for i, d in rows], "doc_id bigint, payload string")
     found = documents.resolve_documents(docs, cat).collect()
     assert not [f for f in found if f.doc_id == 0], [f for f in found if f.doc_id == 0]
-    for i, (path, _, rule, end) in enumerate(changes, 1):
+    for i, (rule, end, _) in enumerate(differing, 1):
         own = [f for f in found if f.doc_id == i]
-        assert any(f.rule == rule and f.location.endswith(end) for f in own), (path, own)
-    assert len([f for f in found if f.doc_id == 12]) == 1
+        assert any(f.rule == rule and f.location.endswith(end) for f in own), (rule, end, own)
 
 
 def test_document_rendering_parts(spark):
-    doc = lending.document()
-    other = lending.document()
-    other["datasets"][1]["qualified_name"] = "archive.loan"
+    doc, other = obs.document(), obs.document()
+    other["datasets"][1]["qualified_name"] = "archive.field"
     del other["datasets"][2]
     docs = spark.createDataFrame([(1, json.dumps(doc)), (2, json.dumps(other))], "doc_id bigint, payload string")
     names = {(r.doc_id, r.node_id): r.alias for r in documents.aliases(docs).collect()}
-    assert names[(1, lending.P + "loan")] == "loan" and names[(2, lending.P + "loan")] == "lending.main.loan"
-    assert names[(2, lending.P + "account")] == "archive.loan" and names[(2, lending.P + "region")] == "region"
+    assert names[(1, "obs/field")] == "field" and names[(2, "obs/field")] == "obs.field" and names[(2, "obs/exposure")] == "archive.field"
     said = {r.edge_id: (r.forward, r.backward) for r in documents.edge_sentences(docs.where("doc_id = 1")).collect()}
-    assert said["D1-D8"] == ("Every loan row matches exactly one account row.", "Each account row matches any number of loan rows; some match none.")
-    assert said["D2-D10"][0] == "Each account row matches at most one region row; whether every account row matches is unknown."
+    assert len(said) == 2 and all("exposure" in a and "exposure" in b for a, b in said.values())
     assert {r.doc_id: r.components for r in documents.component_counts(docs).collect()} == {1: 1, 2: 1}
 
 

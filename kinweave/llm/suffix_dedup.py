@@ -21,6 +21,7 @@ only meets the shards that can match it.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import compress
 
@@ -29,14 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.llm.batches import Piece, mix, pieces, split
+from kinweave.llm.common import small
 from kinweave.llm.shared_keys import shared_keys
 from kinweave.llm.token_codes import shared_folder
+from kinweave.plans.lineage import cut
 from kinweave.plans.shipping import ship_by_value
 
 ship_by_value(__name__)
 
 GRAM = 6  # words of an anchor
-SHARD = 150_000  # words of a reference shard
+SHARD = 200_000  # distinct windows of a reference shard
+SAMPLE, LONG = 16, 20
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -88,7 +92,7 @@ def _anchors(width: int):
     return extract
 
 
-SPANS = "array<struct<owner: bigint, start: int, words: binary>>"
+SPANS = "array<struct<owner: bigint, start: int, n: int>>"
 STAGED = f"doc_id bigint, text_key bigint, n_words bigint, kept_sha256 string, text string, spans {SPANS}"
 
 
@@ -104,7 +108,7 @@ def _runs(keys: np.ndarray, live: np.ndarray) -> list[tuple[int, int]]:
 
 def _spans(width: int):
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans_type = pa.list_(pa.struct([("owner", pa.int64()), ("start", pa.int32()), ("words", pa.binary())]))
+        spans_type = pa.list_(pa.struct([("owner", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
         for batch in batch_iter:
             ids, keys, hits = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
             for piece in pieces(batch.column(2)):
@@ -124,7 +128,7 @@ def _spans(width: int):
                         place = np.minimum(np.searchsorted(anchor, mine), len(anchor) - 1)
                         live = anchor[place] == mine
                         for a, b in _runs(np.where(live, owner[place], 0), live):
-                            found.append({"owner": int(owner[place[a]]), "start": a, "words": own[a : b + width - 1].tobytes()})
+                            found.append({"owner": int(owner[place[a]]), "start": a, "n": b - a + width - 1})
                     out["doc_id"].append(ids[at])
                     out["text_key"].append(keys[at])
                     out["n_words"].append(len(own))
@@ -140,9 +144,15 @@ def _spans(width: int):
 
 
 class SuffixAutomaton:
-    """Of several word sequences; each state knows the document that brought it."""
+    """Of the windows of several word sequences; each state knows the document that brought it.
 
-    def __init__(self) -> None:
+    Strings up to ``width`` words are exact. After each word the state falls back to the one of the last
+    ``width`` words, so texts that agree again after a difference share states: their number follows the
+    distinct windows, not the length of all passages.
+    """
+
+    def __init__(self, width: int) -> None:
+        self.width = width
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length, self.first = [-1], [0], [-1]
 
@@ -169,6 +179,8 @@ class SuffixAutomaton:
         """Documents must come in ascending order."""
         last = 0
         for word in words:
+            while self.length[last] > self.width and self.length[self.link[last]] >= self.width:
+                last = self.link[last]
             if word in self.step[last]:
                 last = self._split(last, word)
                 continue
@@ -180,8 +192,9 @@ class SuffixAutomaton:
                 self.link[new] = self._split(p, word)
             last = new
 
-    def matches(self, words: list[int], width: int, doc: int) -> np.ndarray:
-        """Which windows of ``width`` words occur in a document before ``doc``."""
+    def matches(self, words: list[int], doc: int) -> np.ndarray:
+        """Which windows occur in a document before ``doc``."""
+        width = self.width
         found = np.zeros(max(len(words) - width + 1, 0), dtype=bool)
         step, link, length = self.step, self.link, self.length
         state = held = 0
@@ -199,50 +212,143 @@ class SuffixAutomaton:
         return found
 
 
-PASSAGE = "owner bigint, sid bigint, n int, first bigint, runs array<struct<at: int, size: int>>"
+OCCURRENCE = "doc_id bigint, place bigint, place_key bigint, place_n int, start int, key bigint, words binary"
+
+
+def _span_words(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of documents (doc_id, text_key, text, spans), one row each, with their word hashes."""
+    for batch in batch_iter:
+        ids, keys, spans = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
+        for piece in pieces(batch.column(2)):
+            words = split(piece)
+            first = np.cumsum(words.per_row) - words.per_row
+            rows = [
+                (ids[i], keys[i], s["start"], s["owner"], words.hashes[(at := first[i - piece.first] + s["start"]) : at + s["n"]].tobytes())
+                for i in range(piece.first, piece.last) for s in spans[i]
+            ]
+            doc, key, start, owner, data = zip(*rows) if rows else ((),) * 5
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(doc, pa.int64()), pa.array(key, pa.int64()), none, none.cast(pa.int32()), pa.array(start, pa.int32()),
+                pa.array(owner, pa.int64()), pa.array(data, pa.binary())],
+                names=["doc_id", "place", "place_key", "place_n", "start", "key", "words"])
+
+
+def _recut(width: int, by_window: bool):
+    """Passages (key, sid, n, first, words) cut where the anchor changes, or into single windows, as occurrences in them."""
+
+    def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batch_iter:
+            out = []
+            for r in batch.to_pylist():
+                words = np.frombuffer(r["words"], "<u8")
+                keys = _grams(words, width) if by_window else window_anchors(words, width)
+                cuts = [(i, i + 1) for i in range(len(keys))] if by_window else _runs(keys, np.ones(len(keys), bool))
+                out += [{"doc_id": r["first"], "place": r["key"], "place_key": r["sid"], "place_n": r["n"], "start": a, "key": int(keys[a]),
+                         "words": words[a : b + width - 1].tobytes()} for a, b in cuts]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
+                ("doc_id", pa.int64()), ("place", pa.int64()), ("place_key", pa.int64()), ("place_n", pa.int32()), ("start", pa.int32()),
+                ("key", pa.int64()), ("words", pa.binary())]))
+
+    return run
+
+
+PASSAGE = "key bigint, sid bigint, n int, first bigint, words binary"
+KNOWN = "key bigint, sid bigint, n int, first bigint, runs array<struct<at: int, size: int>>"
 
 
-def _automata(width: int):
-    """Rows come by shard, and within a shard by first document."""
+def _automata(width: int, by_owner: bool):
+    """Passages come by shard, and within a shard by first document; an owner's own passage asks for nothing."""
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, automaton = None, SuffixAutomaton()
+        shard, automaton = None, SuffixAutomaton(width)
         for batch in batch_iter:
             out = []
             for r in batch.to_pylist():
                 if r["shard"] != shard:
-                    shard, automaton = r["shard"], SuffixAutomaton()
+                    shard, automaton = r["shard"], SuffixAutomaton(width)
                 words = np.frombuffer(r["words"], "<u8").tolist()
                 runs = []
-                if r["asks"]:
-                    found = automaton.matches(words, width, r["first"])
+                if not (by_owner and r["key"] == r["first"]):
+                    found = automaton.matches(words, r["first"])
                     runs = [{"at": a, "size": b - a + width - 1} for a, b in _runs(found, found)]
                 automaton.add(words, r["first"])
-                out.append({"owner": r["owner"], "sid": r["sid"], "n": r["n"], "first": r["first"], "runs": runs})
+                out.append({"key": r["key"], "sid": r["sid"], "n": r["n"], "first": r["first"], "runs": runs})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
-                ("owner", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("first", pa.int64()),
+                ("key", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("first", pa.int64()),
                 ("runs", pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32())])))]))
 
     return run
 
 
-def _recut(width: int, by_window: bool):
-    """Spans cut where the anchor changes (or into single windows); the anchor (window) becomes the key."""
+def _sampled(width: int):
+    """(key, window): one window hash in SAMPLE of each passage."""
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:
-            out = []
-            for r in batch.to_pylist():
-                words = np.frombuffer(r["words"], "<u8")
-                keys = _grams(words, width) if by_window else window_anchors(words, width)
-                cuts = [(i, i + 1) for i in range(len(keys))] if by_window else _runs(keys, np.ones(len(keys), bool))
-                for a, b in cuts:
-                    out.append({**r, "owner": int(keys[a]), "start": r["start"] + a, "words": words[a : b + width - 1].tobytes(), "asks": True})
-            yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
+            keys, out_keys, out = batch.column(0).to_pylist(), [], []
+            for key, words in zip(keys, batch.column(1).to_pylist()):
+                windows = _grams(np.frombuffer(words, "<u8"), width)
+                windows = windows[windows % np.uint64(SAMPLE) == 0]
+                out_keys.append(np.full(len(windows), key, dtype=np.int64))
+                out.append(windows.astype(np.int64))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_keys)), pa.array(np.concatenate(out))], names=["key", "window"])
 
     return run
 
 
+def _beyond(passages: DataFrame, width: int, shard_words: int) -> DataFrame:
+    """Keys whose automaton would be too large: by distinct windows, or by LONG times as many words.
+
+    The windows of keys with many words are counted on a hash sample; the count only chooses how finely
+    a key is dealt, never what is found.
+    """
+    words = passages.groupBy("key").agg(F.sum("n").alias("w")).where(F.col("w") > shard_words)
+    words = cut(words)
+    near = small(words, 100_000)
+    windows = passages.join(near.select("key"), "key", "left_semi").select("key", "words").mapInArrow(_sampled(width), "key bigint, window bigint")
+    many = windows.distinct().groupBy("key").agg((F.count("*") * SAMPLE).alias("v")).where(F.col("v") > shard_words)
+    return words.where(F.col("w") > shard_words * LONG).select("key").unionByName(many.select("key")).distinct()
+
+
+def _resolve(occurrences: DataFrame, width: int, shard_words: int, folder: str, level: int = 0) -> DataFrame:
+    """Which words of ``occurrences`` to remove: their place and document with ``cover``, runs of words.
+
+    ``level`` 0 deals passages by owner, 1 by anchor, 2 by window.
+    """
+    spark = occurrences.sparkSession
+    occurrences = occurrences.withColumns({"sid": F.xxhash64("words"), "n": (F.octet_length("words") / 8).cast("int")})
+    path = f"{folder}-{level}"
+    occurrences.groupBy("key", "sid", "n").agg(F.min("doc_id").alias("first"), F.first("words").alias("words")).write.option(
+        "compression", "zstd").parquet(path)
+    passages = spark.read.schema(PASSAGE).parquet(path)
+    nothing = F.array().cast("array<struct<at: int, size: int>>")
+    if level == 2:  # one window each, so equal windows are one passage
+        known = passages.select("key", "sid", "n", "first", nothing.alias("runs"))
+    else:
+        heavy = cut(_beyond(passages, width, shard_words))
+        near = small(heavy, 100_000)
+        light = passages.join(near, "key", "left_anti")
+        total = passages.agg(F.sum("n")).first()[0] or 0
+        shards = max(1, 2 * math.ceil(total / shard_words))
+        dealt = light.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).repartition("shard")
+        dealt = dealt.sortWithinPartitions("shard", "first", "key", "sid").select("shard", "key", "sid", "n", "first", "words")
+        known = dealt.mapInArrow(_automata(width, level == 0), KNOWN)
+        if heavy.limit(1).count():
+            large = passages.join(near, "key", "left_semi").select("key", "sid", "n", "first", "words")
+            finer = _resolve(large.mapInArrow(_recut(width, level == 1), OCCURRENCE), width, shard_words, folder, level + 1)
+            runs = finer.groupBy("place", "place_key", "place_n").agg(F.flatten(F.collect_list("cover")).alias("runs"))
+            ids = large.select("key", "sid", "n", "first")
+            same = (F.col("key") == F.col("place")) & (F.col("sid") == F.col("place_key")) & (F.col("n") == F.col("place_n"))
+            known = known.unionByName(ids.join(runs, same, "left").select("key", "sid", "n", "first", F.coalesce("runs", nothing).alias("runs")))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("size")))
+    gone = F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("runs"))
+    cover = F.transform(gone, lambda r: F.struct((F.col("start") + r["at"]).alias("at"), r["size"].alias("size")))
+    places = occurrences.select("doc_id", "place", "place_key", "place_n", "start", "key", "sid", "n")
+    return places.join(known, ["key", "sid", "n"]).where(F.size(gone) > 0).select("doc_id", "place", "place_key", "place_n", cover.alias("cover"))
+
+
 def _remove(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batch_iter:
         out = {"doc_id": batch.column(0), "n_words": [], "n_removed": [], "kept_text": []}
@@ -250,7 +356,7 @@ def _remove(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = text.encode("utf-8").split()
             keep = np.ones(len(words), dtype=bool)
             for c in cover or []:
-                keep[c["start"] : c["start"] + c["size"]] = False
+                keep[c["at"] : c["at"] + c["size"]] = False
             out["n_words"].append(len(words))
             out["n_removed"].append(int(len(words) - keep.sum()))
             out["kept_text"].append(b" ".join(compress(words, keep.tolist())).decode("utf-8"))
@@ -275,30 +381,9 @@ def remove_repeats(docs: DataFrame, width: int = 13, shard_words: int = SHARD) -
         "compression", "zstd").parquet(path)
     staged = spark.read.schema(STAGED).parquet(path)
 
-    spans = staged.where(F.size("spans") > 0).select("doc_id", "text_key", F.explode("spans").alias("s")).select(
-        "doc_id", "text_key", "s.owner", "s.start", "s.words", (F.col("s.owner") < F.col("doc_id")).alias("asks"))
-    each = "doc_id bigint, text_key bigint, owner bigint, start int, words binary, asks boolean"
-    for by_window in (False, True):  # owners beyond a shard are dealt by anchor, then by window
-        weight = spans.select("owner", F.xxhash64("words").alias("sid"), F.octet_length("words").alias("b")).distinct()
-        weight = weight.groupBy("owner").agg((F.sum("b") / 8).alias("w")).where(F.col("w") > shard_words).select("owner")
-        if not weight.limit(1).count():
-            break
-        heavy = spans.join(weight, "owner", "left_semi").select(*spans.columns).mapInArrow(_recut(width, by_window), each)
-        spans = spans.join(weight, "owner", "left_anti").select(*spans.columns).unionByName(heavy)
-
-    size = (F.octet_length("words") / 8).cast("int")
-    keyed = spans.withColumns({"sid": F.xxhash64("words"), "n": size})
-    passages = keyed.groupBy("owner", "sid", "n").agg(F.min("doc_id").alias("first"), F.first("words").alias("words"), F.min_by("asks", "doc_id").alias("asks"))
-    total = keyed.select("owner", "sid", "n").distinct().agg(F.sum("n")).first()[0] or 0
-    shards = max(1, int(-(-total // shard_words)) * 2)
-    dealt = passages.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
-    dealt = dealt.repartition(min(shards, 4000), "shard").sortWithinPartitions("shard", "first")
-    known = dealt.select("shard", "owner", "sid", "n", "first", "words", "asks")
-    known = known.mapInArrow(_automata(width), PASSAGE)
-    whole = F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("size")))
-    covers = keyed.select("doc_id", "text_key", "start", "owner", "sid", "n").join(known, ["owner", "sid", "n"]).select(
-        "doc_id", "text_key", F.explode(F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("runs"))).alias("r"), "start")
-    covers = covers.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct((F.col("start") + F.col("r.at")).alias("start"), F.col("r.size"))).alias("cover"))
+    spans = staged.where("text is not null").select("doc_id", "text_key", "text", "spans").mapInArrow(_span_words, OCCURRENCE)
+    covers = _resolve(spans, width, shard_words, path + "-passages").groupBy("doc_id", F.col("place").alias("text_key")).agg(
+        F.flatten(F.collect_list("cover")).alias("cover"))
     pending = staged.where("text is not null").select("doc_id", "text_key", "text")
     changed = pending.join(covers, ["doc_id", "text_key"], "left").select("doc_id", "text", "cover").mapInArrow(
         _remove, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")

@@ -211,16 +211,19 @@ def test_repeats_match_brute_force(docs, corpus, shard):
     assert Counter(tuple(r) for r in rows.collect()) == removed(corpus, 13)
 
 
-def test_automaton_matches_windows_of_smaller_documents():
-    rng = np.random.default_rng(5)
-    texts = [rng.integers(0, 3, rng.integers(3, 60)).tolist() for _ in range(60)]
-    automaton, seen = suffix_dedup.SuffixAutomaton(), {}
-    for doc, text in enumerate(texts):
-        expected = [seen.get(tuple(text[i : i + 5]), doc) < doc for i in range(len(text) - 4)]
-        assert automaton.matches(text, 5, doc).tolist() == expected
-        for i in range(len(text) - 4):
-            seen.setdefault(tuple(text[i : i + 5]), doc)
-        automaton.add(text, doc)
+@pytest.mark.parametrize("letters, width", [(2, 3), (3, 5), (4, 4), (9, 5)])
+def test_automaton_matches_windows_of_smaller_documents(letters, width):
+    rng = np.random.default_rng(letters * 10 + width)
+    for _ in range(40):
+        texts = [rng.integers(0, letters, rng.integers(3, 60)).tolist() for _ in range(20)]
+        texts += [[x if rng.random() < 0.9 else 99 for x in t] for t in texts]  # near copies
+        automaton, seen = suffix_dedup.SuffixAutomaton(width), {}
+        for doc, text in enumerate(texts):
+            windows = [tuple(text[i : i + width]) for i in range(len(text) - width + 1)]
+            assert automaton.matches(text, doc).tolist() == [seen.get(w, doc) < doc for w in windows]
+            for w in windows:
+                seen.setdefault(w, doc)
+            automaton.add(text, doc)
 
 
 def test_empty_tables(spark, none):

@@ -90,12 +90,25 @@ class Words:
     hashes: np.ndarray
 
 
-def split(piece: Piece, lower: bool = False) -> Words:
-    """The words of a piece; ``lower`` hashes A-Z as a-z."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes."""
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[data] * powers(_BASE, len(data)), dtype=np.uint64, out=total[1:])
+    inverse = powers(pow(_BASE, -1, 1 << 64), len(data) + 1)
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+
+
+def split(piece: Piece, lower: bool = False, hashed: bool = True) -> Words:
+    """The words of a piece; ``lower`` hashes A-Z as a-z, ``hashed`` False leaves the hashes out."""
     data, bounds = piece.data, piece.bounds
     n = len(data)
     if lower:
-        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+        data = lowered(data)
     inside = ~_SPACE[data]
     edge = bounds[:-1][np.diff(bounds) > 0]
     before = np.zeros(n, dtype=bool)
@@ -108,11 +121,7 @@ def split(piece: Piece, lower: bool = False) -> Words:
     ends = np.flatnonzero(inside & ~after) + 1
     row = np.searchsorted(bounds, starts, "right") - 1
     per_row = np.bincount(row, minlength=len(bounds) - 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[data] * powers(_BASE, n), dtype=np.uint64, out=total[1:])
-    inverse = powers(pow(_BASE, -1, 1 << 64), n + 1)
-    hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return Words(starts, ends, row, per_row, hashes)
+    return Words(starts, ends, row, per_row, span_hashes(data, starts, ends) if hashed else starts[:0].astype(np.uint64))
 
 
 def windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -16,14 +16,16 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
-from kinweave.llm.batches import Piece, pieces, split
+from kinweave.llm.batches import Piece, lowered, pieces, span_hashes, split
 from kinweave.llm.common import small
 from kinweave.plans.lineage import ensure_checkpoint_dir
 from kinweave.plans.shipping import ship_by_value
@@ -82,10 +84,38 @@ def decode_levels(levels: list[dict[str, bytes]]) -> np.ndarray:
     return rest
 
 
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+
+
+def _units(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes, row) of the parts to encode: words without the punctuation that ends them, and that."""
+    words, data = split(piece, hashed=False), lowered(piece.data)
+    cut = words.ends.copy()
+    special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # "<|" may begin a special token: keep such words whole
+    whole = np.searchsorted(words.starts, special, "right") - 1
+    for _ in range(4):
+        again = (cut > words.starts + 1) & _MARK[data[cut - 1]]
+        if not again.any():
+            break
+        cut[again] -= 1
+    cut[_MARK[data[cut - 1]]] = words.ends[_MARK[data[cut - 1]]]  # nothing but marks, or more of them
+    cut[whole] = words.ends[whole]
+    parts = 1 + (cut < words.ends)
+    starts, row = np.repeat(words.starts, parts), np.repeat(words.row, parts)
+    ends = np.repeat(words.ends, parts)
+    first = np.cumsum(parts) - parts
+    two = parts == 2
+    ends[first[two]] = cut[two]
+    starts[first[two] + 1] = cut[two]
+    return starts, ends, span_hashes(data, starts, ends), row
+
+
 class WordEncoder:
     """Ids of texts by the tokenizer file, each distinct word encoded once per task.
 
-    Right for tokenizers that never join characters across ASCII white space, which they drop.
+    Right for tokenizers that put A-Z in lower case, drop ASCII white space and never join characters
+    across it, nor letters or digits with the punctuation that follows them.
     """
 
     def __init__(self, path: str, most_words: int = 1_000_000):
@@ -101,38 +131,43 @@ class WordEncoder:
         self.start, self.length = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
 
     def _learn(self, keys: list[int], texts: list[str]) -> None:
-        coded = [e.ids for e in self.model.encode_batch(texts, add_special_tokens=False)]
-        total = sum(map(len, coded))
+        coded = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        total, place = int(lengths.sum()), len(self.known)
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.known) + len(keys) > len(self.start):
+        while place + len(keys) > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        for key, ids in zip(keys, coded):
-            place = self.known[key] = len(self.known)
-            self.start[place], self.length[place] = self.used, len(ids)
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+        self.known.update(zip(keys, range(place, place + len(keys))))
+        self.start[place : place + len(keys)] = self.used + np.cumsum(lengths) - lengths
+        self.length[place : place + len(keys)] = lengths
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(coded), dtype=np.uint32, count=total)
+        self.used += total
 
     def encode(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the piece's rows, and how many each row has."""
-        words = split(piece)
+        starts, ends, hashes, row = _units(piece)
         rows = len(piece.bounds) - 1
-        if not len(words.starts):
+        if not len(starts):
             return np.zeros(0, dtype=np.uint32), np.zeros(rows, dtype=np.int64)
         if len(self.known) > self.most:
             self.clear()
-        unique, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+        number, unique = pd.factorize(hashes)
         keys = unique.tolist()
-        new = [(k, i) for k, i in zip(keys, first.tolist()) if k not in self.known]
-        if new:
-            data, s, e = piece.data.tobytes(), words.starts, words.ends
-            self._learn([k for k, _ in new], [data[s[i] : e[i]].decode("utf-8", "replace") for _, i in new])
-        place = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))[inverse]
+        place = np.fromiter((self.known.get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            first = np.zeros(len(keys), dtype=np.int64)
+            first[number[::-1]] = np.arange(len(number))[::-1]
+            data, at = piece.data.tobytes(), first[new]
+            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+            place[new] = len(self.known) + np.arange(len(new))
+            self._learn([keys[i] for i in new.tolist()], texts)
+        place = place[number]
         length = self.length[place]
-        ends = np.cumsum(length)
-        ids = self.ids[np.repeat(self.start[place] - (ends - length), length) + np.arange(ends[-1])]
-        per_row = np.bincount(words.row, weights=length, minlength=rows).astype(np.int64)
-        return ids, per_row
+        last = np.cumsum(length)
+        ids = self.ids[np.repeat(self.start[place] - (last - length), length) + np.arange(last[-1])]
+        return ids, np.bincount(row, weights=length, minlength=rows).astype(np.int64)
 
 
 def _segments(path: str, end_id: int):

@@ -65,6 +65,26 @@ def _unknown(names: list[tuple[str, str]]) -> str:
     return f"concat_ws('|', {parts})"
 
 
+def _sources() -> dict[str, str]:
+    return {
+        "ingest_findings": """SELECT 'c' || c_custkey || '.yaml:' || place AS location, rule, message FROM customer JOIN (VALUES
+  (0, '$', 'yaml_syntax', 'broken'), (1, '$.nodes[0].grain', 'missing', 'field required'),
+  (2, '$.nodes[0].accessor.port', 'extra_forbidden', 'unsupported field'),
+  (3, '$.nodes[0].accessor.endpoint', 'string_type', 'value has the wrong type'),
+  (4, '$.logical_identities.k.synonyms', 'list_type', 'value has the wrong type'),
+  (5, '$.nodes[0].entity_definitions[0].unique', 'claim_domain', 'value has the wrong type')) f(kind, place, rule, message)
+ON c_custkey % 7 = kind""",
+        "manifest_findings": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 5 AS kind FROM orders)
+SELECT 'manifest:$.nodes[' || k * 2 || ']' AS location, CASE kind WHEN 0 THEN 'missing_file' WHEN 1 THEN 'unsupported_file' ELSE 'invalid_collection_path' END AS rule,
+  CASE kind WHEN 0 THEN 'listed collection file does not exist: nodes/' || k || '.yaml' WHEN 1 THEN 'collection paths must name .yaml or .yml files'
+    ELSE 'collection paths must be relative and must not contain ''..''' END AS message
+FROM o WHERE kind < 3
+UNION ALL SELECT 'manifest:$.nodes[' || (k * 2 + 1) || ']', 'duplicate_manifest_path', 'collection path is already owned by nodes' FROM o WHERE kind = 3
+UNION ALL SELECT 'extra/' || c_custkey || '.yml', 'unlisted_file', 'file is not listed in the manifest' FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT 'notes/' || c_custkey || '.txt', 'unsupported_file', 'the folder may contain only .yaml or .yml files' FROM customer WHERE c_custkey % 2 = 1""",
+    }
+
+
 def _relationships() -> dict[str, str]:
     ab, ae, ba, be = mult("a", "b"), exist("a", "b"), mult("b", "a"), exist("b", "a")
     profile = f"""
@@ -372,4 +392,4 @@ FROM (SELECT *, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE cast(doc_id AS VARCHAR)
 
 
 def all_sql() -> dict[str, str]:
-    return {**_relationships(), **_discovery(), **_traversal(), **_checks(), **_search(), **_documents()}
+    return {**_sources(), **_relationships(), **_discovery(), **_traversal(), **_checks(), **_search(), **_documents()}

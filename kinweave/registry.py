@@ -19,7 +19,7 @@ from kinweave.operators import (
     connecting, discovery, documents, integrity, measure, paths, projection, relationships, search, traversal,
 )
 from kinweave.plans.lineage import cut
-from kinweave.sources import membership
+from kinweave.sources import collections, membership
 from kinweave.sources.membership import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,50 @@ def _type_requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# -- sources -------------------------------------------------------------------------------------
+
+
+@query
+def ingest_findings(spark, folder):
+    """One catalog file per customer, six of seven with a fault that depends on the key."""
+    kind = F.col("c_custkey") % 7
+
+    def when(fault: int, wrong: str, right: str) -> Column:
+        return F.when(kind == fault, wrong).otherwise(right)
+
+    json = F.concat(
+        F.lit('{"schema_version":"1","logical_identities":{"k":{"name":"x"'), when(4, ',"synonyms":"oops"', ""),
+        F.lit('}},"nodes":[{"node_id":"n","descriptor":{"qualified_name":"q","display_name":"d"},"accessor":{"kind":"t","endpoint":'),
+        when(3, "7", '"e"'), when(2, ',"port":1', ""), F.lit("},"), when(1, "", '"grain":"unknown",'),
+        F.lit('"columns":[{"name":"a"}],"entity_definitions":[{"identity_id":"k","dataset_columns":["a"],"entity_universe":"complete","unique":'),
+        when(5, '"maybe"', "true"), F.lit(',"total":true,"conforms":true}]}]}'),
+    )
+    files = read_table(spark, folder, "customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".yaml")).alias("path"),
+        F.when(kind != 0, json).alias("json"), F.when(kind == 0, "broken").alias("error"),
+    )
+    return collections.ingest_findings(files)
+
+
+@query
+def manifest_findings(spark, folder):
+    """A manifest that lists one file per order, against a folder; what is wrong depends on the key."""
+    orders = read_table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"))
+    kind, name = F.col("k") % 5, F.concat(F.lit("nodes/"), F.col("k").cast("string"))
+    path = F.when(kind == 1, F.concat(name, F.lit(".json"))).when(kind == 2, F.concat(F.lit("../"), name)).otherwise(F.concat(name, F.lit(".yaml")))
+    times = F.explode(F.sequence(F.lit(0), F.when(kind == 3, 1).otherwise(0)))
+    place = F.col("k") * 2 + F.col("again")
+    entries = orders.select("k", path.alias("path"), times.alias("again")).select(
+        F.lit("1").alias("schema_version"), F.lit("nodes").alias("collection"), "path", place.alias("place"),
+        F.concat(F.lit("$.nodes["), place.cast("string"), F.lit("]")).alias("location"),
+    )
+    there = orders.where(kind.isin(3, 4)).select(F.concat(name, F.lit(".yaml")).alias("path"))
+    key = F.col("c_custkey").cast("string")
+    extra, notes = F.concat(F.lit("extra/"), key, F.lit(".yml")), F.concat(F.lit("notes/"), key, F.lit(".txt"))
+    other = read_table(spark, folder, "customer").select(F.when(F.col("c_custkey") % 2 == 0, extra).otherwise(notes).alias("path"))
+    return collections.manifest_findings(entries, there.unionByName(other))
+
+
 # -- identifiers and relationships ---------------------------------------------------------------
 
 

@@ -30,27 +30,31 @@ def _wanted_targets() -> Column:
     return F.array_distinct(F.coalesce("targets", F.array().cast(STRINGS)))
 
 
-def _nodes_with_all_targets(cat: Catalog, requests: DataFrame) -> DataFrame:
-    """(req_id, node_id) holding every target of a request that names targets."""
-    wanted = requests.select("req_id", F.explode(_wanted_targets()).alias("identity_id")).join(
+def _target_set(requests: DataFrame) -> list[Column]:
+    """The request's targets as one key that rows carry along; nothing when requests name none."""
+    return [F.array_sort(_wanted_targets()).alias("_targets")] if "targets" in requests.columns else []
+
+
+def _datasets_with_all(cat: Catalog, requests: DataFrame) -> DataFrame:
+    """(_targets, node_id): the datasets holding every target, once per distinct set of targets."""
+    sets = requests.select(*_target_set(requests)).where(F.size("_targets") > 0).distinct()
+    wanted = sets.select("_targets", F.explode("_targets").alias("identity_id")).join(
         cat.entities.select("identity_id", "size"), "identity_id"
     )
-    held = cat.join_postings(wanted, "t_").select("req_id", "t_node_id", "identity_id").distinct()
-    counted = held.groupBy("req_id", F.col("t_node_id").alias("node_id")).agg(F.count("*").alias("_n"))
-    needs = requests.select("req_id", F.size(_wanted_targets()).alias("_wanted")).where("_wanted > 0")
-    return counted.join(needs, "req_id").where("_n = _wanted").select("req_id", "node_id")
+    held = cat.join_postings(wanted, "t_").select("_targets", "t_node_id", "identity_id").distinct()
+    counted = held.groupBy("_targets", F.col("t_node_id").alias("node_id")).agg(F.count("*").alias("_n"))
+    return counted.where(F.col("_n") == F.size("_targets")).select("_targets", "node_id")
 
 
 def _keep_targets(cat: Catalog, requests: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``nodes(req_id, node_id, ..)`` restricted to datasets holding the request's targets."""
+    """``nodes(req_id, node_id, _targets, ..)`` restricted to datasets holding the request's targets."""
     if "targets" not in requests.columns:
         return nodes
-    none = requests.select("req_id", (F.size(_wanted_targets()) == 0).alias("_free"))
-    passing = _nodes_with_all_targets(cat, requests).withColumn("_pass", F.lit(True))
+    passing = _datasets_with_all(cat, requests).withColumn("_pass", F.lit(True))
     return (
-        nodes.join(none, "req_id").join(passing, ["req_id", "node_id"], "left")
-        .where(F.col("_free") | F.coalesce("_pass", F.lit(False)))
-        .drop("_free", "_pass")
+        nodes.join(passing, ["_targets", "node_id"], "left")
+        .where((F.size("_targets") == 0) | F.coalesce("_pass", F.lit(False)))
+        .drop("_targets", "_pass")
     )
 
 
@@ -66,7 +70,7 @@ def entity_primaries(cat: Catalog, requests: DataFrame) -> DataFrame:
     sized = requests.join(cat.entities.select("identity_id", "size"), "identity_id")
     filtered = "universes" in requests.columns
     held = cat.join_postings(
-        sized.select("req_id", "identity_id", "size", *(["universes"] if filtered else [])), "p_"
+        sized.select("req_id", "identity_id", "size", *_target_set(requests), *(["universes"] if filtered else [])), "p_"
     )
     if filtered:
         held = held.where(
@@ -75,6 +79,7 @@ def entity_primaries(cat: Catalog, requests: DataFrame) -> DataFrame:
     primaries = held.select(
         "req_id", F.col("p_node_id").alias("node_id"), F.col("p_ord").alias("ord"),
         F.col("p_node_first").alias("node_first"), F.col("p_node_size").alias("node_size"),
+        F.col("identity_id").alias("_primary"), *(["_targets"] if "targets" in requests.columns else []),
     )
     return _keep_targets(cat, requests, primaries)
 
@@ -144,9 +149,7 @@ def _histogram(cat: Catalog, held: DataFrame) -> DataFrame:
 
 def entity_histogram(cat: Catalog, requests: DataFrame) -> DataFrame:
     """The other entities on the selected datasets."""
-    nodes = entity_primaries(cat, requests).select(
-        "req_id", "node_id", "node_first", "node_size"
-    ).distinct().join(requests.select("req_id", F.col("identity_id").alias("_primary")), "req_id")
+    nodes = entity_primaries(cat, requests).select("req_id", "node_id", "node_first", "node_size", "_primary").distinct()
     held = cat.join_definitions(nodes, "d_").where("d_identity_id <> _primary").select(
         "req_id", "node_id", F.col("d_identity_id").alias("identity_id")
     )
@@ -228,21 +231,23 @@ def edge_request_status(cat: Catalog, requests: DataFrame, sources: DataFrame) -
     )
 
 
-def _reached(cat: Catalog, requests: DataFrame, sources: DataFrame) -> DataFrame:
-    """Datasets sharing a source entity, the source included, after the target filter."""
-    entities = sources.select(
+def _source_entities(requests: DataFrame, sources: DataFrame) -> DataFrame:
+    """Entities of each request's sources, with what later steps need to know of the request."""
+    asked = requests.select("req_id", F.col("node_id").alias("_own"), *_target_set(requests))
+    return sources.select(
         "req_id", F.col("s_identity_id").alias("identity_id"), F.col("s_size").alias("size")
-    ).distinct()
-    nodes = cat.join_postings(entities, "t_").select(
-        "req_id", F.col("t_node_id").alias("node_id"), F.col("t_node_first").alias("node_first"),
-        F.col("t_node_size").alias("node_size"),
-    ).distinct()
-    return _keep_targets(cat, requests, nodes)
+    ).distinct().join(asked, "req_id")
 
 
 def _connected(cat: Catalog, requests: DataFrame, sources: DataFrame) -> DataFrame:
-    own = requests.select("req_id", F.col("node_id").alias("_own"))
-    return _reached(cat, requests, sources).join(own, "req_id").where("node_id <> _own").drop("_own")
+    """Other datasets sharing a source entity, after the target filter."""
+    entities = _source_entities(requests, sources)
+    carried = [c for c in entities.columns if c == "_targets"]
+    nodes = cat.join_postings(entities, "t_").where("t_node_id <> _own").select(
+        "req_id", F.col("t_node_id").alias("node_id"), F.col("t_node_first").alias("node_first"),
+        F.col("t_node_size").alias("node_size"), *carried,
+    ).distinct()
+    return _keep_targets(cat, requests, nodes)
 
 
 def fan_out(cat: Catalog, requests: DataFrame, view: str = "auto", threshold: int = 200) -> DataFrame:
@@ -308,10 +313,8 @@ def _page_by_position(cat: Catalog, requests: DataFrame, offset: int, limit: int
 
 def _page_by_rank(cat: Catalog, requests: DataFrame, offset: int, limit: int) -> DataFrame:
     sources = edge_sources(cat, requests)
-    entities = sources.select(
-        "req_id", F.col("s_identity_id").alias("identity_id"), F.col("s_size").alias("size")
-    ).distinct()
-    held = cat.join_postings(entities, "t_").drop("identity_id", "size").withColumn("node_id", F.col("t_node_id"))
+    entities = _source_entities(requests, sources)
+    held = cat.join_postings(entities, "t_").drop("identity_id", "size", "_own").withColumn("node_id", F.col("t_node_id"))
     chosen = _keep_targets(cat, requests, held).drop("node_id")
     counts = chosen.groupBy("req_id", "t_identity_id").agg(F.count("*").alias("_n")).withColumnRenamed(
         "t_identity_id", "s_identity_id"
@@ -319,7 +322,9 @@ def _page_by_rank(cat: Catalog, requests: DataFrame, offset: int, limit: int) ->
     order = W.partitionBy("req_id", "t_identity_id").orderBy("t_ord")
     top = chosen.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= offset + limit + 1)
     # A source that passes its own target filter leaves its slot to the next definition.
-    passing = _nodes_with_all_targets(cat, requests).select("req_id", F.col("node_id").alias("s_node_id"), F.lit(1).alias("_self"))
+    own = requests.select("req_id", "node_id", *_target_set(requests))
+    passing = own.join(_datasets_with_all(cat, requests), ["_targets", "node_id"]).select(
+        "req_id", F.col("node_id").alias("s_node_id"), F.lit(1).alias("_self"))
     counted = _with_more(
         sources.join(counts, ["req_id", "s_identity_id"])
         .join(passing, ["req_id", "s_node_id"], "left")

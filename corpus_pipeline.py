@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``. Stages select rows by
-(doc_id, hash of the whole row); rows equal in every column are one document until the mix repeats
+two hashes of the whole row; rows equal in every column are one document until the mix repeats
 them. Columns beyond those of ``documents`` are carried along.
 """
 
@@ -14,21 +14,22 @@ from kinweave.llm.token_codes import shared_folder
 from kinweave.plans.lineage import cut
 
 SHARDS = 40
-ROW = "_row_key"
+ROW, ROW_TOO = "_row_key", "_row_key_too"
 READ = ("doc_id", "text", "source")  # the columns that stages look at
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` plus a hash of the whole row; the order of columns does not matter."""
-    return docs.withColumn(ROW, F.xxhash64(*[F.col(f"`{c}`") for c in sorted(docs.columns)]))
+    """``docs`` plus two hashes of the whole row; the order of columns does not matter."""
+    columns = [F.col(f"`{c}`") for c in sorted(docs.columns)]
+    return docs.withColumns({ROW: F.xxhash64(*columns), ROW_TOO: F.xxhash64(F.lit("second"), *columns)})
 
 
 def _attached(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The documents of ``chosen`` (doc_id, row key, others): one row for each row of ``chosen``."""
-    once = keyed.dropDuplicates(["doc_id", ROW])
-    chosen = chosen.withColumnRenamed("doc_id", "_chosen").withColumnRenamed(ROW, "_chosen_key")
-    same = (F.col(ROW) == F.col("_chosen_key")) & F.col("doc_id").eqNullSafe(F.col("_chosen"))
-    return once.join(chosen, same).drop("_chosen", "_chosen_key", ROW)
+    """The documents of ``chosen`` (the two hashes, others): one row for each row of ``chosen``.
+
+    Both steps deal by the same two columns, so texts are shuffled once.
+    """
+    return keyed.dropDuplicates([ROW, ROW_TOO]).join(chosen, [ROW, ROW_TOO]).drop(ROW, ROW_TOO)
 
 
 def _renamed(docs: DataFrame) -> DataFrame:
@@ -49,10 +50,10 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words or without an id are no copies and stay.
     """
     keyed = _keyed(docs)
-    groups = metric_join.similar_sets(keyed, 5, 80, keep=[ROW])
+    groups = metric_join.similar_sets(keyed, 5, 80, keep=[ROW, ROW_TOO])
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    first = groups.where(~alone).groupBy("component_id", "root").agg(F.min(F.struct("doc_id", ROW)).alias("f")).select("f.*")
-    return _attached(keyed, first.unionByName(groups.where(alone).select("doc_id", ROW).distinct()))
+    first = groups.where(~alone).groupBy("root").agg(F.min(F.struct("doc_id", ROW, ROW_TOO)).alias("f")).select(f"f.{ROW}", f"f.{ROW_TOO}")
+    return _attached(keyed, first.unionByName(groups.where(alone).select(ROW, ROW_TOO).distinct()))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,16 +66,16 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: 0 to 3 times."""
     keyed = _keyed(docs)
-    taken = cut(mixing.mix(keyed, keep=[ROW]).where("copies > 0").select("doc_id", ROW, "copies"))
-    return _attached(keyed, taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", ROW))
+    taken = cut(mixing.mix(keyed, keep=[ROW, ROW_TOO]).where("copies > 0").select(ROW, ROW_TOO, "copies"))
+    return _attached(keyed, taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(ROW, ROW_TOO))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with ``shard`` (0 to 39, row counts one apart at most) and ``slot``."""
     keyed = _keyed(docs)
-    rows = cut(keyed.select("doc_id", ROW, F.md5(F.col("text").cast("binary")).alias("_text_key")))
+    rows = cut(keyed.select(ROW, ROW_TOO, F.md5(F.col("text").cast("binary")).alias("_text_key")))
     placed = label_sharding.balanced_shards(rows, ROW, "_text_key", SHARDS)
-    return _attached(keyed, placed.select("doc_id", ROW, "shard", "slot"))
+    return _attached(keyed, placed.select(ROW, ROW_TOO, "shard", "slot"))
 
 
 STAGES = [

@@ -2,7 +2,6 @@ import itertools
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from kinweave.operators import connecting, discovery, paths, relationships, traversal
 from tests.graphs import Def, Graph, catalog_of, existence, multiplicity, random_definitions

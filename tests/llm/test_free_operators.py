@@ -71,6 +71,25 @@ def test_metric_join_matches_brute_force(docs, corpus, monkeypatch, width, perce
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got.collect()) == shingle_links(corpus, width, percent)
 
 
+def chain(name, classes, first_id):
+    """Windows of 102 words that move on by one word: each text is close to some texts before and after it."""
+    from pyspark.sql import Row
+
+    return [Row(doc_id=first_id + i, text=" ".join(f"{name}{k}" for k in range(i, i + 102))) for i in range(classes)]
+
+
+def joined(spark, rows, percent):
+    got = metric_join.similar_sets(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, percent)
+    return Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got.collect())
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_metric_join_keeps_links_across_cells(spark, percent):
+    rows = chain("w", 300, 0)  # one family of more than LEAF classes
+    assert len(rows) > metric_join.LEAF
+    assert joined(spark, rows, percent) == shingle_links(rows, 3, percent)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 102), (102, 101), (7, 7), (200, 199)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "x bigint, y bigint")).collect()}

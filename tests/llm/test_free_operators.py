@@ -90,6 +90,22 @@ def test_metric_join_keeps_links_across_cells(spark, percent):
     assert joined(spark, rows, percent) == shingle_links(rows, 3, percent)
 
 
+def test_cells_of_neighbouring_families_differ():
+    sets = [np.arange(i, i + 100, dtype="<u8") for i in range(0, 80, 10)]
+    members = [{"parent": f, "region": f, "cid": i, "n": 100, "size": 1, "keys": x.tobytes(), "homes": [], "path": []}
+               for f in range(64) for i, x in enumerate(sets)]
+    kinds = {"parent": pa.int64(), "region": pa.int64(), "cid": pa.int64(), "n": pa.int64(), "size": pa.int64(), "keys": pa.binary(),
+             "homes": pa.list_(pa.int32()), "path": pa.list_(pa.int32())}
+    batch = pa.RecordBatch.from_pylist(members, schema=pa.schema(list(kinds.items())))
+    made = [r for b in metric_join._cells({f: sets for f in range(64)}, 0.2)([batch]) for r in b.to_pylist()]
+    assert len({r["region"] for r in made}) == len({(r["parent"], r["path"][0]) for r in made}) == 64 * len(sets)
+
+
+def test_metric_join_of_two_large_families(spark):
+    rows = chain("v", 300, 0) + chain("w", 300, 1000)
+    assert joined(spark, rows, 90) == shingle_links(rows, 3, 90)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 102), (102, 101), (7, 7), (200, 199)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "x bigint, y bigint")).collect()}

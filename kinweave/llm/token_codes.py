@@ -86,10 +86,12 @@ def decode_levels(levels: list[dict[str, bytes]]) -> np.ndarray:
 
 _MARK = np.zeros(256, dtype=bool)
 _MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+_PLAIN = np.zeros(256, dtype=bool)
+_PLAIN[[c for c in range(128) if chr(c).isalnum()]] = True
 
 
 def _units(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes, row) of the parts to encode: words without the punctuation that ends them, and that."""
+    """(starts, ends, hashes, row) of the parts to encode: words without the ASCII marks after a last ASCII letter or digit, and those."""
     words, data = split(piece, hashed=False), lowered(piece.data)
     cut = words.ends.copy()
     special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # "<|" may begin a special token: keep such words whole
@@ -99,7 +101,10 @@ def _units(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         if not again.any():
             break
         cut[again] -= 1
-    cut[_MARK[data[cut - 1]]] = words.ends[_MARK[data[cut - 1]]]  # nothing but marks, or more of them
+    # The tokenizer joins marks with symbols and combining characters before them. So whole, too: words of
+    # nothing but marks or with more of them, and words with anything but an ASCII letter or digit there.
+    joined = ~_PLAIN[data[cut - 1]]
+    cut[joined] = words.ends[joined]
     cut[whole] = words.ends[whole]
     parts = 1 + (cut < words.ends)
     starts, row = np.repeat(words.starts, parts), np.repeat(words.row, parts)
@@ -115,7 +120,7 @@ class WordEncoder:
     """Ids of texts by the tokenizer file, each distinct word encoded once per task.
 
     Right for tokenizers that put A-Z in lower case, drop ASCII white space and never join characters
-    across it, nor letters or digits with the punctuation that follows them.
+    across it, nor ASCII letters or digits with the ASCII marks that end a word.
     """
 
     def __init__(self, path: str, most_words: int = 1_000_000):

@@ -142,6 +142,21 @@ def test_token_codes_round_trip(spark, docs, corpus, monkeypatch):
     assert set(found) == set(asked)
 
 
+def test_marks_after_other_characters_are_encoded_whole():
+    from tokenizers import Tokenizer
+
+    ends = ["”", "’", "…", "😀", "❤️", "हि", "में", "e\u0301", "x\u0327", "é", "я", "漢", "€", "½", "٣", "a", "7", "\u00a0", "«", "™", "a.”", "!…", "it's", "x-"]
+    marks = [".", "!", ",", "?!", "...", "!!!!", "?!?!?", "'", "')", "\"", "=", "<|", "'s", ".”", "’."]
+    texts = [f"{a}{b} word" for a in ends for b in marks] + [f"word{a}{b}" for a in ends for b in marks]
+    model, encoder = Tokenizer.from_file(TOKENIZER), token_codes.WordEncoder(TOKENIZER)
+    for limit in (40, 1 << 20):
+        for piece in pieces(pa.array(texts), limit):
+            ids, counts = encoder.encode(piece)
+            got = np.split(ids, np.cumsum(counts)[:-1])
+            for text, own in zip(texts[piece.first : piece.last], got):
+                assert own.tolist() == model.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("top", [200, 60_000, 2**32 - 1])
 def test_levels_give_any_token(top):
     ids = np.random.default_rng(top).integers(0, top, 3001, dtype=np.uint64).astype(np.uint32)

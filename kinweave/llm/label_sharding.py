@@ -7,20 +7,43 @@ movers are counted per (shard, hash bucket), whole buckets are admitted while th
 ask another shard in the next round. The documents without links then fill what is free, so that row
 counts differ by one at most.
 
-Groups are cut into parts of at most about a quarter of a shard before they vote, so a group that
-holds a third of all rows is many keys. Ranks come from a range sort with one offset per partition;
-nothing but one row per shard reaches the driver.
+A group of more than a quarter of a shard is placed before the rounds: there are fewer than four of
+them a shard, so their sizes are packed on the driver, each into as few shards as the free room
+allows. Its rows take their shards by their rank within the group, so a group that holds a third of
+all rows is no hot key. Ranks come from a range sort with one offset per partition; the driver sees
+the sizes of these groups and one row per shard.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from kinweave.plans.lineage import cut
 from kinweave.plans.ordinals import dense_ordinal
 
 BUCKETS = 1024
+SPOT = {"_group": IntegerType(), "_ahead": LongType(), "_shards": ArrayType(IntegerType()), "_ends": ArrayType(LongType())}
+
+
+def _packed(sizes: list[int], quota: list[int]) -> tuple[list[list[tuple[int, int]]], list[int]]:
+    """(shard, rows) of each group, and what is left of the quotas.
+
+    Groups come largest first. One takes the emptiest shards until the rest fits into a shard; that
+    goes where it leaves the least room.
+    """
+    free, spans = list(quota), []
+    for n in sizes:
+        parts = []
+        while n:
+            fits = [s for s, room in enumerate(free) if room >= n]
+            s = min(fits, key=lambda s: free[s]) if fits else max(range(len(free)), key=lambda s: free[s])
+            parts.append((s, min(n, free[s])))
+            n -= parts[-1][1]
+            free[s] -= parts[-1][1]
+        spans.append(parts)
+    return spans, free
 
 
 def _literals(values: list[int]) -> Column:
@@ -42,17 +65,33 @@ def balanced_shards(
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     most = max(1, total // shards // 4)
 
-    groups = rows.where(F.col("_link").isNotNull()).groupBy("_link").agg(F.count("*").alias("_n")).where("_n > 1")
-    rows = rows.join(groups, "_link", "left").withColumn(
-        "_unit", F.when(F.col("_n").isNotNull(), F.xxhash64(
-            "_link", F.pmod(F.xxhash64("_tie", F.lit("part")), F.ceil(F.col("_n") / F.lit(most)))
-        )),
+    groups = cut(rows.where(F.col("_link").isNotNull()).groupBy("_link").agg(F.count("*").alias("_n")).where("_n > 1"))
+    large = groups.where(F.col("_n") > most).orderBy(F.desc("_n"), F.xxhash64("_link"), "_link").collect()  # under 4 a shard
+    spans, free = _packed([g["_n"] for g in large], quota)
+    ahead, spots = 0, []
+    for number, (g, parts) in enumerate(zip(large, spans)):
+        spots.append((g["_link"], number, ahead, [s for s, _ in parts], [sum(n for _, n in parts[: i + 1]) for i in range(len(parts))]))
+        ahead += g["_n"]
+    schema = StructType([groups.schema["_link"], *[StructField(name, kind) for name, kind in SPOT.items()]])
+    spots = F.broadcast(items.sparkSession.createDataFrame(spots, schema))
+    rows = rows.join(spots, "_link", "left")
+    packed = rows.where("_group is not null")
+    if large:
+        packed = dense_ordinal(packed, ["_group", "_tie", *columns], "_ord")
+        part = F.size(F.filter("_ends", lambda end: end < F.col("_ord") - F.col("_ahead")))
+        packed = packed.withColumn("_label", F.get("_shards", part))
+    else:
+        packed = packed.withColumn("_label", F.lit(None).cast("int"))
+
+    rows = rows.where("_group is null").drop(*SPOT)
+    rows = rows.join(groups.where(F.col("_n") <= most), "_link", "left").withColumn(
+        "_unit", F.when(F.col("_n").isNotNull(), F.xxhash64("_link"))
     )
     rows = cut(rows.withColumn("_label", F.pmod(F.xxhash64("_tie", F.lit("start")), F.lit(shards)).cast("int")))
 
     singles = rows.where("_unit is null").withColumn("_label", F.lit(None).cast("int"))
     linked = rows.where("_unit is not null").withColumn("_settled", F.lit(False))
-    free = list(quota)
+    quota_left = list(free)
     for turn in range(rounds):
         votes = linked.groupBy("_unit", "_label").agg(F.count("*").alias("_votes"), F.max("_settled").alias("_settled"))
         room = F.get(_literals(free), F.col("_label"))
@@ -80,7 +119,7 @@ def balanced_shards(
             .withColumn("_settled", F.col("_now")).drop("_best", "_now")
         )
         held = {r[0]: r[1] for r in linked.where("_settled").groupBy("_label").count().collect()}
-        free = [q - held.get(s, 0) for s, q in enumerate(quota)]
+        free = [q - held.get(s, 0) for s, q in enumerate(quota_left)]
         if not linked.where("not _settled").limit(1).count():
             break
 
@@ -91,7 +130,8 @@ def balanced_shards(
     rest = dense_ordinal(rest, ["_order", "_tie", *columns], "_ord").withColumn(
         "_label", F.size(F.filter(_literals(sums), lambda s: s < F.col("_ord"))).cast("int")
     )
-    placed = linked.where("_settled").select(*columns, "_tie", "_label").unionByName(rest.select(*columns, "_tie", "_label"))
+    placed = linked.where("_settled").select(*columns, "_tie", "_label").unionByName(
+        rest.select(*columns, "_tie", "_label")).unionByName(packed.select(*columns, "_tie", "_label"))
     starts = [sum(quota[:s]) for s in range(shards)]
     return dense_ordinal(placed, ["_label", "_tie", *columns], "_ord").select(
         *columns, F.col("_label").alias("shard"),

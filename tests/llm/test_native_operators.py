@@ -142,6 +142,22 @@ def test_equal_texts_share_a_shard(spark):
     assert sum(len(h) > 1 for h in homes.values()) <= 4  # at most at the borders of shards
 
 
+def test_large_groups_take_few_shards(spark):
+    sizes = {"third": 400, "near": 28, "half": 15, "quarter": 9, "more": 9}  # of shards of 30 rows
+    rows = [(name, name) for name, n in sizes.items() for _ in range(n)]
+    rows += [(f"pair{i // 2}", f"pair{i // 2}") for i in range(300)]
+    rows += [(f"single{i}", f"single{i}") for i in range(1200 - len(rows))]
+    items = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id bigint, name string, link string")
+    placed = label_sharding.balanced_shards(items.withColumn("tie", F.xxhash64("id")), "tie", "link", 40).collect()
+    homes, counts = defaultdict(set), Counter(r.shard for r in placed)
+    for r in placed:
+        homes[r.name].add(r.shard)
+    assert sorted(r.id for r in placed) == list(range(1200)) and set(counts.values()) == {30}
+    assert {name: len(homes[name]) for name in sizes} == {"third": 14, "near": 1, "half": 1, "quarter": 1, "more": 1}
+    assert all(sorted(r.slot for r in placed if r.shard == s) == list(range(30)) for s in range(40))
+    assert sum(len(homes[f"pair{i}"]) > 1 for i in range(150)) <= 40
+
+
 def test_empty_tables(spark, none):
     items = spark.createDataFrame([], "item_id bigint, text string")
     assert positional_index.contamination(none, items).count() == 0

@@ -171,11 +171,11 @@ def fit(rated: DataFrame, grades: int, bits: int = BITS) -> Model:
 def ratings(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, text, grade) of about ``sample`` labelled documents: toxic 0, low quality 1, else 2.
 
-    Labels without an id or a quality are left out; several labels of one id count by the worst.
+    Labels without an id are left out, and so are those without a quality unless they are toxic; several labels of one id count by the worst.
     The chosen labels are at most a little over ``sample`` rows, so they are broadcast.
     """
     grade = F.when(F.coalesce("toxic", F.lit(0)) == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
-    graded = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
+    graded = labels.where("doc_id is not null and (quality is not null or toxic = 1)").groupBy("doc_id").agg(F.min(grade).alias("grade"))
     graded = cut(graded)
     n = graded.count()
     within = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, sample / max(1, n))))

@@ -214,6 +214,13 @@ def test_classifier_learns_grades(spark):
     assert mean[0] < mean[1] < mean[2]
 
 
+def test_toxic_labels_need_no_quality(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(0, None, 1), (1, None, 0), (2, None, None), (3, 0, 0), (4, 1, None), (5, 1, 0), (5, None, 1), (None, None, 1)],
+                                   "doc_id bigint, quality int, toxic int")
+    assert {r.doc_id: r.grade for r in ordinal_quality.ratings(docs, labels).collect()} == {0: 0, 3: 1, 4: 2, 5: 0}
+
+
 def test_classifier_without_ratings_keeps_all(spark, docs, none, corpus):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     model = ordinal_quality.quality_model(docs, labels)

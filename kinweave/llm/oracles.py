@@ -91,6 +91,42 @@ k AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
 
+_DRAW = "('0x' || substr(sha256('1:' || coalesce(doc_id::VARCHAR, '')), {at}, 8))::UBIGINT"
+OP11 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, {_DRAW.format(at=1)} AS h1, {_DRAW.format(at=9)} AS h2,
+    {_DRAW.format(at=17)} AS h3, {_DRAW.format(at=25)} AS h4 FROM documents
+),
+c AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1))::BIGINT AS a, greatest(h1 % (n + 1), h2 % (n + 1))::BIGINT AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+),
+p AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+OP13 = """
+WITH RECURSIVE e AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings
+),
+u AS (
+  SELECT r, vec_id, v FROM e
+  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+),
+l AS (SELECT a.r AS x, b.r AS y FROM u a JOIN u b ON a.r <> b.r AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+w(x, y) AS (SELECT x, y FROM l UNION SELECT w.x, l.y FROM w JOIN l ON w.y = l.x),
+k AS (SELECT w.x, min(u.vec_id) AS least_id FROM w JOIN u ON u.r = w.y GROUP BY w.x),
+m AS (SELECT x, count(*) AS links FROM l GROUP BY x)
+SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, least(vec_id, least_id)::BIGINT AS component_id, least(vec_id, least_id) = vec_id AS kept
+FROM e LEFT JOIN k ON k.x = e.r LEFT JOIN m ON m.x = e.r
+"""
+
 ORACLES = {
     "op1_metric_join": OP1, "op2_positional_decontamination": OP2, "op3_line_frequency_rules": OP3, "op10_suffix_dedup": OP10,
+    "op11_fill_in_middle": OP11, "op13_cover_tree": OP13,
 }

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.llm import (
-    label_sharding, line_frequency, metric_join, mixing, oracles, ordinal_quality, positional_index, pseudonyms, rank_profiles, suffix_dedup,
+    cover_tree, fill_in_middle, label_sharding, line_frequency, metric_join, mixing, oracles, ordinal_quality, positional_index, pseudonyms, rank_profiles, spelling, suffix_dedup,
     token_codes,
 )
 from kinweave.llm.common import documents
@@ -46,6 +45,8 @@ def op3_line_frequency_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_token_codes(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers  # needed by this query alone
+
     path = token_codes.shared_folder(spark, "token-codes")
     token_codes.write_tokens(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), path)
     return token_codes.read_documents(spark, path)
@@ -83,5 +84,23 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return changed.unionByName(untouched.withColumn("n_removed", F.lit(0).cast("bigint")))
 
 
+@query
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    moved = fill_in_middle.transform(documents(spark, folder))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                        F.sha2(back, 256).alias("restored_sha256"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, folder), noise=97)
+
+
+@query
+def op13_cover_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return cover_tree.near_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(oracles.ORACLES)

@@ -2,7 +2,7 @@
 
 Texts are cut at the separators 0x20 and 0x09 to 0x0D; these bytes never occur inside a UTF-8
 character, so bytes suffice. A word's hash is a polynomial over random byte values, mixed at the end.
-Rows are handled in pieces of a few MB, so memory follows the longest single text, not the batch.
+Rows are handled in pieces of half a MB, so memory follows the longest single text, not the batch.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from kinweave.plans.shipping import ship_by_value
 
 ship_by_value(__name__)
 
-PIECE = 2 << 20
+PIECE = 1 << 19
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1

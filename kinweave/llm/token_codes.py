@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -34,6 +33,8 @@ ship_by_value(__name__)
 
 SEGMENT = 1 << 18  # tokens; a longer document is a segment of its own
 BLOCK = 512  # entries of a bitmap between two entries of its rank directory
+SLOTS = 1 << 21  # of the words a task knows
+LINE = 128  # words of letters encoded at a time
 LEVELS = "levels array<struct<chunks: binary, more: binary, ranks: binary>>"
 FILE = f"part int, seg int, n_tokens bigint, doc_ids array<bigint>, doc_starts array<bigint>, {LEVELS}"
 
@@ -119,35 +120,88 @@ def _units(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 class WordEncoder:
     """Ids of texts by the tokenizer file, each distinct word encoded once per task.
 
-    Right for tokenizers that put A-Z in lower case, drop ASCII white space and never join characters
-    across it, nor ASCII letters or digits with the ASCII marks that end a word.
+    Right for tokenizers that put A-Z in lower case, drop ASCII white space, never join characters
+    across it, nor ASCII letters or digits with the ASCII marks that end a word, and make ASCII letters alone
+    one piece whose last id, and no other, carries ``</w>``.
+    Words are found by their hashes in a table with open addressing; a full table is begun anew.
     """
 
-    def __init__(self, path: str, most_words: int = 1_000_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.most = Tokenizer.from_file(path), most_words
+        self.model = Tokenizer.from_file(path)
+        vocabulary = self.model.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.start, self.length = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
-
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        coded = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-        total, place = int(lengths.sum()), len(self.known)
-        while self.used + total > len(self.ids):
+        self.words, self.used = 0, 0
+        self.ids = np.zeros(1 << 16, dtype=np.uint32)
+        self.start, self.length = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int32)
+        self.slot_key, self.slot_place = np.zeros(SLOTS, dtype=np.uint64), np.full(SLOTS, -1, dtype=np.int32)
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 where it is unknown."""
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        place = self.slot_place[slot].astype(np.int64)
+        open_ = np.flatnonzero((place >= 0) & (self.slot_key[slot] != hashes))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (SLOTS - 1)
+            place[open_] = self.slot_place[slot[open_]]
+            open_ = open_[(place[open_] >= 0) & (self.slot_key[slot[open_]] != hashes[open_])]
+        return place
+
+    def _insert(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        """Distinct unknown hashes into the next free slot each; of several that want a slot the first gets it."""
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        left = np.arange(len(hashes))
+        while len(left):
+            _, first = np.unique(slot[left], return_index=True)
+            first = first[self.slot_place[slot[left[first]]] < 0]
+            won = left[first]
+            self.slot_key[slot[won]], self.slot_place[slot[won]] = hashes[won], places[won]
+            left = np.delete(left, first)
+            slot[left] = (slot[left] + 1) & (SLOTS - 1)
+
+    def _encoded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and how many each has. Words of ASCII letters go in lines: their ids end in a known way."""
+        plain = np.fromiter((t.isalpha() for t in texts), dtype=bool, count=len(texts))
+        letters = [t for t, p in zip(texts, plain.tolist()) if p]
+        lines = [b" ".join(letters[i : i + LINE]).decode() for i in range(0, len(letters), LINE)]
+        joined = self._ids(self.model.encode_batch_fast(lines, add_special_tokens=False))[0]
+        ends = np.flatnonzero(self.ends_word[joined]) + 1
+        if len(ends) != len(letters):
+            raise ValueError("the tokenizer does not encode words of letters one by one")
+        others, their = self._ids(self.model.encode_batch_fast(
+            [t.decode("utf-8", "replace") for t, p in zip(texts, plain.tolist()) if not p], add_special_tokens=False))
+        lengths = np.zeros(len(texts), dtype=np.int64)
+        lengths[plain], lengths[~plain] = np.diff(ends, prepend=0), their
+        which = np.repeat(plain, lengths)
+        ids = np.zeros(len(which), dtype=np.uint32)
+        ids[which], ids[~which] = joined, others
+        return ids, lengths
+
+    @staticmethod
+    def _ids(coded: list) -> tuple[np.ndarray, np.ndarray]:
+        each = [e.ids for e in coded]
+        lengths = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        return np.fromiter(chain.from_iterable(each), dtype=np.uint32, count=int(lengths.sum())), lengths
+
+    def _learn(self, hashes: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """Places of new words."""
+        ids, lengths = self._encoded(texts)
+        places = np.arange(self.words, self.words + len(hashes))
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while place + len(keys) > len(self.start):
+        while self.words + len(hashes) > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.known.update(zip(keys, range(place, place + len(keys))))
-        self.start[place : place + len(keys)] = self.used + np.cumsum(lengths) - lengths
-        self.length[place : place + len(keys)] = lengths
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(coded), dtype=np.uint32, count=total)
-        self.used += total
+        self._insert(hashes, places)
+        self.start[places], self.length[places] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used, self.words = self.used + len(ids), self.words + len(hashes)
+        return places
 
     def encode(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the piece's rows, and how many each row has."""
@@ -155,21 +209,19 @@ class WordEncoder:
         rows = len(piece.bounds) - 1
         if not len(starts):
             return np.zeros(0, dtype=np.uint32), np.zeros(rows, dtype=np.int64)
-        if len(self.known) > self.most:
+        if self.words > SLOTS // 2:
             self.clear()
-        number, unique = pd.factorize(hashes)
-        keys = unique.tolist()
-        place = np.fromiter((self.known.get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            first = np.zeros(len(keys), dtype=np.int64)
-            first[number[::-1]] = np.arange(len(number))[::-1]
-            data, at = piece.data.tobytes(), first[new]
-            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-            place[new] = len(self.known) + np.arange(len(new))
-            self._learn([keys[i] for i in new.tolist()], texts)
-        place = place[number]
-        length = self.length[place]
+        place = self._places(hashes)
+        missed = np.flatnonzero(place < 0)
+        if len(missed):
+            unique, first, number = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            data, word = piece.data.tobytes(), missed[first]
+            if self.words + len(unique) > SLOTS - SLOTS // 4:  # one long text may hold more words than fit: encode it as it is
+                return self._ids(self.model.encode_batch_fast(
+                    [data[a:b].decode("utf-8", "replace") for a, b in zip(piece.bounds[:-1].tolist(), piece.bounds[1:].tolist())], add_special_tokens=False))
+            texts = [data[a:b] for a, b in zip(starts[word].tolist(), ends[word].tolist())]
+            place[missed] = self._learn(unique, texts)[number]
+        length = self.length[place].astype(np.int64)
         last = np.cumsum(length)
         ids = self.ids[np.repeat(self.start[place] - (last - length), length) + np.arange(last[-1])]
         return ids, np.bincount(row, weights=length, minlength=rows).astype(np.int64)

@@ -374,7 +374,8 @@ def remove_repeats(docs: DataFrame, width: int = 13, shard_words: int = SHARD) -
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    hits = shared_keys(docs.where("doc_id is not null").select("doc_id", "text"), _anchors(width)).groupBy(
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    hits = shared_keys(docs.where("doc_id is not null").select("doc_id", "text"), _anchors(width), size // 16).groupBy(
         F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("key", "owner")).alias("hits"))
     path = shared_folder(spark, "spans")
     docs.join(hits, "doc_id", "left").select("doc_id", "text_key", "text", "hits").mapInArrow(_spans(width), STAGED).write.option(

@@ -4,9 +4,10 @@ Vectors of length one are at Euclidean distance sqrt(2 - 2 cosine), so a cosine
 
 1. Vectors go to the nearest of some chosen ones, and homes of many vectors are dealt into blocks by hash,
    so no block grows with a group of near copies.
-2. Each block becomes a tree of nested levels with halving radii (1, 1/2, 1/4, ...): the vectors of a node are
-   covered by centres among them, each of which becomes a child with what it covers. A node knows its
-   covering radius and the range of its vectors, which are stored in the order of the tree.
+2. Each block becomes a tree of nested levels with halving radii (1, 1/2, 1/4, ...), from the first that is at
+   most 2 e: the vectors of a node are covered by centres among them, each of which becomes a child with what
+   it covers. A node knows its covering radius and the range of its vectors, which are stored in the order of
+   the tree. Levels above would join vectors that only other directions are farther from.
 3. Blocks are balls as well: two meet in a task only if their balls come within e of one another.
 4. The task walks both trees at once. A pair of nodes with centres further apart than both radii and e holds
    no link and is dropped; one whose farthest vectors are within e links all of its pairs without looking at
@@ -38,7 +39,9 @@ from kinweave.plans.shipping import ship_by_value
 ship_by_value(__name__)
 
 BLOCK = 8192  # vectors of a tree, about
-LEAF = 16  # vectors of a node that is not split
+LEAF = 64  # vectors of a node that is not split
+SPARSE = 64  # pairs of vectors of two nodes that are listed together with those of other nodes
+DENSE = 1 << 20  # pairs of vectors that are compared at once rather than by the nodes' children
 SLACK = 1e-6  # of distances, for rounding; what is within it is compared itself
 HOMES, PORTION = 4096, 32 << 20
 PACKED = "rid bigint, vec_id bigint, dim int, data binary"
@@ -152,7 +155,7 @@ def grown(raw: np.ndarray, rids: np.ndarray, reach: float) -> tuple[np.ndarray,
             nodes.append([c, away, a, b, 0, 0, radius / 2])
         return len(rank)
 
-    split(0, len(x), 1.0)
+    split(0, len(x), min(1.0, 2.0 ** math.floor(math.log2(2 * reach))))
     i = 0
     while i < len(nodes):
         _, away, low, high, _, _, radius = nodes[i]
@@ -277,6 +280,20 @@ def traverse(a: Tree, b: Tree, cosine: float) -> Links:
             links.counts[right] += len(left)
             links.connect(np.full(len(right), left[0]), right)
         links.connect(np.full(len(left), left[0]), left)
+
+    def listed(p: np.ndarray, q: np.ndarray, itself: np.ndarray) -> None:
+        """Pairs of small nodes, all at once."""
+        wide, high = (b.high - b.low)[q], (a.high - a.low)[p]
+        n = wide * high
+        for part in np.array_split(np.arange(len(p)), -(-int(n.sum()) // 65_536)):
+            each = np.repeat(part, n[part])
+            k = np.arange(len(each)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+            u, v = a.low[p[each]] + k // wide[each], b.low[q[each]] + k % wide[each]
+            keep = ~itself[each] | (u < v)
+            u, v = u[keep], v[keep]
+            close = np.einsum("ij,ij->i", a.x[u], b.x[v]) >= cosine
+            links.pairs(u[close], v[close] + shift)
+
     # Single vectors against single vectors: one product, nothing to descend into.
     first_a, first_b = (int(t.low[t.several]) if t.several < t.top else len(t.x) for t in (a, b))
     for r in range(first_a, len(a.x), 1024):
@@ -308,8 +325,11 @@ def traverse(a: Tree, b: Tree, cosine: float) -> Links:
         both = a.radius[i] + b.radius[j]
         near = away <= both + reach + SLACK
         sure = near & (away + both <= reach - SLACK)
-        few = near & ~sure & (((a.high - a.low)[i] * (b.high - b.low)[j] <= 4096) | ((a.children[i] == 0) & (b.children[j] == 0)))
-        for which, act in ((sure, linked), (few, compared)):
+        few = near & ~sure & (((a.high - a.low)[i] * (b.high - b.low)[j] <= DENSE) | ((a.children[i] == 0) & (b.children[j] == 0)))
+        small = few & ((a.high - a.low)[i] * (b.high - b.low)[j] <= SPARSE)
+        if small.any():
+            listed(i[small], j[small], itself[small])
+        for which, act in ((sure, linked), (few & ~small, compared)):
             for p, q, own in zip(i[which].tolist(), j[which].tolist(), itself[which].tolist()):
                 act(int(a.low[p]), int(a.high[p]), int(b.low[q]), int(b.high[q]), own)
         i, j, itself = (x[near & ~sure & ~few] for x in (i, j, itself))

@@ -115,6 +115,12 @@ class Catalog:
             "identity_id", "name", F.coalesce("size", F.lit(0)).cast("bigint").alias("size")
         ))
 
+    @cached_property
+    def entity_ordinals(self) -> DataFrame:
+        """Every entity that is registered or related, with ``e_ord``, its ordinal by ID."""
+        ends = self.entity_relationships.select(F.explode(F.array("left_id", "right_id")).alias("identity_id"))
+        return dense_ordinal(self.entities.select("identity_id").unionByName(ends).distinct(), ["identity_id"], "e_ord")
+
     @cached_property
     def column_ids(self) -> DataFrame:
         """Columns with ``c_ord``, their ordinal by (dataset, name)."""

@@ -14,6 +14,8 @@ from pyspark.sql.window import Window as W
 
 from kinweave.catalog import MEMBER_COLUMNS, Catalog
 from kinweave.operators.relationships import _check_page
+from kinweave.plans.ordinals import block_of
+from kinweave.plans.paging import counted_blocks, group_totals, page_of
 
 HISTOGRAM_ROWS = 20  # fixed value
 STRINGS = "array<string>"
@@ -167,11 +169,11 @@ def entity_definition_page(
     _check_page(offset, limit)
     primaries = entity_primaries(cat, requests)
     nodes = primaries.select("req_id", "node_id", "node_first", "node_size").distinct()
-    totals = nodes.groupBy("req_id").agg(F.count("*").alias("dataset_count"))
-    order = W.partitionBy("req_id").orderBy("node_id")
-    page = nodes.withColumn("dataset_rank", F.row_number().over(order)).where(
-        F.col("dataset_rank") <= offset + limit
-    ).where(F.col("dataset_rank") > offset)
+    # Spans of datasets lie in the order of their IDs, so blocks of ordinals are blocks of datasets.
+    block = block_of(F.col("node_first"), cat.block_rows)
+    counts = counted_blocks(nodes, ["req_id"], block)
+    totals = group_totals(counts, ["req_id"], "dataset_count")
+    page = page_of(nodes, counts, ["req_id"], block, ["node_id"], offset, limit, "dataset_rank")
     asked = _optional(requests, targets=STRINGS).select(
         "req_id", F.col("identity_id").alias("_primary"), "targets"
     )
@@ -276,7 +278,7 @@ def edge_page(cat: Catalog, requests: DataFrame, offset: int = 0, limit: int = 2
 
     ``edge_count`` covers the definition's whole selection. ``rank`` is 1-based over it. Without
     targets the wanted positions are computed, so exactly the listed pairs are joined; with targets
-    the selected postings are ranked first, keeping no more of them than the page needs.
+    the selected postings are counted by block, and only blocks that hold the page are ranked.
     """
     _check_page(offset, limit)
     if "targets" in requests.columns:
@@ -316,11 +318,10 @@ def _page_by_rank(cat: Catalog, requests: DataFrame, offset: int, limit: int) ->
     entities = _source_entities(requests, sources)
     held = cat.join_postings(entities, "t_").drop("identity_id", "size", "_own").withColumn("node_id", F.col("t_node_id"))
     chosen = _keep_targets(cat, requests, held).drop("node_id")
-    counts = chosen.groupBy("req_id", "t_identity_id").agg(F.count("*").alias("_n")).withColumnRenamed(
-        "t_identity_id", "s_identity_id"
-    )
-    order = W.partitionBy("req_id", "t_identity_id").orderBy("t_ord")
-    top = chosen.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= offset + limit + 1)
+    group = ["req_id", "t_identity_id"]
+    blocks = counted_blocks(chosen, group, F.col("t_entity_block"))
+    counts = group_totals(blocks, group, "_n").withColumnRenamed("t_identity_id", "s_identity_id")
+    top = page_of(chosen, blocks, group, F.col("t_entity_block"), ["t_ord"], offset, limit + 1, "_rank")
     # A source that passes its own target filter leaves its slot to the next definition.
     own = requests.select("req_id", "node_id", *_target_set(requests))
     passing = own.join(_datasets_with_all(cat, requests), ["_targets", "node_id"]).select(

@@ -9,10 +9,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window as W
 
 from kinweave.catalog import Catalog
 from kinweave.functions import claims, ids, labels
+from kinweave.plans.ordinals import block_of
+from kinweave.plans.paging import counted_blocks, group_totals, page_of
 
 
 def postings(cat: Catalog) -> DataFrame:
@@ -262,14 +263,14 @@ def entity_relationships(
     nothing on the page has NULL details.
     """
     _check_page(offset, limit)
-    related = requests.select("req_id", "identity_id").join(stated_claims(cat), "identity_id")
-    totals = related.groupBy("req_id").agg(F.count("*").alias("total"))
-    order = W.partitionBy("req_id").orderBy("other_id")
-    page = related.withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= offset + limit
-    ).where(F.col("rank") > offset)
+    related = requests.select("req_id", "identity_id").join(stated_claims(cat), "identity_id").drop("identity_id").join(
+        cat.entity_ordinals.withColumnRenamed("identity_id", "other_id"), "other_id")
+    block = block_of(F.col("e_ord"), cat.block_rows)
+    counts = counted_blocks(related, ["req_id"], block)
+    totals = group_totals(counts, ["req_id"], "total")
+    page = page_of(related, counts, ["req_id"], block, ["other_id"], offset, limit, "rank").drop("e_ord")
     names = cat.identities.select(F.col("identity_id").alias("other_id"), "name")
-    page = page.join(names, "other_id", "left").drop("identity_id")
+    page = page.join(names, "other_id", "left")
     known = cat.entities.where("name is not null").select("identity_id", F.lit(True).alias("_known"))
     return (
         requests.select("req_id", "identity_id")

@@ -2,8 +2,8 @@
 
 Postings hold one row per (term, subject, value). A query matches a term exactly or as a prefix; a
 query of several words also matches names in which every word starts some word of the same value.
-Prefixes become equi-joins: a term meets a query on the first ``n`` characters, for the few distinct
-query lengths ``n``.
+Distinct terms are sorted once together with where each query word's terms begin and end, so a prefix is
+an interval of ordinals. Words meet terms by the blocks of their intervals, and postings by the term.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 from kinweave.catalog import Catalog
 from kinweave.functions import claims, ids, text
 from kinweave.plans.lineage import cut
+from kinweave.plans.ordinals import block_of, blocks_between, dense_ordinal
 
 # Kinds in output order, field order within a subject, match types by rank
 KINDS = ("column", "dataset", "entity_definition", "entity_relationship", "identity")
@@ -26,6 +27,9 @@ _ORDER = {name: i for i, name in enumerate(FIELDS, 1)}
 # (kind, field) whose values a query of several words may match word by word
 _WORD_FIELDS = (("dataset", "qualified_name"), ("dataset", "canonical_name"), ("identity", "canonical_name"))
 
+LAST = "\U0010ffff"  # behind every character of a term
+TERM_BLOCK = 256  # ordinals
+
 _ENTRY = "array<struct<field: int, value: string, descriptive: boolean>>"
 
 
@@ -199,15 +203,18 @@ def search(
 def _best_per_value(asked: DataFrame, values: DataFrame) -> DataFrame:
     """The best match of each value for each query: the lowest (rank, term)."""
     value = ["kind", "key", "value_idx"]
-    whole = _prefix_join(build_postings(values), asked.withColumnRenamed("q", "word")).select(
+    postings = build_postings(values)
+    words = asked.where(F.col("q").contains(" "))
+    each = words.select("query_id", "q", F.explode(F.array_distinct(F.split("q", " "))).alias("word"))
+    # A name's words are terms as well, so one pass over the vocabulary serves both kinds of match.
+    started = cut(matched_terms(postings.select("term"), asked.select(F.col("q").alias("word")).unionByName(each.select("word"))))
+    whole = postings.join(started, "term").join(asked, F.col("word") == F.col("q")).select(
         "query_id", *value, F.struct((F.col("term") != F.col("word")).cast("int").alias("rank"), "term").alias("match")
     )
-    words = asked.where(F.col("q").contains(" "))
     names = values.where(_is_word_field()).select(*value, "normalized")
-    each = words.select("query_id", "q", F.explode(F.array_distinct(F.split("q", " "))).alias("word"))
     starts = names.select(*value, "normalized", F.explode(F.array_distinct(F.split("normalized", " "))).alias("term"))
     every = (
-        _prefix_join(starts, each).groupBy("query_id", "q", *value, "normalized")
+        starts.join(started, "term").join(each, "word").groupBy("query_id", "q", *value, "normalized")
         .agg(F.count_distinct("word").alias("_n"))
         .where(F.col("_n") == F.size(F.array_distinct(F.split("q", " "))))
     )
@@ -223,15 +230,21 @@ def _is_word_field() -> Column:
     return result
 
 
-def _prefix_join(terms: DataFrame, words: DataFrame) -> DataFrame:
-    """Rows of ``terms`` whose ``term`` starts with a ``word``."""
-    lengths = [r.n for r in words.select(F.char_length("word").alias("n")).distinct().collect()]
-    if not lengths:
-        return terms.join(words, F.lit(False))
-    # One head per distinct query length; a term shorter than the length cannot match.
-    heads = F.filter(F.array(*map(F.lit, sorted(lengths))), lambda n: n <= F.char_length("term"))
-    headed = terms.withColumn("_n", F.explode(heads)).withColumn("_head", F.left("term", F.col("_n")))
-    return headed.join(words, F.col("_head") == F.col("word")).drop("_n", "_head")
+def matched_terms(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, term): which of the distinct terms start with which of the distinct words.
+
+    Two marks per word enter the sorted vocabulary, one before and one after its terms; the terms between
+    them are found by blocks of ordinals. Terms are normalised, so none holds the last code point.
+    """
+    marked = words.select("word").distinct()
+    rows = terms.select("term").distinct().select(F.col("term").alias("text"), F.lit(1).alias("is_term"), F.lit(None).cast("string").alias("word"))
+    for text_ in (F.col("word"), F.concat("word", F.lit(LAST))):
+        rows = rows.unionByName(marked.select(text_.alias("text"), F.lit(0).alias("is_term"), "word"))
+    ordered = dense_ordinal(rows, ["text", "is_term"])
+    spans = ordered.where("is_term = 0").groupBy("word").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    spans = spans.where("last > first + 1").withColumn("block", blocks_between(F.col("first"), F.col("last"), TERM_BLOCK))
+    listed = ordered.where("is_term = 1").select(F.col("text").alias("term"), "ord", block_of(F.col("ord"), TERM_BLOCK).alias("block"))
+    return spans.join(listed, "block").where((F.col("ord") > F.col("first")) & (F.col("ord") < F.col("last"))).select("word", "term")
 
 
 def _word_match(normalized: Column, query: Column) -> Column:

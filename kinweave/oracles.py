@@ -28,7 +28,13 @@ o AS (SELECT *, row_number() OVER (ORDER BY node_id, identity_id, col) AS ord FR
 m AS (SELECT *, row_number() OVER (PARTITION BY identity_id ORDER BY ord) AS pos,
              count(*) OVER (PARTITION BY identity_id) AS size FROM o)
 """
+STATUS_MEMBERS = """WITH defs AS (
+  SELECT 'order:' || o_orderkey AS node_id, unnest(['status:' || o_orderstatus, 'priority:' || o_orderpriority]) AS identity_id,
+    unnest(['status', 'priority']) AS col, CASE WHEN o_orderkey % 3 = 0 THEN 'complete' ELSE 'partial' END AS universe FROM orders),
+""" + MEMBERS
 ORDER_MEMBERS = "WITH " + ORDERS + MEMBERS
+# Every definition as a row ``a`` beside the next one of its entity, ``b``.
+ORDER_PEERS = ORDER_MEMBERS + """, pr AS MATERIALIZED (SELECT a, lead(a) OVER (PARTITION BY a.identity_id ORDER BY a.pos) AS b FROM m a)"""
 EVENT_MEMBERS = "WITH " + EVENTS + MEMBERS
 LARGEST = """
 sales AS (SELECT o_orderkey, o_totalprice, c_custkey, n_nationkey, n_regionkey
@@ -132,20 +138,17 @@ FROM m a JOIN m b ON a.identity_id = b.identity_id AND b.pos BETWEEN a.pos + 1 A
         "relationship_profile_hubs": EVENT_MEMBERS + profile,
         "dataset_degrees": ORDER_MEMBERS + """SELECT coalesce(d.node_id, 'order:' || o_orderkey) AS node_id, coalesce(d.edge_count, 0) AS edge_count
 FROM orders FULL JOIN (SELECT node_id, sum(size - 1)::BIGINT AS edge_count FROM m GROUP BY node_id) d ON d.node_id = 'order:' || o_orderkey""",
-        "relationship_lookup": ORDER_MEMBERS + f""", x AS (SELECT ord AS req_id, ord, node_id,
-    CASE WHEN pos % 64 <> 0 AND pos < size THEN lead(ord) OVER (PARTITION BY identity_id ORDER BY pos) ELSE ord END AS peer,
-    CASE ord % 3 WHEN 0 THEN node_id WHEN 1 THEN 'order:none' END AS from_node FROM m),
-j AS (SELECT x.req_id, x.ord, x.peer, x.from_node, CASE WHEN x.ord = x.peer THEN 'unknown_relationship' WHEN x.from_node IS NULL THEN 'ok'
-    WHEN x.from_node = 'order:none' THEN 'not_endpoint' WHEN a.node_id = b.node_id THEN 'ambiguous' ELSE 'ok' END AS st
-  FROM x JOIN m a ON a.ord = x.ord JOIN m b ON b.ord = x.peer)
-SELECT x.req_id, 'D' || x.ord || '-D' || x.peer AS edge_id, x.st AS status, CASE WHEN x.ord <> x.peer THEN x.ord END AS lo,
-  CASE WHEN x.ord <> x.peer THEN x.peer END AS hi, CASE WHEN x.ord <> x.peer THEN {ab} END AS ab_multiplicity,
-  CASE WHEN x.ord <> x.peer THEN {be} END AS ba_existence,
-  CASE WHEN st = 'ok' AND from_node IS NOT NULL THEN a.node_id || '[' || a.col || '] -> ' || b.node_id || '[' || b.col || ']' END AS edge,
-  CASE WHEN st = 'ok' AND from_node IS NOT NULL THEN {picked['multiplicity']} END AS multiplicity,
-  CASE WHEN st = 'ok' AND from_node IS NOT NULL THEN {picked['match_existence']} END AS match_existence,
-  CASE WHEN st = 'ok' AND from_node IS NOT NULL THEN {edge_unknown} END AS edge_unknown_fields
-FROM j x JOIN m a ON a.ord = x.ord JOIN m b ON b.ord = x.peer""",
+        "relationship_lookup": ORDER_PEERS + f""", x AS (SELECT a, CASE WHEN a.pos % 64 <> 0 THEN b END AS b,
+    CASE a.ord % 3 WHEN 0 THEN a.node_id WHEN 1 THEN 'order:none' END AS from_node FROM pr),
+j AS (SELECT *, CASE WHEN b IS NULL THEN 'unknown_relationship' WHEN from_node IS NULL THEN 'ok'
+    WHEN from_node = 'order:none' THEN 'not_endpoint' WHEN a.node_id = b.node_id THEN 'ambiguous' ELSE 'ok' END AS status FROM x)
+SELECT a.ord AS req_id, 'D' || a.ord || '-D' || coalesce(b.ord, a.ord) AS edge_id, status, CASE WHEN b IS NOT NULL THEN a.ord END AS lo, b.ord AS hi,
+  CASE WHEN b IS NOT NULL THEN {ab} END AS ab_multiplicity, CASE WHEN b IS NOT NULL THEN {be} END AS ba_existence,
+  CASE WHEN status = 'ok' AND from_node IS NOT NULL THEN a.node_id || '[' || a.col || '] -> ' || b.node_id || '[' || b.col || ']' END AS edge,
+  CASE WHEN status = 'ok' AND from_node IS NOT NULL THEN {picked['multiplicity']} END AS multiplicity,
+  CASE WHEN status = 'ok' AND from_node IS NOT NULL THEN {picked['match_existence']} END AS match_existence,
+  CASE WHEN status = 'ok' AND from_node IS NOT NULL THEN {edge_unknown} END AS edge_unknown_fields
+FROM j x""",
         "effective_descriptions": ORDER_MEMBERS + """, flags AS (SELECT 'order:' || l_orderkey AS node_id, 'line_' || l_linenumber AS col, max(l_returnflag) AS flag FROM lineitem GROUP BY ALL),
 e AS (SELECT m.node_id, identity_id, col, quantity, CASE WHEN quantity > 45 THEN 'bulk line' WHEN (quantity > 25 OR quantity <= 10) AND flag <> 'N' THEN 'line with flag ' || flag END AS t FROM m JOIN flags USING (node_id, col))
 SELECT node_id, identity_id, col AS dataset_columns, t AS effective_description, CASE WHEN quantity > 45 THEN 'entity' WHEN t IS NOT NULL THEN 'column' END AS description_source FROM e""",
@@ -154,6 +157,16 @@ SELECT node_id, identity_id, col AS dataset_columns, t AS effective_description,
 SELECT s_suppkey AS req_id, 'ok' AS status, coalesce(total, 0) AS total, rank, other_id, p_name AS name, multiplicity, match_existence
 FROM supplier LEFT JOIN (SELECT * FROM r WHERE rank <= 50) r ON r.identity_id = 'supplier:' || s_suppkey LEFT JOIN part ON other_id = 'part:' || p_partkey""",
         "entity_paths": supply + both + two + "SELECT req_id, rank, 2::BIGINT AS step_count, a || '|' || v || '|' || b AS ids, n > 3 AS truncated FROM found WHERE rank <= 3",
+        "part_paths": supply + """, nb AS MATERIALIZED (SELECT left_id AS x, right_id AS y FROM s UNION ALL SELECT right_id, left_id FROM s)
+, ends AS MATERIALIZED (SELECT p_partkey AS req_id, 'part:' || p_partkey AS a, 'part:' || lead(p_partkey) OVER (ORDER BY p_partkey) AS b FROM part)
+, two AS MATERIALIZED (SELECT req_id, [a, p.y, b] AS ids FROM ends JOIN nb p ON p.x = a JOIN nb q ON q.x = p.y AND q.y = b)
+, lack AS (SELECT ends.* FROM ends LEFT JOIN (SELECT req_id, count(*) AS n FROM two GROUP BY req_id) USING (req_id) WHERE b IS NOT NULL AND coalesce(n, 0) <= 3)
+, ha AS (SELECT req_id, a, b, p.y AS v, q.y AS w FROM lack JOIN nb p ON p.x = a JOIN nb q ON q.x = p.y WHERE q.y NOT IN (a, b))
+, hb AS (SELECT req_id, p.y AS v, q.y AS w FROM lack JOIN nb p ON p.x = b JOIN nb q ON q.x = p.y)
+, four AS (SELECT req_id, [a, ha.v, w, hb.v, b] AS ids FROM ha JOIN hb USING (req_id, w) WHERE ha.v <> hb.v)
+, g AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY len(ids), ids) AS rank, count(*) OVER (PARTITION BY req_id) AS n
+  FROM (SELECT * FROM two UNION ALL SELECT * FROM four))
+SELECT req_id, rank, (len(ids) - 1)::BIGINT AS step_count, array_to_string(ids, '|') AS ids, n > 3 AS truncated FROM g WHERE rank <= 3""",
         "entity_path_steps": supply + both + two + """, steps AS (SELECT req_id, rank, 1::BIGINT AS step, a AS from_id, v AS to_id FROM found WHERE rank <= 3
 UNION ALL SELECT req_id, rank, 2, v, b FROM found WHERE rank <= 3)
 SELECT req_id, rank, step, from_id, to_id, multiplicity, match_existence FROM steps JOIN c ON c.identity_id = from_id AND c.other_id = to_id""",
@@ -201,6 +214,22 @@ WHERE dataset_rank BETWEEN 6 AND 35 AND (p.ord IS NOT NULL OR m.identity_id < 't
   CASE WHEN coalesce(n, 0) > 100 THEN 'aggregated' ELSE 'detailed' END AS view
 FROM req q LEFT JOIN (SELECT req_id, count(*) AS n FROM conn GROUP BY req_id) c USING (req_id)""",
         "edge_histogram": ORDER_MEMBERS + customers("n_nationkey") + sources + near + ", held AS (SELECT req_id, c.node_id, m.identity_id FROM conn c JOIN m USING (node_id))" + top,
+        "deep_entity_page": STATUS_MEMBERS + """, n AS (SELECT substr(identity_id, 8) AS req_id, *, row_number() OVER (PARTITION BY identity_id ORDER BY node_id) AS dataset_rank,
+  count(*) OVER (PARTITION BY identity_id) AS dataset_count FROM m WHERE starts_with(identity_id, 'status:') AND universe = 'partial')
+SELECT req_id, dataset_rank, node_id, ord, dataset_count, true AS truncated, dataset_count > 1400 AS more FROM n WHERE dataset_rank BETWEEN 1101 AND 1400""",
+        "deep_edge_page": STATUS_MEMBERS + """, r AS (SELECT min(o_orderkey) AS req_id, 'priority:' || o_orderpriority AS target FROM orders GROUP BY o_orderstatus, o_orderpriority),
+p AS (SELECT r.req_id, s.ord AS s_ord, t.ord AS t_ord, row_number() OVER (PARTITION BY r.req_id, s.ord ORDER BY t.ord) AS rank,
+    count(*) OVER (PARTITION BY r.req_id, s.ord) AS edge_count
+  FROM r JOIN m s ON s.node_id = 'order:' || r.req_id JOIN m t ON t.identity_id = s.identity_id AND t.ord <> s.ord
+  JOIN m g ON g.node_id = t.node_id AND g.identity_id = r.target)
+SELECT req_id, s_ord, t_ord, rank, edge_count, max(edge_count) OVER (PARTITION BY req_id) > 1150 AS more, true AS truncated FROM p
+QUALIFY rank BETWEEN 1101 AND 1150""",
+        "deep_relationship_page": STATUS_MEMBERS + """, x AS (SELECT *, row_number() OVER (ORDER BY c, s) AS x_ord FROM (
+  SELECT DISTINCT 'customer:' || o_custkey AS c, 'status:' || o_orderstatus AS s FROM orders)),
+p AS (SELECT substr(s, 8) AS req_id, c, x_ord, row_number() OVER (PARTITION BY s ORDER BY c) AS rank, count(*) OVER (PARTITION BY s) AS total FROM x)
+SELECT q.req_id, 'ok' AS status, q.total, p.rank, p.c AS other_id, c_name AS name, 'X' || p.x_ord AS id
+FROM (SELECT DISTINCT req_id, total FROM p) q LEFT JOIN (SELECT * FROM p WHERE rank BETWEEN 1101 AND 1500) p USING (req_id)
+LEFT JOIN customer ON p.c = 'customer:' || c_custkey""",
         "edge_page": ORDER_MEMBERS + customers("c_custkey") + sources + ", tgt AS (SELECT * FROM m)" + plain + f"""
 SELECT l.req_id, s_ord, t_ord, rank, edge_count, most > 20 AS more, least(edge_count - 10, 10) < edge_count AS truncated,
   {mult('a', 'b')} AS multiplicity, {exist('a', 'b')} AS match_existence
@@ -228,26 +257,39 @@ def _traversal() -> dict[str, str]:
 , l2 AS (SELECT DISTINCT l1.req_id, y AS node_id FROM l1 JOIN nb ON x = l1.node_id)
 , every AS (SELECT req_id, node_id, min(d) AS distance FROM (SELECT req_id, node_id, 0::BIGINT AS d FROM req UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2) GROUP BY ALL)
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY distance, node_id) AS rank, count(*) OVER (PARTITION BY req_id) AS reached FROM every)"""
-    pairs = ", " + LARGEST + ", best AS (" + largest("n_regionkey") + """)
+    def pairs(by: str) -> str:
+        return ", " + LARGEST + ", best AS (" + largest(by) + """)
 , ends AS (SELECT a.req_id, a.node_id AS src, b.node_id AS dst FROM best a JOIN best b ON b.req_id = a.req_id + 1)"""
 
     def hop(s: str, t: str, allowed: str) -> str:
         return f"{t}.identity_id = {s}.identity_id AND {t}.ord <> {s}.ord{allowed.format(m=mult(s, t)) if allowed else ''}"
 
     def edge(s: str, t: str) -> str:
-        return f"struct_pack(lo := least({s}.ord, {t}.ord), hi := greatest({s}.ord, {t}.ord), start := {s}.ord)"
+        return f"struct_pack(lo := least({s}, {t}), hi := greatest({s}, {t}), start := {s})"
 
-    def k_paths(k: int, allowed: str) -> str:
-        return ORDER_MEMBERS + pairs + f"""
-, p1 AS (SELECT e.req_id, e.dst, [s.ord, t.ord] AS used, [{edge('s', 't')}] AS edges, t.node_id AS node, t.ord AS at
+    def distinct(*names: str) -> str:
+        return " AND ".join(f"{x} <> {y}" for i, x in enumerate(names) for y in names[i + 1 :])
+
+    def k_paths(by: str, k: int, longest: int, allowed: str) -> str:
+        """First edges of all requests meet their last edges, directly or over one edge between; over two where paths lack."""
+        return ORDER_MEMBERS.replace("m AS (", "m AS MATERIALIZED (") + pairs(by) + f"""
+, f1 AS MATERIALIZED (SELECT e.req_id, e.dst, s.ord AS s1, t.ord AS t1, t.node_id AS v
   FROM ends e JOIN m s ON s.node_id = e.src JOIN m t ON {hop('s', 't', allowed)})
-, r2 AS (SELECT p.req_id, p.dst, list_append(p.used, s.ord) AS used, p.edges, s.ord AS s_ord FROM p1 p JOIN m s ON s.node_id = p.node AND NOT list_contains(p.used, s.ord) WHERE p.node <> p.dst)
-, p2 AS (SELECT r.req_id, r.dst, list_append(r.used, t.ord) AS used, list_append(r.edges, {edge('s', 't')}) AS edges, t.node_id AS node
-  FROM r2 r JOIN m s ON s.ord = r.s_ord JOIN m t ON {hop('s', 't', allowed)} AND NOT list_contains(r.used, t.ord))
-, r3 AS (SELECT p.req_id, p.dst, list_append(p.used, s.ord) AS used, p.edges, s.ord AS s_ord FROM p2 p JOIN m s ON s.node_id = p.node AND NOT list_contains(p.used, s.ord) WHERE p.node <> p.dst)
-, p3 AS (SELECT r.req_id, list_append(r.edges, {edge('s', 't')}) AS edges FROM r3 r JOIN m s ON s.ord = r.s_ord
-  JOIN m t ON t.node_id = r.dst AND {hop('s', 't', allowed)} AND NOT list_contains(r.used, t.ord))
-, f AS (SELECT req_id, edges FROM p1 WHERE node = dst UNION ALL SELECT req_id, edges FROM p2 WHERE node = dst UNION ALL SELECT req_id, edges FROM p3)
+, bk AS MATERIALIZED (SELECT e.req_id, s.ord AS sl, t.ord AS tl, s.node_id AS v
+  FROM ends e JOIN m t ON t.node_id = e.dst JOIN m s ON {hop('s', 't', allowed)} WHERE s.node_id <> e.dst)
+, a AS MATERIALIZED (SELECT f.req_id, f.dst, s1, t1, s.ord, s.identity_id, s.uniq FROM f1 f JOIN m s ON s.node_id = f.v AND s.ord <> t1 AND s.ord <> s1 WHERE f.v <> f.dst)
+, b AS MATERIALIZED (SELECT k.req_id, sl, tl, t.ord, t.identity_id, t.uniq FROM bk k JOIN m t ON t.node_id = k.v AND t.ord <> sl AND t.ord <> tl)
+, upto AS MATERIALIZED (
+  SELECT req_id, [{edge('s1', 't1')}] AS edges FROM f1 WHERE v = dst
+  UNION ALL SELECT f.req_id, [{edge('s1', 't1')}, {edge('sl', 'tl')}] FROM f1 f JOIN bk k ON k.req_id = f.req_id AND k.v = f.v WHERE {distinct('s1', 't1', 'sl', 'tl')}
+  UNION ALL SELECT a.req_id, [{edge('s1', 't1')}, {edge('a.ord', 'b.ord')}, {edge('sl', 'tl')}] FROM a JOIN b ON b.req_id = a.req_id AND {hop('a', 'b', allowed)}
+    WHERE {distinct('s1', 't1', 'a.ord', 'b.ord', 'sl', 'tl')})
+, lack AS (SELECT req_id FROM ends LEFT JOIN (SELECT req_id, count(*) AS n FROM upto GROUP BY req_id) USING (req_id) WHERE {longest} > 3 AND coalesce(n, 0) <= {k})
+, a2 AS (SELECT a.req_id, s1, t1, a.ord AS s2, t.ord AS t2, t.node_id AS v FROM a JOIN lack USING (req_id) JOIN m t ON {hop('a', 't', allowed)}
+  WHERE t.node_id <> a.dst AND t.ord <> s1 AND t.ord <> t1)
+, a3 AS (SELECT x.req_id, s1, t1, s2, t2, s.ord, s.identity_id, s.uniq FROM a2 x JOIN m s ON s.node_id = x.v AND s.ord NOT IN (s1, t1, s2, t2))
+, f AS (SELECT * FROM upto UNION ALL SELECT a.req_id, [{edge('s1', 't1')}, {edge('s2', 't2')}, {edge('a.ord', 'b.ord')}, {edge('sl', 'tl')}]
+  FROM a3 a JOIN b ON b.req_id = a.req_id AND {hop('a', 'b', allowed)} WHERE {distinct('s1', 't1', 's2', 't2', 'a.ord', 'b.ord', 'sl', 'tl')})
 , g AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY len(edges), edges) AS rank, count(*) OVER (PARTITION BY req_id) AS n FROM f)
 SELECT req_id, rank, len(edges) AS edge_count, array_to_string(list_transform(edges, lambda e: e.lo || ':' || e.hi || ':' || e.start), '|') AS edges, n > {k} AS truncated FROM g WHERE rank <= {k}"""
 
@@ -260,8 +302,9 @@ SELECT req_id, rank, len(edges) AS edge_count, array_to_string(list_transform(ed
   FROM src s LEFT JOIN tgt t ON t.req_id = s.req_id AND t.identity_id = s.identity_id AND t.ord <> s.ord)
 , c AS (SELECT *, count(t_ord) OVER (PARTITION BY req_id, s_ord) AS listed FROM l WHERE rn <= 3)
 SELECT req_id, s_ord, t_ord, CASE WHEN t_ord IS NOT NULL THEN rn END AS rank, edge_count, listed FROM c""",
-        "shortest_paths": k_paths(6, ""),
-        "shortest_paths_by_multiplicity": k_paths(4, " AND {m} IN ('1:1', 'many:1', '1:many')"),
+        "shortest_paths": k_paths("n_regionkey", 6, 3, ""),
+        "customer_paths": k_paths("c_custkey", 6, 4, ""),
+        "shortest_paths_by_multiplicity": k_paths("n_regionkey", 4, 3, " AND {m} IN ('1:1', 'many:1', '1:many')"),
         "order_components": """WITH a AS (SELECT o_custkey, o_orderkey, o_orderstatus, coalesce(lag(o_orderstatus) OVER w = o_orderstatus, false) AS same FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
 b AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS run FROM a)
 SELECT o_custkey AS group_id, o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey, run) AS label FROM b""",
@@ -322,22 +365,37 @@ def normalized(value: str) -> str:
 def _search() -> dict[str, str]:
     docs = f"SELECT doc_id, {normalized('text')} AS n FROM documents"
     corpus = f"""
+li AS (SELECT l_suppkey, l_linenumber AS k, 'supplier:' || l_suppkey AS node_id, 'line_' || l_linenumber AS col, 'part:' || min(l_partkey) AS part,
+  max(l_returnflag) AS flag, min(l_linestatus) AS status, count(*) AS n FROM lineitem GROUP BY l_suppkey, l_linenumber),
+rel AS (SELECT a.part AS l, b.part AS r, count(*) AS n, row_number() OVER (ORDER BY a.part, b.part) AS ord
+  FROM li a JOIN li b ON a.l_suppkey = b.l_suppkey AND a.k = 1 AND b.k = 2 AND a.part <> b.part GROUP BY a.part, b.part),
 raw AS (
-  SELECT 'identity' AS kind, 'doc:' || doc_id AS key, lang || ' ' || source AS label, unnest([
+  SELECT 'column' AS kind, 'C' || ord AS key, ord, col AS label, unnest([{{'f': 2, 'v': col}},
+    {{'f': 11, 'v': CASE flag WHEN 'A' THEN 'accepted line' WHEN 'R' THEN 'returned line' END}}, {{'f': 12, 'v': CASE status WHEN 'F' THEN 'finished ' || n END}},
+    {{'f': 4, 'v': 'itemNo' || k}}]) AS e, generate_subscripts([1, 2, 3, 4], 1) AS i FROM (SELECT *, row_number() OVER (ORDER BY node_id, col) AS ord FROM li)
+  UNION ALL SELECT 'entity_definition', 'D' || ord, ord, CASE flag WHEN 'R' THEN 'lower(' || col || ')' ELSE part END, unnest([
+    {{'f': 1, 'v': part}}, {{'f': 8, 'v': col}}, {{'f': 9, 'v': CASE flag WHEN 'R' THEN 'lower(' || col || ')' END}}, {{'f': 10, 'v': CASE status WHEN 'F' THEN 'flag' END}},
+    {{'f': 10, 'v': CASE status WHEN 'F' THEN 'worst' END}}, {{'f': 10, 'v': CASE status WHEN 'F' THEN flag END}}, {{'f': 10, 'v': CASE status WHEN 'F' THEN 'seen' END}},
+    {{'f': 10, 'v': CASE status WHEN 'F' THEN 'lineFlag' END}}, {{'f': 10, 'v': CASE status WHEN 'F' THEN status END}}, {{'f': 10, 'v': CASE status WHEN 'F' THEN 'rows' END}}]),
+    generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8, 9, 10], 1) FROM (SELECT *, row_number() OVER (ORDER BY node_id, part, col) AS ord FROM li)
+  UNION ALL SELECT 'entity_relationship', 'X' || ord, ord, l || ' ' || r, {{'f': 11, 'v': 'sold together by ' || n}}, 1 FROM rel
+  UNION ALL SELECT 'identity' AS kind, 'doc:' || doc_id AS key, NULL, lang || ' ' || source AS label, unnest([
     {{'f': 1, 'v': 'doc:' || doc_id}}, {{'f': 3, 'v': lang || ' ' || source}}, {{'f': 11, 'v': text}}, {{'f': 4, 'v': lang}}, {{'f': 4, 'v': source}}]) AS e,
     generate_subscripts([1, 2, 3, 4, 5], 1) AS i FROM documents
-  UNION ALL SELECT 'identity', 'part:' || p_partkey, p_name, unnest([
+  UNION ALL SELECT 'identity', 'part:' || p_partkey, NULL, p_name, unnest([
     {{'f': 1, 'v': 'part:' || p_partkey}}, {{'f': 3, 'v': p_name}}, {{'f': 11, 'v': p_type}}, {{'f': 4, 'v': p_brand}}]), generate_subscripts([1, 2, 3, 4], 1) FROM part
-  UNION ALL SELECT 'dataset', 'supplier:' || s_suppkey, s_name, unnest([
+  UNION ALL SELECT 'dataset', 'supplier:' || s_suppkey, NULL, s_name, unnest([
     {{'f': 1, 'v': 'supplier:' || s_suppkey}}, {{'f': 3, 'v': s_name}}, {{'f': 6, 'v': n_name || '.' || s_name}},
     {{'f': 11, 'v': CASE WHEN s_acctbal < 0 THEN NULL ELSE 'active supplier' END}}, {{'f': 4, 'v': n_name}}, {{'f': 7, 'v': 'table'}}, {{'f': 7, 'v': 'supplier'}}]),
     generate_subscripts([1, 2, 3, 4, 5, 6, 7], 1) FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-nrm AS (SELECT kind, key, {normalized('label')} AS sort_label, e.f AS field, e.v AS value, i, {normalized('e.v')} AS normalized FROM raw),
+nrm AS (SELECT kind, key, ord, {normalized('label')} AS sort_label, e.f AS field, e.v AS value, i, {normalized('e.v')} AS normalized FROM raw),
 vals AS (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY i) - 1 AS value_idx FROM nrm WHERE normalized <> '')"""
     queries = f"""
 qs AS (SELECT DISTINCT query, {normalized('query')} AS q FROM (
   SELECT p_name AS query FROM part UNION ALL SELECT array_to_string(list_reverse(string_split(p_name, ' ')), ' ') FROM part
-  UNION ALL SELECT n_name || ' supplier' FROM nation UNION ALL SELECT 'supplier ' || n_name FROM nation UNION ALL SELECT left(p_name, 3) FROM part)),
+  UNION ALL SELECT n_name || ' supplier' FROM nation UNION ALL SELECT 'supplier ' || n_name FROM nation UNION ALL SELECT left(p_name, 3) FROM part
+  UNION ALL SELECT unnest(['line_' || l_linenumber, 'itemNo' || l_linenumber, 'Lower(line_' || l_linenumber || ')', 'sold together by ' || l_linenumber, 'worst ' || l_returnflag,
+    l_returnflag, 'accepted', 'finished', '--', '']) FROM (SELECT DISTINCT l_linenumber, l_returnflag FROM lineitem))),
 terms AS (SELECT DISTINCT kind, key, value_idx, unnest(list_append(string_split(normalized, ' '), normalized)) AS term FROM vals),
 whole AS (SELECT query, kind, key, value_idx, CASE WHEN term = q THEN 0 ELSE 1 END AS rank, term FROM qs JOIN terms ON starts_with(term, q) WHERE q <> ''),
 cand AS (SELECT query, q, kind, key, value_idx, string_split(q, ' ') AS w, string_split(normalized, ' ') AS h FROM qs, vals
@@ -347,8 +405,8 @@ hits AS (SELECT *, list_filter(range(1, len(h) - len(w) + 2), lambda s: len(list
 words AS (SELECT query, kind, key, value_idx, CASE WHEN len(runs) > 0 THEN 2 ELSE 3 END AS rank,
   CASE WHEN len(runs) > 0 THEN array_to_string(h[runs[1]:runs[1] + len(w) - 1], ' ') ELSE array_to_string(list_transform(w, lambda x: list_filter(h, lambda y: starts_with(y, x))[1]), ' ') END AS term FROM hits),
 best AS (SELECT query, kind, key, value_idx, first(rank ORDER BY rank, term) AS rank, first(term ORDER BY rank, term) AS term FROM (SELECT * FROM whole UNION ALL SELECT * FROM words) GROUP BY ALL),
-full_ AS (SELECT b.*, v.field, v.value, v.sort_label FROM best b JOIN vals v USING (kind, key, value_idx)),
-subj AS (SELECT query, kind, key, row_number() OVER (PARTITION BY query, kind ORDER BY min(rank), sort_label, key) AS srank, count(*) OVER (PARTITION BY query, kind) AS total FROM full_ GROUP BY query, kind, key, sort_label)"""
+full_ AS (SELECT b.*, v.ord, v.field, v.value, v.sort_label FROM best b JOIN vals v USING (kind, key, value_idx)),
+subj AS (SELECT query, kind, key, row_number() OVER (PARTITION BY query, kind ORDER BY min(rank), sort_label, ord, key) AS srank, count(*) OVER (PARTITION BY query, kind) AS total FROM full_ GROUP BY query, kind, key, ord, sort_label)"""
     return {
         "normalized_documents": f"SELECT doc_id, md5(n) AS digest, length(n) AS length FROM ({docs})",
         "term_frequencies": f"SELECT md5(term) AS term, count(*) AS document_count FROM (SELECT DISTINCT doc_id, unnest(list_append(string_split(n, ' '), n)) AS term FROM ({docs}) WHERE n <> '') GROUP BY term",
@@ -357,7 +415,8 @@ subj AS (SELECT query, kind, key, row_number() OVER (PARTITION BY query, kind OR
 SELECT f.query AS query_id, f.kind, f.key, srank AS rank, row_number() OVER (PARTITION BY f.query, f.kind, f.key ORDER BY f.rank, field, value_idx) AS match_rank,
   ['exact', 'prefix', 'phrase', 'all_words'][f.rank + 1] AS match_type,
   CASE field WHEN 1 THEN CASE f.kind WHEN 'dataset' THEN 'node_id' ELSE 'identity_id' END WHEN 3 THEN CASE f.kind WHEN 'dataset' THEN 'display_name' ELSE 'name' END
-    WHEN 4 THEN 'synonym' WHEN 6 THEN 'qualified_name' WHEN 7 THEN 'accessor' WHEN 11 THEN 'description' END AS match_field,
+    WHEN 2 THEN 'column_name' WHEN 4 THEN 'synonym' WHEN 6 THEN 'qualified_name' WHEN 7 THEN 'accessor' WHEN 8 THEN 'dataset_columns' WHEN 9 THEN 'entity_expression'
+    WHEN 10 THEN 'entity_metadata' WHEN 11 THEN 'description' WHEN 12 THEN 'value_description' END AS match_field,
   md5(term) AS matched_term, md5(value) AS matched_value, total, total > 5 AS truncated
 FROM full_ f JOIN subj s USING (query, kind, key) WHERE srank <= 5""",
     }
@@ -365,11 +424,11 @@ FROM full_ f JOIN subj s USING (query, kind, key) WHERE srank <= 5""",
 
 def _documents() -> dict[str, str]:
     num = "cast(substr({n}, 7) AS BIGINT)"
-    prelude = ORDER_MEMBERS + f""", e AS (SELECT a.node_id, {num.format(n='a.node_id')} AS doc_id, a.identity_id, a.col, a.ord AS s_ord, b.ord AS t_ord, b.node_id AS t_node,
+    prelude = ORDER_PEERS + f""", e AS MATERIALIZED (SELECT a.node_id, {num.format(n='a.node_id')} AS doc_id, a.identity_id, a.col, a.ord AS s_ord, b.ord AS t_ord, b.node_id AS t_node,
   (b.ord - a.ord) % 7 = 0 AS broken, {mult('a', 'b')} AS multiplicity, {exist('a', 'b')} AS existence,
   '$.datasets[''' || a.node_id || '''].edge_groups[''' || a.identity_id || '''].entity_definitions[[''' || a.col || ''']].edges[''' ||
   CASE WHEN (b.ord - a.ord) % 7 = 0 THEN 'D' || b.ord || '-D' || a.ord ELSE 'D' || a.ord || '-D' || b.ord END || ''']' AS loc
-  FROM m a JOIN m b ON a.identity_id = b.identity_id AND b.pos = a.pos + 1)"""
+  FROM pr WHERE b IS NOT NULL)"""
     sentence = """CASE WHEN existence = 'always' THEN 'Every ' ELSE 'Each ' END || lft || ' row matches ' ||
   CASE WHEN multiplicity IN ('1:1', 'many:1') THEN CASE WHEN existence = 'always' THEN 'exactly one ' ELSE 'at most one ' END || rgt || ' row'
        WHEN multiplicity IN ('1:many', 'many:many') THEN CASE WHEN existence = 'always' THEN 'one or more ' ELSE 'any number of ' END || rgt || ' rows'
@@ -385,7 +444,7 @@ UNION ALL SELECT doc_id, loc || '.edge', 'dangling_reference', 'warning' FROM e
         "document_differences": prelude + """
 SELECT doc_id, loc AS location, 'unknown_element' AS rule, 'error' AS severity FROM e WHERE broken
 UNION ALL SELECT o_orderkey, '$.datasets[''order:' || o_orderkey || '''].descriptor.description', 'graph_mismatch', 'error' FROM orders WHERE o_orderkey % 4 = 0""",
-        "document_sentences": prelude + f""", names AS (SELECT doc_id, node_id, cast(doc_id AS VARCHAR) AS nm FROM e GROUP BY ALL)
+        "document_sentences": prelude + f"""
 SELECT doc_id, CASE WHEN broken THEN 'D' || t_ord || '-D' || s_ord ELSE 'D' || s_ord || '-D' || t_ord END AS edge_id, {sentence} AS forward
 FROM (SELECT *, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE cast(doc_id AS VARCHAR) END AS lft, CASE WHEN t_node = node_id THEN cast(doc_id AS VARCHAR) ELSE t_node END AS rgt FROM e)""",
     }

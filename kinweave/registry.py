@@ -46,7 +46,8 @@ def _catalog(kind: str, spark: SparkSession, folder: str) -> Catalog:
 @cache
 def _built(kind: str, application: str, folder: str) -> Catalog:
     """One catalog per session and folder: its index serves every query, as a published one would."""
-    return getattr(membership, f"{kind}_catalog")(SparkSession.getActiveSession(), folder)
+    blocks = {"block_rows": HUB_BLOCK} if kind == "status" else {}
+    return getattr(membership, f"{kind}_catalog")(SparkSession.getActiveSession(), folder, **blocks)
 
 
 def _joined(values: Column) -> Column:
@@ -286,6 +287,41 @@ def edge_page_with_targets(spark, folder):
     return discovery.edge_page(cat, requests, 2, 5).select("req_id", "s_ord", "t_ord", "rank", "edge_count", "more", "truncated")
 
 
+# Pages deep in a hub; blocks of 1,000 rows, so that several hold the ranks before the page.
+HUB_BLOCK, DEEP = 1_000, 1_100
+
+
+@query
+def deep_entity_page(spark, folder):
+    """Every status: its orders of partly known universe from rank 1,100 on."""
+    cat = _catalog("status", spark, folder)
+    statuses = read_table(spark, folder, "orders").select("o_orderstatus").distinct()
+    requests = statuses.select(
+        F.col("o_orderstatus").alias("req_id"), F.concat(F.lit("status:"), F.col("o_orderstatus")).alias("identity_id"),
+        F.array(F.lit("partial")).alias("universes"))
+    return discovery.entity_definition_page(cat, cut(requests), DEEP, 300).select("req_id", "dataset_rank", "node_id", "ord", "dataset_count", "truncated", "more")
+
+
+@query
+def deep_edge_page(spark, folder):
+    """The first order of each status and priority: edges to orders of that priority, from rank 1,100 on."""
+    cat = _catalog("status", spark, folder)
+    first = read_table(spark, folder, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.min("o_orderkey").alias("k"))
+    requests = cut(first.select(
+        F.col("k").alias("req_id"), F.concat(F.lit("order:"), F.col("k").cast("string")).alias("node_id"),
+        F.array(F.concat(F.lit("priority:"), F.col("o_orderpriority"))).alias("targets")))
+    return discovery.edge_page(cat, requests, DEEP, 50).select("req_id", "s_ord", "t_ord", "rank", "edge_count", "more", "truncated")
+
+
+@query
+def deep_relationship_page(spark, folder):
+    """The customers of every status from rank 1,100 on."""
+    cat = _catalog("status", spark, folder)
+    statuses = read_table(spark, folder, "orders").select("o_orderstatus").distinct()
+    requests = cut(statuses.select(F.col("o_orderstatus").alias("req_id"), F.concat(F.lit("status:"), F.col("o_orderstatus")).alias("identity_id")))
+    return relationships.entity_relationships(cat, requests, DEEP, 400).select("req_id", "status", "total", "rank", "other_id", "name", "id")
+
+
 @query
 def edge_groups(spark, folder):
     """Grouped listings of the nations' largest orders, flattened to one row per group."""
@@ -339,6 +375,23 @@ def _region_pairs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def customer_paths(spark, folder):
+    """From each customer's largest order to the next customer's, over up to four edges."""
+    cat = _catalog("order", spark, folder)
+    return paths.k_paths(cat, _customer_pairs(spark, folder), 6, 4).withColumn(
+        "edges", F.array_join(F.transform("edges", lambda e: F.concat_ws(":", e["lo"], e["hi"], e["start"])), "|")
+    )
+
+
+def _customer_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """From each customer's largest order to the next customer's."""
+    best = cut(_largest_orders(spark, folder, "c_custkey"))
+    return best.select(F.col("c_custkey").alias("req_id"), F.col("node_id").alias("from_node_id")).join(
+        best.select((F.col("c_custkey") - 1).alias("req_id"), F.col("node_id").alias("to_node_id")), "req_id"
+    )
+
+
 @query
 def shortest_paths_by_multiplicity(spark, folder):
     cat = _catalog("order", spark, folder)
@@ -363,6 +416,16 @@ def entity_paths(spark, folder):
     return paths.entity_paths(cat, _brand_pairs(spark, folder), 3, 3).withColumn("ids", _joined(F.col("ids")))
 
 
+@query
+def part_paths(spark, folder):
+    """From each part to the next one, over up to four steps."""
+    cat = _catalog("supply", spark, folder)
+    part = read_table(spark, folder, "part").select(
+        F.col("p_partkey").alias("req_id"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("from_identity_id"))
+    following = part.select((F.col("req_id") - 1).alias("req_id"), F.col("from_identity_id").alias("to_identity_id"))
+    return paths.entity_paths(cat, part.join(following, "req_id"), 3, 4).withColumn("ids", _joined(F.col("ids")))
+
+
 @query
 def entity_path_steps(spark, folder):
     cat = _catalog("supply", spark, folder)
@@ -455,25 +518,30 @@ def term_frequencies(spark, folder):
 @query
 def search_corpus(spark, folder):
     cat = _catalog("library", spark, folder)
-    return search.corpus(cat, ["dataset", "identity"]).select("kind", "key", "field", "value_idx", F.md5("normalized").alias("digest"))
+    return search.corpus(cat).select("kind", "key", "field", "value_idx", F.md5("normalized").alias("digest"))
 
 
 def _search_queries(spark: SparkSession, folder: str) -> DataFrame:
-    """Every part name, the names backwards, nations with their suppliers' common word, and prefixes."""
+    """Every part name, the names backwards, nations with their suppliers' common word, line numbers, and prefixes."""
     part = read_table(spark, folder, "part").select(F.col("p_name").alias("query")).distinct()
     backwards = part.select(F.array_join(F.reverse(F.split("query", " ")), " ").alias("query"))
     nation = read_table(spark, folder, "nation")
     both = nation.select(F.concat(F.col("n_name"), F.lit(" supplier")).alias("query"))
     swapped = nation.select(F.concat(F.lit("supplier "), F.col("n_name")).alias("query"))
     starts = part.select(F.left("query", F.lit(3)).alias("query")).distinct()
-    every = part.unionByName(backwards).unionByName(both).unionByName(swapped).unionByName(starts).distinct()
+    number = read_table(spark, folder, "lineitem").select(F.col("l_linenumber").cast("string").alias("n"), F.col("l_returnflag").alias("f")).distinct()
+    lines = number.select(F.explode(F.array(
+        F.concat(F.lit("line_"), "n"), F.concat(F.lit("itemNo"), "n"), F.concat(F.lit("Lower(line_"), "n", F.lit(")")), F.concat(F.lit("sold together by "), "n"),
+        F.concat(F.lit("worst "), "f"), F.col("f"), F.lit("accepted"), F.lit("finished"), F.lit("--"), F.lit(""),
+    )).alias("query"))
+    every = part.unionByName(backwards).unionByName(both).unionByName(swapped).unionByName(starts).unionByName(lines).distinct()
     return every.select(F.col("query").alias("query_id"), "query")
 
 
 @query
 def lexical_search(spark, folder):
     cat = _catalog("library", spark, folder)
-    return search.search(cat, cut(_search_queries(spark, folder)), 5, ["dataset", "identity"]).withColumn(
+    return search.search(cat, cut(_search_queries(spark, folder)), 5).withColumn(
         "matched_value", F.md5("matched_value")
     ).withColumn("matched_term", F.md5("matched_term"))
 

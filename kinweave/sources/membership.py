@@ -120,8 +120,31 @@ def supply_catalog(spark: SparkSession, folder: str, block_rows: int = DEFAULT_B
     return Catalog(spark, block_rows=block_rows, identities=identities, entity_relationships=stated)
 
 
+def status_catalog(spark: SparkSession, folder: str, block_rows: int = DEFAULT_BLOCK_ROWS) -> Catalog:
+    """Datasets are orders, which hold their status and their priority: a few hubs. Customers relate to the statuses of their orders."""
+    orders = read_table(spark, folder, "orders")
+    held = orders.select(_id("order", "o_orderkey").alias("node_id"), F.col("o_orderkey").alias("key"), F.explode(F.array(
+        F.struct(_id("status", "o_orderstatus").alias("identity_id"), F.lit("status").alias("column")),
+        F.struct(_id("priority", "o_orderpriority").alias("identity_id"), F.lit("priority").alias("column")),
+    )).alias("h"))
+    definitions = held.select(
+        "node_id", "h.identity_id", F.array("h.column").alias("dataset_columns"),
+        F.when(F.col("key") % 3 == 0, "complete").otherwise("partial").alias("entity_universe"),
+    )
+    stated = orders.select(_id("customer", "o_custkey").alias("left_id"), _id("status", "o_orderstatus").alias("right_id")).distinct()
+    names = definitions.select("identity_id").distinct().select("identity_id", F.col("identity_id").alias("name"))
+    customers = read_table(spark, folder, "customer").select(_id("customer", "c_custkey").alias("identity_id"), F.col("c_name").alias("name"))
+    return Catalog(
+        spark, block_rows=block_rows, definitions=definitions, identities=names.unionByName(customers), entity_relationships=stated,
+    )
+
+
 def library_catalog(spark: SparkSession, folder: str, block_rows: int = DEFAULT_BLOCK_ROWS) -> Catalog:
-    """A catalog to search: documents and parts are entities, suppliers are datasets."""
+    """A catalog to search: documents and parts are entities, suppliers are datasets.
+
+    A supplier's line numbers are its columns, each of which realises its smallest part; parts that a
+    supplier sells on its first two line numbers are related.
+    """
     documents = read_table(spark, folder, "documents").select(
         _id("doc", "doc_id").alias("identity_id"),
         F.concat(F.col("lang"), F.lit(" "), F.col("source")).alias("name"),
@@ -146,6 +169,28 @@ def library_catalog(spark: SparkSession, folder: str, block_rows: int = DEFAULT_
             F.lit(None).cast("string").alias("properties"),
         ).alias("accessor"),
     )
+    line = read_table(spark, folder, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(
+        F.min("l_partkey").alias("part"), F.max("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"), F.count("*").alias("n"),
+    )
+    node, number = _id("supplier", "l_suppkey").alias("node_id"), F.col("l_linenumber").cast("string")
+    name = F.concat(F.lit("line_"), number)
+    columns = line.select(
+        node, name.alias("name"),
+        F.when(F.col("flag") == "N", "TBD").when(F.col("flag") == "A", "accepted line").otherwise("returned line").alias("description"),
+        F.when(F.col("status") == "F", F.concat(F.lit("finished "), F.col("n").cast("string"))).otherwise("").alias("value_description"),
+        F.array(F.concat(F.lit("itemNo"), number)).alias("synonyms"),
+    )
+    metadata = F.concat(F.lit('{"flag":{"worst":"'), F.col("flag"), F.lit('","seen":["lineFlag","'), F.col("status"), F.lit('"]},"rows":'), F.col("n").cast("string"), F.lit("}"))
+    definitions = line.select(
+        node, _id("part", "part").alias("identity_id"), F.array(name).alias("dataset_columns"), F.lit("unknown").alias("entity_universe"),
+        F.when(F.col("flag") == "R", F.array(F.concat(F.lit("lower("), name, F.lit(")")))).otherwise(F.array().cast("array<string>")).alias("entity_expression"),
+        F.when(F.col("status") == "F", metadata).alias("entity_metadata"),
+    )
+    pairs = line.where("l_linenumber = 1").select("l_suppkey", _id("part", "part").alias("left_id")).join(
+        line.where("l_linenumber = 2").select("l_suppkey", _id("part", "part").alias("right_id")), "l_suppkey").where("left_id <> right_id")
+    stated = pairs.groupBy("left_id", "right_id").agg(
+        F.array(F.concat(F.lit("sold together by "), F.count("*").cast("string")), F.lit("unknown")).alias("descriptions"))
     return Catalog(
-        spark, block_rows=block_rows, datasets=datasets, identities=documents.unionByName(part)
+        spark, block_rows=block_rows, datasets=datasets, identities=documents.unionByName(part),
+        columns=columns, definitions=definitions, entity_relationships=stated,
     )

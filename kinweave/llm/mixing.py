@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from kinweave.llm.common import words
+from kinweave.llm.common import carried, uncarried, words
 from kinweave.plans.lineage import cut
 from kinweave.plans.ordinals import dense_ordinal
 from kinweave.plans.shipping import ship_by_value
@@ -117,11 +117,12 @@ def mix(docs: DataFrame, cap: float = 3.0, keep: list[str] | None = None, seed:
 
     ``size`` counts words; NULL and empty texts have size 0 and are taken 0 times. NULL is a source of
     its own, the last one. Repeated rows are rows of their own. No row is taken more than ``cap`` times.
+    Columns of ``keep`` with the name of a result column give way to it.
     """
-    keep = [c for c in keep or [] if c not in ("doc_id", "source")]
-    base = cut(docs.select(
+    plain, names = carried(docs, keep, ("doc_id", "text", "source"))
+    base = cut(plain.select(
         "doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"),
-        F.xxhash64("doc_id", "text").alias("tie"), *keep,
+        F.xxhash64("doc_id", "text").alias("tie"), *names,
     ))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = cut(source_targets(sizes, cap).select(F.col("source").alias("_source"), "number", "source_size", "target"))
@@ -133,7 +134,7 @@ def mix(docs: DataFrame, cap: float = 3.0, keep: list[str] | None = None, seed:
     rounded = pivotal_rounding(rows.where(fractional), seed)
     certain = rows.where(~fractional).withColumn("add", F.lit(0).cast("tinyint"))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("add")).otherwise(0).cast("bigint")
-    return rounded.unionByName(certain.select(*rounded.columns)).select(
+    return uncarried(rounded.unionByName(certain.select(*rounded.columns)).select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-        (F.col("size") * copies).alias("taken"), *keep,
-    )
+        (F.col("size") * copies).alias("taken"), *names,
+    ), names)

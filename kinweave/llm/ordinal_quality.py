@@ -5,8 +5,8 @@ P(grade >= k) = sigmoid(score - threshold_k). Features are a document's distinct
 and word shapes, hashed to a fixed number of weights and scaled to length 1. The sum of the tail
 probabilities is the expected grade; the tail of the highest grade selects.
 
-Fitting: the bounded sample is dealt to a fixed number of parts, each runs a few epochs of stochastic
-gradients from the common weights, and the results are averaged on the executors, round by round.
+Fitting: one task runs a few epochs of stochastic gradients over the bounded sample (``PARTS`` = 1), round by
+round. With more parts each runs them from the common weights, and the results are averaged on the executors.
 """
 
 from __future__ import annotations
@@ -185,25 +185,25 @@ def ratings(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
 def grade_documents(docs: DataFrame, model: Model, keep: list[str], at_least: float = 0.5) -> DataFrame:
     """``keep`` plus expected_grade, tail (probability of the highest grade) and kept.
 
-    NULL and empty texts have no features; the thresholds alone grade them.
+    NULL and empty texts have no features; the thresholds alone grade them. Columns of ``keep`` with the name
+    of a result column give way to it.
     """
     bits = int(len(model.weights)).bit_length() - 1
-
-    names = [*keep] if "text" in keep else [*keep, "text"]
-    text = names.index("text")
+    own = [c for c in dict.fromkeys(keep) if c not in ("expected_grade", "tail", "kept")]
+    rows = docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`").alias(f"_kept_{i}") for i, c in enumerate(own)])
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:
-            for piece in pieces(batch.column(text)):
+            for piece in pieces(batch.column(0)):
                 index, counts = features(piece, bits)
                 t = tails(_sums(model.weights[index], counts) / np.sqrt(np.maximum(counts, 1)), model.thresholds)
                 part = batch.slice(piece.first, piece.last - piece.first)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(keep)], pa.array(t.sum(axis=1)), pa.array(t[:, -1]), pa.array(t[:, -1] >= at_least)],
-                    names=[*keep, "expected_grade", "tail", "kept"])
+                    [*part.columns[1:], pa.array(t.sum(axis=1)), pa.array(t[:, -1]), pa.array(t[:, -1] >= at_least)],
+                    names=[*part.schema.names[1:], "expected_grade", "tail", "kept"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*names).mapInArrow(run, f"{schema}, expected_grade double, tail double, kept boolean")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema[1:])
+    return rows.mapInArrow(run, f"{schema}expected_grade double, tail double, kept boolean").toDF(*own, "expected_grade", "tail", "kept")
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:

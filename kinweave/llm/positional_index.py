@@ -5,7 +5,8 @@ up: document counts of the test vocabulary decide which. The postings of these t
 posting names document, term and position. A list is adjusted by the term's offset in the phrase, so
 lists that agree on (document, start) intersect to candidate starts. The postings of the rarest term
 keep the words around them, against which a candidate is compared word by word.
-Looser matches ask that all looked-up terms start within ``slack`` words of one another.
+Looser matches ask that all terms start within ``slack`` words of one another, whichever is looked up first;
+terms that no document holds are then not asked for.
 
 Test terms are broadcast in portions of a checked size; more terms only mean more passes.
 """
@@ -57,15 +58,17 @@ def term_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def lookup_plan(wanted: DataFrame, counts: DataFrame, rarest: int) -> DataFrame:
-    """(phrase, terms): the ``rarest`` terms of each phrase, rarest first, with their offsets.
+def lookup_plan(wanted: DataFrame, counts: DataFrame, rarest: int, absent: bool = False) -> DataFrame:
+    """(phrase, terms, all): the ``rarest`` terms of each phrase, and all of them, rarest first, with their offsets.
 
-    A phrase with a term that no document holds has no row.
+    A phrase with a term that no document holds has no row, unless ``absent``: then such terms are left out.
     """
     each = wanted.select("phrase").distinct().select("phrase", F.posexplode("phrase").alias("offset", "term"))
     found = each.join(counts, "term").groupBy("phrase").agg(
         F.sort_array(F.collect_list(F.struct("n", "term", "offset"))).alias("all"))  # at most one per phrase word
-    return found.where(F.size("all") == F.size("phrase")).select("phrase", F.slice("all", 1, rarest).alias("terms"))
+    if not absent:
+        found = found.where(F.size("all") == F.size("phrase"))
+    return found.select("phrase", F.slice("all", 1, rarest).alias("terms"), "all")
 
 
 def postings(docs: DataFrame, terms: DataFrame, around: int) -> DataFrame:
@@ -79,20 +82,40 @@ def postings(docs: DataFrame, terms: DataFrame, around: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).dropDuplicates([*KEY, "term", "pos"])
 
 
+def _loose_starts(found: DataFrame, around: int, slack: int) -> DataFrame:
+    """Starts s such that every term of the phrase stands at s + its offset or up to ``slack`` words later.
+
+    ``found`` has a row for each place of a phrase's first term; ``places`` are those of all terms from s on.
+    """
+    first = F.greatest(F.col("pos") - around, F.lit(0))
+
+    def places(start: Column) -> Column:
+        return F.transform("all", lambda t: F.filter(
+            F.sequence(start + t["offset"], start + t["offset"] + slack),
+            lambda p: F.coalesce((p >= first) & (F.get("near", p - first) == t["term"]), F.lit(False))))
+
+    starts = F.transform(F.sequence(F.col("start") - slack, F.col("start")), lambda s: F.struct(s.alias("start"), places(s).alias("places")))
+    held = F.filter(starts, lambda s: F.forall(s["places"], lambda p: F.size(p) > 0))
+    return found.select(*KEY, "phrase", F.explode(held).alias("s")).select(
+        *KEY, "phrase", "s.start", F.array_distinct(F.flatten("s.places")).alias("places")).distinct()
+
+
 def phrase_matches(docs: DataFrame, wanted: DataFrame, width: int, rarest: int = RAREST, slack: int = 0) -> DataFrame:
     """(doc_id, text_key, phrase, start): occurrences of the phrases of ``wanted``.
 
-    With ``slack`` 0 these are exact. Otherwise each match has the rarest terms of the phrase, none
-    further than ``slack`` words from where the rarest one expects it.
+    With ``slack`` 0 these are exact. Otherwise a match at ``start`` has every term of the phrase at start +
+    its offset or up to ``slack`` words later: the starts that the terms give differ by ``slack`` at most,
+    whichever is looked up first. Terms that no document holds are not asked for, and a phrase of nothing
+    else has no match. ``start`` may lie before the text; ``places`` lists the positions of the terms.
     """
     vocabulary = cut(wanted.select(F.explode("phrase").alias("term")).distinct())
     counts = cut(term_counts(docs, vocabulary))
-    plan = cut(lookup_plan(wanted, counts, rarest))
+    plan = cut(lookup_plan(wanted, counts, rarest, slack > 0))
     asked = plan.select(F.posexplode("terms").alias("rank", "t")).groupBy(F.col("t.term").alias("term")).agg(
         F.max(F.col("rank") == 0).alias("main"))
-    index = cut(postings(docs, cut(asked), width))
+    index = cut(postings(docs, cut(asked), width + slack))
 
-    lead = plan.select("phrase", "terms", F.col("terms")[0]["term"].alias("term"), F.col("terms")[0]["offset"].alias("offset"))
+    lead = plan.select("phrase", "terms", *(["all"] if slack else []), F.col("terms")[0]["term"].alias("term"), F.col("terms")[0]["offset"].alias("offset"))
     found = index.join(small(lead, PORTION), "term").withColumn("start", F.col("pos") - F.col("offset"))
     if not slack:
         found = found.where("start >= 0")
@@ -108,22 +131,25 @@ def phrase_matches(docs: DataFrame, wanted: DataFrame, width: int, rarest: int =
         else:
             hit = step.join(lists, [step["other"] == lists["other"], step["place"] == lists["there"], same], "left_semi").select(*found.columns)
         found = hit.unionByName(found.where(F.size("terms") <= k))
-    if not slack:
-        first = F.greatest(F.col("pos") - width, F.lit(0))
-        found = found.where(F.slice("near", F.col("start") - first + 1, F.size("phrase")) == F.col("phrase"))
+    if slack:
+        return _loose_starts(found, width + slack, slack)
+    first = F.greatest(F.col("pos") - width, F.lit(0))
+    found = found.where(F.slice("near", F.col("start") - first + 1, F.size("phrase")) == F.col("phrase"))
     return found.select(*KEY, "phrase", "start")
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = 13, keep: list[str] | None = None) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, width: int = 13, keep: list[str] | None = None, slack: int = 0) -> DataFrame:
     """Hit words and items of every document: n_words, n_hit, items, n_items, contaminated.
 
+    With ``slack`` a word is hit if it is a term of a loose match, see ``phrase_matches``.
+
     NULL and empty texts have no words and are clean; items without words match nothing, and an item
     without an id is named by the empty string. Repeated rows and equal texts each get their own
     result. ``keep`` names further columns of ``docs`` to carry along.
     """
     wanted = cut(phrases(items, width))
-    hits = phrase_matches(docs, wanted, width)
-    covered = F.size(F.array_distinct(F.flatten(F.transform(
+    hits = phrase_matches(docs, wanted, width, slack=slack)
+    covered = F.size(F.array_distinct(F.flatten(F.collect_set("places") if slack else F.transform(
         F.collect_set(F.struct("start", F.size("phrase").alias("n"))),
         lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))))
     hits = cut(hits)

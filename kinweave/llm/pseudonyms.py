@@ -11,20 +11,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinweave.llm.common import bound
+from kinweave.llm.common import bound, carried, uncarried
 
-#: What may be personal, by kind; all lengths are bounded, so long texts cost linear time.
+#: What may be personal, by kind; lengths are bounded or taken whole without a way back, so long texts cost linear time.
 PATTERNS = {
     "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
     "local": r"(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{13,19})(?![0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
     "iso": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "day": r"(?<![0-9./])(?:[0-9]{1,2}\.[0-9]{1,2}\.|[0-9]{1,2}/[0-9]{1,2}/)[0-9]{4}(?![0-9]|[./][0-9])",
     "address": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:password|token|secret|api_key)[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9_-]{8,64}+",
+    "secret": r"(?<![A-Za-z0-9])(?i:password|token|secret|api_key)[ ]{0,2}[=:][ ]{0,2}[\"']?(?:[A-Za-z0-9_+/=~-]|\.(?=[A-Za-z0-9_+/=~-])){8,}+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 ROUNDS = 8
@@ -143,20 +143,30 @@ def _replaced_tail(value: Column, head: str, key: str) -> Column:
     """What follows the pattern ``head``, as a keyed digest of the same length."""
     start = F.regexp_extract(value, head, 0)
     rest = F.length(value) - F.length(start)
-    return F.concat(start, F.substr(F.concat(_digest(key, "s", value), _digest(key, "t", value)), F.lit(1), rest))
+    digests = F.transform(F.sequence(F.lit(0), F.floor(rest / 64)), lambda i: _digest(key, "s", i, value))
+    return F.concat(start, F.substr(F.array_join(digests, ""), F.lit(1), rest))
+
+
+def _ssn(value: Column, key: str) -> Column:
+    """Numbers of the 898 areas that are given out (001 to 899 without 666), with groups and serials from 1."""
+    digits = _digits(value)
+    area, group, serial = (F.substr(digits, F.lit(a), F.lit(n)).cast("int") for a, n in ((1, 3), (4, 2), (6, 4)))
+    pair = feistel(area - F.when(area < 666, 1).otherwise(2), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, "ssn")
+    pad = lambda c, n: F.lpad(c.cast("int").cast("string"), n, "0")
+    return bound(pair, lambda p: F.concat_ws(
+        "-", pad(p["a"] + F.when(p["a"] < 665, 1).otherwise(2), 3), pad(F.floor(p["b"] / 9999) + 1, 2), pad(p["b"] % 9999 + 1, 4)))
 
 
 def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one found value; values that fail their validation stay as they are."""
     kind = lambda *names: value.rlike("^(?:" + "|".join(PATTERNS[n] for n in names) + ")$")
-    ssn = refilled(value, permuted_digits(_digits(value), key, "ssn"))
     mail = F.concat(F.lit("u"), F.substring(_digest(key, "mail", F.lower(value)), 1, 12), F.regexp_extract(value, "@.*$", 0))
     secret = F.when(value.startswith("AKIA"), F.concat(F.lit("AKIA"), F.upper(F.substring(_digest(key, "key", value), 1, 16)))).otherwise(
-        _replaced_tail(value, "^[a-z_]+ *[=:] *[\"']?", key))
+        _replaced_tail(value, "^[A-Za-z_]+ *[=:] *[\"']?", key))
     new = (
         F.when(value.contains("@"), mail)
         .when(kind("phone", "local"), _phone(value, key))
-        .when(kind("ssn"), ssn)
+        .when(kind("ssn"), _ssn(value, key))
         .when(kind("card"), _card(value, key))
         .when(kind("iso", "day"), _date(value, key))
         .when(kind("address"), _address(value, key))
@@ -168,17 +178,18 @@ def pseudonym(value: Column, key: str) -> Column:
 def pseudonymised(docs: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
     """doc_id, ``keep``, n_found (values replaced) and text of every document.
 
-    A NULL text stays NULL with 0 values, an empty one empty. Repeated rows are handled alike.
+    A NULL text stays NULL with 0 values, an empty one empty. Repeated rows are handled alike. A column of
+    ``keep`` named ``n_found`` gives way to the result's.
     """
     text = F.col("_text")
-    rows = docs.select("doc_id", *[c for c in keep or [] if c not in ("doc_id", "text")], F.col("text").alias("_text"))
+    plain, names = carried(docs, keep)
+    rows = plain.select("doc_id", *names, F.col("text").alias("_text"))
     # One literal test spares most documents the search: every pattern needs a digit, an @ or a key word.
-    found = F.when(text.rlike("[0-9@]|AKIA|password|token|secret|api_key"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    found = F.when(text.rlike("[0-9@]|AKIA|(?i:password|token|secret|api_key)"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     rows = rows.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
     rows = rows.withColumn("_new", F.transform("_found", lambda v: pseudonym(v, key)))
     gaps = F.split(text, ANY)
     whole = F.array_join(F.flatten(F.zip_with(gaps, F.col("_new"), lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), "")
     changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    return rows.select(
-        *[c for c in rows.columns if not c.startswith("_")], changed.cast("bigint").alias("n_found"),
-        F.when(F.size("_found") > 0, whole).otherwise(text).alias("text"))
+    out = rows.select("doc_id", changed.cast("bigint").alias("n_found"), F.when(F.size("_found") > 0, whole).otherwise(text).alias("text"), *names)
+    return uncarried(out, names)

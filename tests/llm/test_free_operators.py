@@ -242,6 +242,52 @@ def test_languages_follow_the_definition(spark):
     assert rank_profiles.ranked(rank_profiles.grams("ab ab")).tolist()[:1] != [] and len(set(rank_profiles.grams("ab").tolist())) == 7
 
 
+def test_languages_match_brute_force(spark):
+    """Out-of-place distance over ranked n-grams, counted with plain dictionaries."""
+    texts = [("aa", "mango papaya banana mango"), ("aa", "papaya mango"), ("bb", "zephyr jinx quick quick"), ("bb", "jinx jinx"), ("cc", "øre smør århus øre")]
+    asked = ["mango quick", "øre papaya", "zephyr", "smør smør banana", "q", "jinx århus mango", "x1y 22 ø"]
+    learn = spark.createDataFrame([(t, k) for k, t in texts], "text string, lang string")
+    profiles = rank_profiles.language_profiles(learn, 40)
+    got = [(r.text, r.lang_pred, r.score) for r in rank_profiles.identify(
+        spark.createDataFrame([(t, "z") for t in asked], "text string, score string"), profiles, ["text", "score"], 40).collect()]
+
+    def order(counts):
+        return [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][:40]
+
+    known = {}
+    for lang in {k for k, _ in texts}:
+        counts = Counter()
+        for k, t in texts:
+            counts.update(rank_profiles.grams(t).tolist() if k == lang else [])
+        known[lang] = {c: i for i, c in enumerate(order(counts))}
+    for text, lang, score in got:
+        own = order(Counter(rank_profiles.grams(text).tolist()))
+        away = {k: sum(abs(p[c] - i) if c in p else 40 for i, c in enumerate(own)) for k, p in known.items()}
+        best = min(sorted(away), key=away.get)
+        assert lang == best and score == pytest.approx(1 - away[best] / (40 * len(own)))
+    assert len(got) == len(asked)
+
+
+def test_classifier_gradient_is_the_derivative():
+    """Against differences of the log likelihood of the cumulative-link model, written out."""
+    rng = np.random.default_rng(2)
+    score, grade, thresholds = rng.normal(size=40), rng.integers(0, 3, 40), np.array([-0.7, 0.4])
+
+    def likelihood(score, thresholds):
+        cut = 1 / (1 + np.exp(-(score[:, None] - thresholds[None, :])))
+        tail = np.hstack([np.ones((len(score), 1)), cut, np.zeros((len(score), 1))])
+        at = np.arange(len(score))
+        return np.log(tail[at, grade] - tail[at, grade + 1])
+
+    by_score, by_threshold = ordinal_quality._gradients(score, grade, thresholds)
+    step = 1e-6
+    assert by_score == pytest.approx((likelihood(score + step, thresholds) - likelihood(score - step, thresholds)) / (2 * step), abs=1e-6)
+    for k in range(2):
+        move = np.eye(2)[k] * step
+        difference = (likelihood(score, thresholds + move) - likelihood(score, thresholds - move)).sum() / (2 * step)
+        assert by_threshold[k] == pytest.approx(difference, abs=1e-5)
+
+
 def removed(corpus, width):
     rows = sorted((r for r in corpus if r.doc_id is not None), key=lambda r: r.doc_id)
     first, out = {}, Counter()

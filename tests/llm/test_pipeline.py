@@ -74,7 +74,15 @@ def test_run_applies_all_stages(spark, docs, folder):
 
 
 @pytest.mark.parametrize("stage", [s for _, s in pipeline.STAGES], ids=[n for n, _ in pipeline.STAGES])
-def test_stages_take_empty_and_wide_tables(spark, none, wide, folder, corpus, stage):
+def test_stages_take_empty_and_wide_tables(spark, none, wide, folder, corpus, tmp_path, stage):
     assert stage(spark, none, folder).count() == 0
-    out = stage(spark, wide.where("doc_id < 110"), folder)
-    assert set(wide.columns) <= set(out.columns) and out.count() > 0
+    named = wide.where("doc_id < 110").withColumns({"_row_key": F.lit("x"), "_row_key_too": F.lit(1), "_copy": F.lit(2)})
+    path = str(tmp_path / "out")
+    stage(spark, named, folder).write.parquet(path)
+    out = spark.read.parquet(path)
+    assert set(named.columns) <= set(out.columns) and out.count() > 0
+    assert out.where("_row_key <> 'x' or size <> 'x0'").count() == 0
+    if stage is pipeline.shard:
+        assert out.where("shard < 0 or shard > 39").count() == 0 and out.columns[-2:] == ["shard", "slot"]
+    else:
+        assert out.columns == named.columns

@@ -18,23 +18,28 @@ ROW, ROW_TOO = "_row_key", "_row_key_too"
 READ = ("doc_id", "text", "source")  # the columns that stages look at
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` plus two hashes of the whole row; the order of columns does not matter."""
-    columns = [F.col(f"`{c}`") for c in sorted(docs.columns)]
-    return docs.withColumns({ROW: F.xxhash64(*columns), ROW_TOO: F.xxhash64(F.lit("second"), *columns)})
+def _renamed(docs: DataFrame) -> DataFrame:
+    """Other columns under names that neither operators nor stages use; results take the real ones by place."""
+    return docs.toDF(*[c if c in READ else f"_column_{i}" for i, c in enumerate(docs.columns)])
 
 
-def _attached(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The documents of ``chosen`` (the two hashes, others): one row for each row of ``chosen``.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs``, renamed, plus two hashes of the whole row."""
+    plain = _renamed(docs)
+    columns = [F.col(c) for c in plain.columns]
+    return plain.withColumns({ROW: F.xxhash64(*columns), ROW_TOO: F.xxhash64(F.lit("second"), *columns)})
 
-    Both steps deal by the same two columns, so texts are shuffled once.
-    """
-    return keyed.dropDuplicates([ROW, ROW_TOO]).join(chosen, [ROW, ROW_TOO]).drop(ROW, ROW_TOO)
 
+def _attached(docs: DataFrame, keyed: DataFrame, chosen: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """The documents of ``chosen`` (the two hashes, others): one row for each row of ``chosen``, with columns ``more`` of it.
 
-def _renamed(docs: DataFrame) -> DataFrame:
-    """Other columns under names that no operator uses."""
-    return docs.toDF(*[c if c in READ else f"_column_{i}" for i, c in enumerate(docs.columns)])
+    Both steps deal by the same two columns, so texts are shuffled once. A column of ``docs`` with a name of
+    ``more`` is replaced.
+    """
+    more = more or []
+    found = keyed.dropDuplicates([ROW, ROW_TOO]).join(chosen.select(ROW, ROW_TOO, *[F.col(c).alias(f"_new_{c}") for c in more]), [ROW, ROW_TOO])
+    columns = dict(zip(docs.columns, [c for c in keyed.columns if c not in (ROW, ROW_TOO)]))
+    return found.select(*[F.col(c).alias(name) for name, c in columns.items() if name not in more], *[F.col(f"_new_{c}").alias(c) for c in more])
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +58,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = metric_join.similar_sets(keyed, 5, 80, keep=[ROW, ROW_TOO])
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     first = groups.where(~alone).groupBy("root").agg(F.min(F.struct("doc_id", ROW, ROW_TOO)).alias("f")).select(f"f.{ROW}", f"f.{ROW_TOO}")
-    return _attached(keyed, first.unionByName(groups.where(alone).select(ROW, ROW_TOO).distinct()))
+    return _attached(docs, keyed, first.unionByName(groups.where(alone).select(ROW, ROW_TOO).distinct()))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,15 +72,15 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: 0 to 3 times."""
     keyed = _keyed(docs)
     taken = cut(mixing.mix(keyed, keep=[ROW, ROW_TOO]).where("copies > 0").select(ROW, ROW_TOO, "copies"))
-    return _attached(keyed, taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(ROW, ROW_TOO))
+    return _attached(docs, keyed, taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(ROW, ROW_TOO))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with ``shard`` (0 to 39, row counts one apart at most) and ``slot``."""
+    """All documents with ``shard`` (0 to 39, row counts one apart at most) and ``slot``; columns of these names are replaced."""
     keyed = _keyed(docs)
     rows = cut(keyed.select(ROW, ROW_TOO, F.md5(F.col("text").cast("binary")).alias("_text_key")))
     placed = label_sharding.balanced_shards(rows, ROW, "_text_key", SHARDS)
-    return _attached(keyed, placed.select(ROW, ROW_TOO, "shard", "slot"))
+    return _attached(docs, keyed, placed, ["shard", "slot"])
 
 
 STAGES = [

@@ -1,4 +1,4 @@
-"""Integrity checks and reports over catalog tables. Each check is a HAVING query or an anti-join."""
+"""Integrity checks and reports over catalog tables: arrays of faults, one fold of keys, one join per referenced table."""
 
 from __future__ import annotations
 
@@ -23,6 +23,9 @@ _SALTS = 32  # an accessor or identifier shared by very many rows is spread over
 KEY = ["node_id", "identity_id", "dataset_columns"]
 
 
+FINDING = "rule string, node_id string, identity_id string, message string"
+
+
 def _finding(rows: DataFrame, rule: str, message: Column, node: str | None = None, entity: str | None = None) -> DataFrame:
     def name(column: str | None) -> Column:
         return F.col(column) if column else F.lit(None).cast("string")
@@ -36,69 +39,42 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
-def _repeated(table: DataFrame, *keys: str) -> DataFrame:
-    return table.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+def _fault(rule: str, wrong: Column, message: Column | str, node: Column | None = None, entity: Column | None = None) -> Column:
+    """A finding on a row, or NULL."""
+    none = F.lit(None).cast("string")
+    message = F.lit(message) if isinstance(message, str) else message
+    return F.when(wrong, F.struct(
+        F.lit(rule).alias("rule"), (none if node is None else node).alias("node_id"), (none if entity is None else entity).alias("identity_id"),
+        message.alias("message")))
 
 
-def integrity(cat: Catalog) -> DataFrame:
-    """All findings: ``(rule, node_id, identity_id, message)``. A sound catalog gives no rows."""
-    checks = [
-        duplicate_ids, duplicate_accessors, column_names, missing_columns, duplicate_definitions,
-        column_lists, unknown_identities, grain_references, contradictory_claims, blanks,
-        claim_domains, stated_relationships, annotation_targets,
-    ]
-    return reduce(DataFrame.unionByName, (check(cat) for check in checks))
+def _faults(rows: DataFrame, *lists: Column) -> DataFrame:
+    """The findings in arrays of faults: one scan, whatever the number of rules."""
+    return rows.select(F.explode(F.array_compact(F.concat(*lists))).alias("f")).select("f.*")
 
 
-def duplicate_ids(cat: Catalog) -> DataFrame:
-    nodes = _finding(
-        _repeated(cat.datasets, "node_id"), "duplicate_node",
-        F.lit("node_id values must be unique"), node="node_id",
-    )
-    return nodes.unionByName(_finding(
-        _repeated(cat.identities, "identity_id"), "duplicate_identity",
-        F.lit("identity_id values must be unique"), entity="identity_id",
-    ))
-
+def integrity(cat: Catalog) -> DataFrame:
+    """All findings: ``(rule, node_id, identity_id, message)``. A sound catalog gives no rows.
 
-def duplicate_accessors(cat: Catalog) -> DataFrame:
-    """One finding per dataset whose accessor an earlier dataset has; labels are not compared."""
-    place = F.struct(F.coalesce("pos", F.lit(0)).alias("pos"), F.col("node_id").alias("node_id"))
-    rows = cat.datasets.where("accessor is not null").select(
-        "node_id", place.alias("place"), F.col("accessor.kind").alias("kind"), F.col("accessor.endpoint").alias("endpoint"),
-        F.coalesce("properties_canonical", canonical_json(F.col("accessor.properties")), F.lit("null")).alias("properties"),
-    )
-    key = ["kind", "endpoint", "properties"]
-    owners = rows.groupBy(*key).agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    owners = owners.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("node_id"), F.lit(_SALTS)).cast("int"))
-    later = salted.join(owners, [*key, "_salt"]).where("place > first")
-    return _finding(later, "duplicate_accessor", _text(
-        "datasets ", quoted(F.col("first.node_id")), " and ", quoted(F.col("node_id")),
-        " have the same accessor kind, endpoint, and properties",
-    ), node="node_id")
+    Rules on single rows are one array of faults per table. Repeated keys of all tables fold in one
+    aggregation, and the references to columns, entities and definitions each meet their table once.
+    """
+    return reduce(DataFrame.unionByName, [
+        dataset_faults(cat), column_faults(cat), definition_faults(cat), identity_faults(cat), relationship_faults(cat),
+        repeated_keys(cat), column_references(cat), identity_references(cat), grain_definitions(cat),
+        duplicate_accessors(cat), annotation_targets(cat),
+    ])
 
 
-def column_names(cat: Catalog) -> DataFrame:
-    return _finding(
-        _repeated(cat.columns, "node_id", "name"), "duplicate_column",
-        _text("column ", quoted(F.col("name")), " is listed more than once"), node="node_id",
-    )
+# -- rules on single rows ------------------------------------------------------------------------
 
 
-def missing_columns(cat: Catalog) -> DataFrame:
-    used = cat.definitions.select(*KEY, F.explode("dataset_columns").alias("name"))
-    absent = used.join(cat.columns.select("node_id", "name"), ["node_id", "name"], "left_anti")
-    per_definition = absent.groupBy(*KEY).agg(F.array_sort(F.collect_set("name")).alias("missing"))
-    return _finding(per_definition, "missing_column", _text(
-        "entity definition ", quoted(F.col("identity_id")), " uses missing columns: ", quoted_list(F.col("missing")),
-    ), node="node_id", entity="identity_id")
+def _empty(value: Column) -> Column:
+    return F.coalesce(value, F.lit("")) == ""
 
 
-def duplicate_definitions(cat: Catalog) -> DataFrame:
-    return _finding(_repeated(cat.definitions, *KEY), "duplicate_definition", _text(
-        "entity definition on ", quoted_list(F.col("dataset_columns")), " is listed more than once",
-    ), node="node_id", entity="identity_id")
+def _blank(fields: dict[str, Column], node: Column | None, entity: Column | None) -> Column:
+    return F.array(*(_fault("blank", wrong, f"{name} must not be blank", node, entity) for name, wrong in fields.items()))
 
 
 def _list_fault(columns: Column) -> Column:
@@ -110,128 +86,172 @@ def _list_fault(columns: Column) -> Column:
     )
 
 
-def _grain_components(cat: Catalog) -> DataFrame:
-    return cat.datasets.select("node_id", F.explode("grain.components").alias("c")).select(
-        "node_id", "c.identity_id", "c.dataset_columns"
-    )
-
-
-def column_lists(cat: Catalog) -> DataFrame:
-    def faults(rows: DataFrame, what: str) -> DataFrame:
-        marked = rows.withColumn("fault", _list_fault(F.col("dataset_columns"))).where("fault is not null")
-        return _finding(marked, "column_list", _text(f"{what} dataset_columns ", F.col("fault")), "node_id", "identity_id")
-    return faults(cat.definitions, "entity definition").unionByName(faults(_grain_components(cat), "grain"))
+def dataset_faults(cat: Catalog) -> DataFrame:
+    node, d, a = F.col("node_id"), "descriptor.", "accessor."
+    labels = F.coalesce(F.map_keys(F.col(a + "labels")), F.array().cast("array<string>"))
+    blanks = _blank({
+        "node_id": _empty(node), "qualified_name": _empty(F.col(d + "qualified_name")), "display_name": _empty(F.col(d + "display_name")),
+        "accessor.kind": ~claims.has_text(F.col(a + "kind")), "accessor.endpoint": ~claims.has_text(F.col(a + "endpoint")),
+        "accessor.labels": F.exists(labels, lambda k: k == ""),
+    }, node, None)
 
+    def component(c: Column) -> Column:
+        fault = _list_fault(c["dataset_columns"])
+        return _fault("column_list", fault.isNotNull(), _text("grain dataset_columns ", fault), node, c["identity_id"])
 
-def unknown_identities(cat: Catalog) -> DataFrame:
-    known = cat.identities.select("identity_id").distinct()
-    return _finding(cat.definitions.join(known, "identity_id", "left_anti").select("node_id", "identity_id").distinct(), "unknown_identity", _text(
-        "node ", F.col("node_id"), " references unknown logical entity ", F.col("identity_id")
-    ), node="node_id", entity="identity_id")
+    parts = F.coalesce(F.transform("grain.components", component), F.array().cast(f"array<struct<{_struct(FINDING)}>>"))
+    return _faults(cat.datasets, blanks, parts)
 
 
-def grain_references(cat: Catalog) -> DataFrame:
-    parts = _grain_components(cat)
-    used = parts.select("node_id", F.explode("dataset_columns").alias("name")).distinct()
-    absent = used.join(cat.columns.select("node_id", "name"), ["node_id", "name"], "left_anti")
-    missing = _finding(absent, "grain_column", _text("grain uses missing column ", quoted(F.col("name"))), node="node_id")
-    named = parts.where("identity_id is not null").distinct()
-    loose = named.join(cat.definitions.select(*KEY), KEY, "left_anti")
-    return missing.unionByName(_finding(loose, "grain_definition", _text(
-        "grain component does not resolve to an entity definition: ", quoted(F.col("identity_id")),
-        ", ", quoted_list(F.col("dataset_columns")),
-    ), node="node_id", entity="identity_id"))
+def _struct(fields: str) -> str:
+    return ", ".join(f.replace(" ", ": ") for f in fields.split(", "))
 
 
-def contradictory_claims(cat: Catalog) -> DataFrame:
-    rows = cat.definitions.where("entity_universe = 'complete' and not conforms")
-    return _finding(rows, "complete_must_conform", F.lit("a complete entity definition conforms by definition"), "node_id", "identity_id")
+def column_faults(cat: Catalog) -> DataFrame:
+    return _faults(cat.columns, _blank({"column name": _empty(F.col("name"))}, F.col("node_id"), None))
 
 
-def blanks(cat: Catalog) -> DataFrame:
-    """Names and endpoints that must hold text."""
-    def per_field(rows: DataFrame, fields: dict[str, Column], node: str | None, entity: str | None) -> DataFrame:
-        blank = F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in fields.items())))
-        marked = rows.withColumn("field", F.explode(blank))
-        return _finding(marked, "blank", _text(F.col("field"), " must not be blank"), node, entity)
+def definition_faults(cat: Catalog) -> DataFrame:
+    node, entity = F.col("node_id"), F.col("identity_id")
+    expressions = F.coalesce("entity_expression", F.array().cast("array<string>"))
+    fault, universe = _list_fault(F.col("dataset_columns")), F.col("entity_universe")
+    return _faults(cat.definitions, F.array(
+        _fault("column_list", fault.isNotNull(), _text("entity definition dataset_columns ", fault), node, entity),
+        _fault("complete_must_conform", (universe == "complete") & ~F.col("conforms"), "a complete entity definition conforms by definition", node, entity),
+        _fault("claim_domain", universe.isNull() | ~universe.isin(*claims.ENTITY_UNIVERSES),
+               f"entity_universe must be one of {', '.join(claims.ENTITY_UNIVERSES)}", node, entity),
+    ), _blank({
+        "identity_id": ~claims.has_text(entity), "entity_expression": F.exists(expressions, lambda e: ~claims.has_text(e)),
+    }, node, entity))
 
-    def empty(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit("")) == ""
 
-    d, a = "descriptor.", "accessor."
-    labels = F.coalesce(F.map_keys(F.col(a + "labels")), F.array().cast("array<string>"))
-    expressions = F.coalesce("entity_expression", F.array().cast("array<string>"))
-    return reduce(DataFrame.unionByName, [
-        per_field(cat.datasets, {
-            "node_id": empty("node_id"), "qualified_name": empty(d + "qualified_name"),
-            "display_name": empty(d + "display_name"), "accessor.kind": ~claims.has_text(F.col(a + "kind")),
-            "accessor.endpoint": ~claims.has_text(F.col(a + "endpoint")),
-            "accessor.labels": F.exists(labels, lambda k: k == ""),
-        }, "node_id", None),
-        per_field(cat.columns, {"column name": empty("name")}, "node_id", None),
-        per_field(cat.definitions, {
-            "identity_id": ~claims.has_text(F.col("identity_id")),
-            "entity_expression": F.exists(expressions, lambda e: ~claims.has_text(e)),
-        }, "node_id", "identity_id"),
-        per_field(cat.identities, {
-            "identity_id": ~claims.has_text(F.col("identity_id")), "name": empty("name"),
-        }, None, "identity_id"),
-    ])
+def identity_faults(cat: Catalog) -> DataFrame:
+    entity = F.col("identity_id")
+    return _faults(cat.identities, _blank({"identity_id": ~claims.has_text(entity), "name": _empty(F.col("name"))}, None, entity))
 
 
-def claim_domains(cat: Catalog) -> DataFrame:
-    universe = cat.definitions.where(
-        F.col("entity_universe").isNull() | ~F.col("entity_universe").isin(*claims.ENTITY_UNIVERSES)
-    )
-    found = _finding(universe, "claim_domain", _text("entity_universe must be one of ", ", ".join(claims.ENTITY_UNIVERSES)), "node_id", "identity_id")
-    for name, domain in (
-        ("multiplicity", claims.MULTIPLICITIES), ("me_left", claims.MATCH_EXISTENCES), ("me_right", claims.MATCH_EXISTENCES)
-    ):
-        wrong = cat.entity_relationships.where(F.col(name).isNull() | ~F.col(name).isin(*domain))
-        found = found.unionByName(_finding(wrong, "claim_domain", F.lit(f"{name} must be one of {', '.join(domain)}"), None, "left_id"))
-    return found
-
-
-def stated_relationships(cat: Catalog) -> DataFrame:
-    """Endpoint order and existence, repeated pairs, and the description lists of stated pairs."""
-    stated = cat.entity_relationships
+def relationship_faults(cat: Catalog) -> DataFrame:
+    """Endpoint order, claim domains, and the description lists of stated pairs."""
+    left, right = F.col("left_id"), F.col("right_id")
     ends = quoted_list(F.array("left_id", "right_id"))
-    blank = stated.where(~claims.has_text(F.col("left_id")) | ~claims.has_text(F.col("right_id")))
-    unordered = stated.where("left_id > right_id")
-    known = cat.identities.select("identity_id").distinct()
-    sides = stated.select("left_id", "right_id", F.explode(F.array_distinct(F.array("left_id", "right_id"))).alias("identity_id"))
-    unknown = sides.join(known, "identity_id", "left_anti").groupBy("left_id", "right_id").agg(
-        F.array_sort(F.collect_set("identity_id")).alias("unknown")
-    )
     texts = F.coalesce("descriptions", F.array().cast("array<string>"))
     fault = (
         F.when(F.size(texts) == 0, "descriptions must not be empty")
         .when(F.exists(texts, lambda t: ~claims.has_text(t)), "descriptions must not be blank")
         .when(F.size(F.array_distinct(texts)) < F.size(texts), "descriptions must be distinct")
     )
-    described = stated.withColumn("fault", fault).where("fault is not null")
-    return reduce(DataFrame.unionByName, [
-        _finding(blank, "endpoints", _text("endpoints must not be blank: ", ends), None, "left_id"),
-        _finding(unordered, "endpoints", _text("endpoints must be in ascending lexical order: ", ends), None, "left_id"),
-        _finding(unknown, "unknown_identity", _text(
-            "cross-entity relationship ", ends, " references unknown logical entities ", quoted_list(F.col("unknown"))
-        ), None, "left_id"),
-        _finding(_repeated(stated, "left_id", "right_id"), "duplicate_pair", _text(
-            "cross-entity relationship ", ends, " is listed more than once"
-        ), None, "left_id"),
-        _finding(described, "descriptions", F.col("fault"), None, "left_id"),
+    domains = [
+        _fault("claim_domain", F.col(name).isNull() | ~F.col(name).isin(*domain), f"{name} must be one of {', '.join(domain)}", None, left)
+        for name, domain in (("multiplicity", claims.MULTIPLICITIES), ("me_left", claims.MATCH_EXISTENCES), ("me_right", claims.MATCH_EXISTENCES))
+    ]
+    return _faults(cat.entity_relationships, F.array(
+        _fault("endpoints", ~claims.has_text(left) | ~claims.has_text(right), _text("endpoints must not be blank: ", ends), None, left),
+        _fault("endpoints", left > right, _text("endpoints must be in ascending lexical order: ", ends), None, left),
+        _fault("descriptions", fault.isNotNull(), fault, None, left), *domains,
+    ))
+
+
+# -- rules on keys -------------------------------------------------------------------------------
+
+
+def repeated_keys(cat: Catalog) -> DataFrame:
+    """Keys listed more than once, of all tables in one aggregation."""
+    def keys(table: DataFrame, rule: str, *parts: Column) -> DataFrame:
+        return table.select(F.lit(rule).alias("rule"), F.concat(*parts).alias("key"))
+
+    own = lambda *names: F.array(*names)
+    rows = reduce(DataFrame.unionByName, [
+        keys(cat.datasets, "duplicate_node", own("node_id")), keys(cat.identities, "duplicate_identity", own("identity_id")),
+        keys(cat.columns, "duplicate_column", own("node_id", "name")),
+        keys(cat.definitions, "duplicate_definition", own("node_id", "identity_id"), F.coalesce("dataset_columns", F.array().cast("array<string>"))),
+        keys(cat.entity_relationships, "duplicate_pair", own("left_id", "right_id")), keys(cat.annotations, "duplicate_annotation", own("edge_id")),
     ])
+    found = rows.groupBy("rule", "key").agg(F.count("*").alias("n")).where("n > 1")
+    rule, at = F.col("rule"), lambda i: F.get("key", F.lit(i))
+    message = (
+        F.when(rule == "duplicate_node", "node_id values must be unique").when(rule == "duplicate_identity", "identity_id values must be unique")
+        .when(rule == "duplicate_column", _text("column ", quoted(at(1)), " is listed more than once"))
+        .when(rule == "duplicate_definition", _text(
+            "entity definition on ", quoted_list(F.slice("key", 3, F.greatest(F.size("key") - 2, F.lit(0)))), " is listed more than once"))
+        .when(rule == "duplicate_pair", _text("cross-entity relationship ", quoted_list(F.col("key")), " is listed more than once"))
+        .otherwise(_text("annotation edge_id ", at(0), " is listed more than once"))
+    )
+    entity = F.when(rule.isin("duplicate_identity", "duplicate_pair"), at(0)).when(rule == "duplicate_definition", at(1))
+    node = F.when(rule.isin("duplicate_node", "duplicate_column", "duplicate_definition"), at(0))
+    return found.select("rule", node.alias("node_id"), entity.alias("identity_id"), message.alias("message"))
+
+
+def duplicate_definitions(cat: Catalog) -> DataFrame:
+    return repeated_keys(cat).where("rule = 'duplicate_definition'")
+
+
+def duplicate_accessors(cat: Catalog) -> DataFrame:
+    """One finding per dataset whose accessor an earlier dataset has; labels are not compared."""
+    place = F.struct(F.coalesce("pos", F.lit(0)).alias("pos"), F.col("node_id").alias("node_id"))
+    rows = cat.datasets.where("accessor is not null").select(
+        "node_id", place.alias("place"), F.col("accessor.kind").alias("kind"), F.col("accessor.endpoint").alias("endpoint"),
+        F.coalesce("properties_canonical", canonical_json(F.col("accessor.properties")), F.lit("null")).alias("properties"),
+    )
+    key = ["kind", "endpoint", "properties"]
+    owners = rows.groupBy(*key).agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    owners = owners.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("node_id"), F.lit(_SALTS)).cast("int"))
+    later = salted.join(owners, [*key, "_salt"]).where("place > first")
+    return _finding(later, "duplicate_accessor", _text(
+        "datasets ", quoted(F.col("first.node_id")), " and ", quoted(F.col("node_id")),
+        " have the same accessor kind, endpoint, and properties",
+    ), node="node_id")
+
+
+# -- references ----------------------------------------------------------------------------------
+
+
+def _grain_components(cat: Catalog) -> DataFrame:
+    return cat.datasets.select("node_id", F.explode("grain.components").alias("c")).select(
+        "node_id", "c.identity_id", "c.dataset_columns"
+    )
+
+
+def column_references(cat: Catalog) -> DataFrame:
+    """Columns that definitions and grains use and the dataset lacks; both meet the columns in one join."""
+    used = cat.definitions.select(F.lit(False).alias("grain"), *KEY, F.explode("dataset_columns").alias("name")).unionByName(
+        _grain_components(cat).select("node_id", F.explode("dataset_columns").alias("name")).distinct().withColumn("grain", F.lit(True)),
+        allowMissingColumns=True)
+    absent = used.join(cat.columns.select("node_id", "name"), ["node_id", "name"], "left_anti")
+    # A grain names each missing column, a definition lists them.
+    found = absent.groupBy("grain", *KEY, F.when(F.col("grain"), F.col("name")).alias("one")).agg(F.array_sort(F.collect_set("name")).alias("missing"))
+    message = F.when(F.col("grain"), _text("grain uses missing column ", quoted(F.col("one")))).otherwise(_text(
+        "entity definition ", quoted(F.col("identity_id")), " uses missing columns: ", quoted_list(F.col("missing"))))
+    return found.select(F.when(F.col("grain"), "grain_column").otherwise("missing_column").alias("rule"), "node_id", "identity_id", message.alias("message"))
+
+
+def identity_references(cat: Catalog) -> DataFrame:
+    """Entities that definitions and stated pairs name and nobody registered; both meet the identities in one join."""
+    ends = F.array("left_id", "right_id")
+    used = cat.definitions.select(F.lit(None).cast("array<string>").alias("ends"), "node_id", "identity_id").unionByName(
+        cat.entity_relationships.select(ends.alias("ends"), F.lit(None).cast("string").alias("node_id"), F.explode(F.array_distinct(ends)).alias("identity_id")))
+    unknown = used.distinct().join(cat.identities.select("identity_id").distinct(), "identity_id", "left_anti")
+    found = unknown.groupBy("ends", "node_id", F.when(F.col("ends").isNull(), F.col("identity_id")).alias("one")).agg(
+        F.array_sort(F.collect_set("identity_id")).alias("unknown"))
+    message = F.when(F.col("ends").isNull(), _text("node ", F.col("node_id"), " references unknown logical entity ", F.col("one"))).otherwise(_text(
+        "cross-entity relationship ", quoted_list(F.col("ends")), " references unknown logical entities ", quoted_list(F.col("unknown"))))
+    return found.select(
+        F.lit("unknown_identity").alias("rule"), "node_id", F.coalesce("one", F.get("ends", F.lit(0))).alias("identity_id"), message.alias("message"))
+
+
+def grain_definitions(cat: Catalog) -> DataFrame:
+    named = _grain_components(cat).where("identity_id is not null").distinct()
+    loose = named.join(cat.definitions.select(*KEY), KEY, "left_anti")
+    return _finding(loose, "grain_definition", _text(
+        "grain component does not resolve to an entity definition: ", quoted(F.col("identity_id")),
+        ", ", quoted_list(F.col("dataset_columns")),
+    ), node="node_id", entity="identity_id")
 
 
 def annotation_targets(cat: Catalog) -> DataFrame:
-    repeated = _finding(_repeated(cat.annotations, "edge_id"), "duplicate_annotation", _text(
-        "annotation edge_id ", F.col("edge_id"), " is listed more than once"
-    ))
     asked = cat.annotations.select("edge_id").distinct()
     unknown = resolve_edges(cat, asked).where("status <> 'ok'")
-    return repeated.unionByName(_finding(unknown, "unknown_edge", _text(
-        "annotation references unknown edge ", F.col("edge_id")
-    )))
+    return _finding(unknown, "unknown_edge", _text("annotation references unknown edge ", F.col("edge_id")))
 
 
 # -- reports -------------------------------------------------------------------------------------

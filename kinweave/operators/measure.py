@@ -2,15 +2,23 @@
 
 The catalog declares claims and reads no data. A Spark user holds the data, so the same definitions
 can be checked: every function is one aggregation over the keys, or an anti-join of distinct keys.
+
+``measure_catalog`` checks all definitions at once: keys are dealt by entity and value, once, with one counter
+per definition, and folded to the few combinations of definitions that keys are found in. Everything about
+single definitions and pairs of them follows from those combinations.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kinweave.catalog import Catalog
+from kinweave.plans.lineage import cut
 
 
 def _complete(keys: list[str]) -> Column:
@@ -21,6 +29,84 @@ def distinct_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.where(_complete(keys)).select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys))).distinct()
 
 
+@dataclass(frozen=True)
+class Measured:
+    """A definition to measure: the columns of a table that hold keys of an entity."""
+
+    table: str
+    columns: tuple[str, ...]
+    entity: str
+
+    @property
+    def name(self) -> str:
+        return f"{self.table}:{','.join(self.columns)}"
+
+
+def key_combinations(tables: Mapping[str, DataFrame], definitions: Sequence[Measured]) -> DataFrame:
+    """One row per entity and combination of definitions that keys are found in.
+
+    ``b<i>`` is 0, 1 or 2 if definition i holds such a key in no, one or several records, ``s<i>`` counts its
+    records, ``keys`` the keys; ``absent`` marks records whose key is not complete. Each table is read once;
+    the counters are added up before the shuffle, so a key that most records hold travels as one row a task.
+    """
+    parts = []
+    for table in dict.fromkeys(d.table for d in definitions):
+        own = [(i, d) for i, d in enumerate(definitions) if d.table == table]
+        held = F.array(*[F.struct(
+            F.lit(i).alias("def"), F.lit(d.entity).alias("entity"),
+            F.when(_complete(list(d.columns)), F.array(*[F.col(c).cast("string") for c in d.columns])).alias("key"),
+        ) for i, d in own])
+        parts.append(tables[table].select(F.explode(held).alias("d")).select("d.*"))
+    numbers = range(len(definitions))
+    keys = reduce(DataFrame.unionByName, parts).groupBy("entity", "key").agg(*[F.count_if(F.col("def") == i).alias(f"c{i}") for i in numbers])
+    found = keys.groupBy(
+        "entity", F.col("key").isNull().alias("absent"), *[F.least(F.col(f"c{i}"), F.lit(2)).alias(f"b{i}") for i in numbers]
+    ).agg(F.count("*").alias("keys"), *[F.sum(f"c{i}").alias(f"s{i}") for i in numbers])
+    return cut(found)
+
+
+def measure_catalog(tables: Mapping[str, DataFrame], definitions: Sequence[Measured]) -> tuple[DataFrame, DataFrame]:
+    """What ``measure_key`` says of every definition, and ``containment_evidence`` of every pair on one entity.
+
+    ``(definition, entity, record_count, key_count, null_count, unique, total)`` and ``(entity, left, right,
+    shared_count, left_only_count, right_only_count, left_conforms, right_conforms, conflict_if_complete)``.
+    Definitions of empty tables have zeros. Pairs come once, in the order of ``definitions``.
+    """
+    found = key_combinations(tables, definitions)
+    spark = found.sparkSession
+    single = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("def"), F.col(f"b{i}").alias("b"), F.col(f"s{i}").alias("s")) for i in range(len(definitions))]))
+    held = found.select("absent", "keys", single.alias("d")).select("absent", "keys", "d.*").where("b > 0")
+    counted = held.groupBy("def").agg(
+        F.sum("s").alias("record_count"), F.sum(F.when(~F.col("absent"), F.col("keys"))).alias("key_count"),
+        F.sum(F.when(F.col("absent"), F.col("s"))).alias("null_count"), F.max(F.when(~F.col("absent"), F.col("b"))).alias("most"),
+    )
+    names = spark.createDataFrame([(i, d.name, d.entity) for i, d in enumerate(definitions)], "def int, definition string, entity string")
+    zero = lambda name: F.coalesce(name, F.lit(0)).cast("bigint")
+    each = names.join(counted, "def", "left").select(
+        "definition", "entity", *[zero(c).alias(c) for c in ("record_count", "key_count", "null_count")],
+        (zero("most") <= 1).alias("unique"), (zero("null_count") == 0).alias("total"))
+
+    paired = [(i, j) for i, j in combinations(range(len(definitions)), 2) if definitions[i].entity == definitions[j].entity]
+    listed = spark.createDataFrame(
+        [(i, j, definitions[i].entity, definitions[i].name, definitions[j].name) for i, j in paired],
+        "i int, j int, entity string, left string, right string")
+    if not paired:
+        evidence = found.select(F.lit(0).alias("i"), F.lit(0).alias("j"), *[F.lit(0).alias(c) for c in ("both", "one", "other")]).limit(0)
+    else:
+        pair = F.explode(F.array(*[F.struct(
+            F.lit(i).alias("i"), F.lit(j).alias("j"), (F.col(f"b{i}") > 0).alias("l"), (F.col(f"b{j}") > 0).alias("r")) for i, j in paired]))
+        sides = found.where("not absent").select("keys", pair.alias("p")).select("keys", "p.*").where("l or r")
+        evidence = sides.groupBy("i", "j").agg(
+            F.sum(F.when(F.expr("l and r"), F.col("keys"))).alias("both"), F.sum(F.when(F.expr("l and not r"), F.col("keys"))).alias("one"),
+            F.sum(F.when(F.expr("r and not l"), F.col("keys"))).alias("other"))
+    pairs = listed.join(evidence, ["i", "j"], "left").select(
+        "entity", "left", "right", zero("both").alias("shared_count"), zero("one").alias("left_only_count"), zero("other").alias("right_only_count"))
+    return each, pairs.withColumns({
+        "left_conforms": F.col("left_only_count") == 0, "right_conforms": F.col("right_only_count") == 0,
+        "conflict_if_complete": F.col("left_only_count") + F.col("right_only_count") > 0})
+
+
 def measure_key(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row: ``unique`` (no key in two records), ``total`` (no record without a key), and counts."""
     per_key = df.groupBy(*keys).agg(F.count("*").alias("_n"))

@@ -295,6 +295,8 @@ SELECT req_id, rank, len(edges) AS edge_count, array_to_string(list_transform(ed
 
     return {
         "neighbourhood": ORDER_MEMBERS + seeds + levels + "SELECT req_id, node_id, distance, rank, reached, 'ok' AS status FROM ranked WHERE rank <= 1000",
+        "customer_neighbourhood": ORDER_MEMBERS + ", " + LARGEST + ", req AS (" + largest("c_custkey") + ")" + levels
+        + "SELECT req_id, node_id, distance, rank, reached, 'ok' AS status FROM ranked WHERE rank <= 20",
         "neighbourhood_edges": ORDER_MEMBERS + seeds + levels + """, kept AS (SELECT * FROM ranked WHERE rank <= 60)
 , src AS (SELECT k.req_id, m.*, size - 1 AS edge_count FROM kept k JOIN m USING (node_id) WHERE distance < 2 AND size > 1)
 , tgt AS (SELECT k.req_id, m.identity_id, m.ord FROM kept k JOIN m USING (node_id))
@@ -450,5 +452,113 @@ FROM (SELECT *, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE cast(doc_id AS VARCHAR)
     }
 
 
+#: (table, columns, entity): the definitions that are measured together.
+MEASURED = (
+    ("lineitem", "l_orderkey", "order"), ("orders", "o_orderkey", "order"), ("orders", "o_custkey", "customer"), ("customer", "c_custkey", "customer"),
+    ("lineitem", "l_partkey", "part"), ("part", "p_partkey", "part"), ("lineitem", "l_suppkey", "supplier"), ("supplier", "s_suppkey", "supplier"),
+    ("customer", "c_nationkey", "nation"), ("supplier", "s_nationkey", "nation"), ("nation", "n_nationkey", "nation"), ("nation", "n_regionkey", "region"),
+    ("region", "r_regionkey", "region"), ("documents", "doc_id", "document"), ("labels", "doc_id", "document"), ("benchmark", "item_id", "item"),
+    ("lineitem", "l_orderkey,l_linenumber", "line"), ("conversations", "conv_id,turn", "turn"), ("events", "user_id,event_type", "action"),
+    ("events", "user_id", "user"), ("embeddings", "vec_id", "vector"), ("pages", "page_id", "page"), ("part", "p_name", "name"),
+)
+
+
+def _measures() -> dict[str, str]:
+    def keys(columns: str) -> str:
+        return ", ".join(f"{c} AS k{i}" for i, c in enumerate(columns.split(",")))
+
+    def whole(columns: str) -> str:
+        return " AND ".join(f"{c} IS NOT NULL" for c in columns.split(","))
+
+    def sides(a: tuple, b: tuple, what: str) -> str:
+        x, y = (f"(SELECT DISTINCT {keys(c)} FROM {t} WHERE {whole(c)})" for t, c, _ in (a, b))
+        return f"(SELECT count(*) FROM ({x} {what} {y}))"
+
+    each = " UNION ALL ".join(f"""SELECT '{t}:{c}' AS definition, '{e}' AS entity, count(*) AS record_count,
+  count(DISTINCT CASE WHEN {whole(c)} THEN row({c}) END) AS key_count, count(*) FILTER (NOT ({whole(c)})) AS null_count,
+  count(DISTINCT CASE WHEN {whole(c)} THEN row({c}) END) = count(*) FILTER ({whole(c)}) AS "unique", count(*) FILTER (NOT ({whole(c)})) = 0 AS total FROM {t}"""
+                             for t, c, e in MEASURED)
+    pairs = " UNION ALL ".join(f"""SELECT '{a[2]}' AS entity, '{a[0]}:{a[1]}' AS "left", '{b[0]}:{b[1]}' AS "right", {sides(a, b, 'INTERSECT')} AS shared_count,
+  {sides(a, b, 'EXCEPT')} AS left_only_count, {sides(b, a, 'EXCEPT')} AS right_only_count"""
+                              for i, a in enumerate(MEASURED) for b in MEASURED[i + 1 :] if a[2] == b[2])
+    return {
+        "measured_definitions": each,
+        "measured_pairs": f"""SELECT *, left_only_count = 0 AS left_conforms, right_only_count = 0 AS right_conforms,
+  left_only_count + right_only_count > 0 AS conflict_if_complete FROM ({pairs})""",
+    }
+
+
+def _rules() -> dict[str, str]:
+    """One branch per rule of the integrity checks."""
+    base = """WITH c AS (SELECT c_custkey AS k, 'c:' || c_custkey AS node, 'nation:' || c_nationkey AS nation FROM customer),
+i AS (SELECT n_nationkey AS n, 'nation:' || n_nationkey AS id FROM nation WHERE n_nationkey % 6 <> 0),
+r AS (SELECT s_suppkey AS s, 'nation:' || s_nationkey AS l, CASE WHEN s_suppkey % 31 = 0 THEN ' ' ELSE 'nation:' || s_suppkey % 25 END AS r FROM supplier),
+e AS (SELECT *, '[''' || l || ''', ''' || r || ''']' AS ends FROM r),
+own AS (SELECT min(node) AS node FROM c WHERE k % 11 = 0)
+"""
+    rows = [
+        ("duplicate_identity", "NULL", "id", "'identity_id values must be unique'", "i WHERE n % 4 = 1"),
+        ("duplicate_accessor", "c.node", "NULL", "'datasets ''' || own.node || ''' and ''' || c.node || ''' have the same accessor kind, endpoint, and properties'",
+         "c, own WHERE k % 11 = 0 AND c.node > own.node"),
+        ("duplicate_column", "node", "NULL", "'column ''id'' is listed more than once'", "c WHERE k % 7 = 0"),
+        ("missing_column", "node", "nation", "'entity definition ''' || nation || ''' uses missing columns: [''a'', ''b'']'", "c WHERE k % 5 = 1"),
+        ("duplicate_definition", "node", "nation", "'entity definition on [''id''] is listed more than once'", "c WHERE k % 5 = 2"),
+        ("column_list", "node", "nation", "'entity definition dataset_columns contains duplicates'", "c WHERE k % 5 = 0"),
+        ("column_list", "node", "nation", "'entity definition dataset_columns is not in ascending order'", "c WHERE k % 5 = 1"),
+        ("column_list", "node", "NULL", "'grain dataset_columns is empty'", "c WHERE k % 13 = 2"),
+        ("unknown_identity", "node", "nation", "'node ' || node || ' references unknown logical entity ' || nation", "c WHERE nation NOT IN (SELECT id FROM i)"),
+        ("grain_column", "node", "NULL", "'grain uses missing column ''gone'''", "c WHERE k % 13 = 0"),
+        ("grain_definition", "node", "'nation:x'", "'grain component does not resolve to an entity definition: ''nation:x'', [''id'']'", "c WHERE k % 13 = 1"),
+        ("complete_must_conform", "node", "nation", "'a complete entity definition conforms by definition'",
+         "c, range(1, 3) t(x) WHERE k % 23 = 0 AND k % 19 <> 0 AND (x = 1 OR k % 5 = 2)"),
+        ("claim_domain", "node", "nation", "'entity_universe must be one of complete, partial, unknown'", "c, range(1, 3) t(x) WHERE k % 19 = 0 AND (x = 1 OR k % 5 = 2)"),
+        ("blank", "node", "nation", "'entity_expression must not be blank'", "c, range(1, 3) t(x) WHERE k % 29 = 0 AND (x = 1 OR k % 5 = 2)"),
+        ("blank", "node", "NULL", "'qualified_name must not be blank'", "c WHERE k % 17 = 0"),
+        ("blank", "NULL", "id", "'name must not be blank'", "i, range(1, 3) t(x) WHERE n % 5 = 0 AND (x = 1 OR n % 4 = 1)"),
+        ("endpoints", "NULL", "l", "'endpoints must not be blank: ' || ends", "e WHERE r = ' '"),
+        ("endpoints", "NULL", "l", "'endpoints must be in ascending lexical order: ' || ends", "e WHERE l > r"),
+        ("claim_domain", "NULL", "l", "'multiplicity must be one of 1:1, 1:many, many:1, many:many, unknown'", "e WHERE s % 4 = 0"),
+        ("claim_domain", "NULL", "l", "'me_right must be one of always, optional, unknown'", "e WHERE s % 9 = 0"),
+        ("descriptions", "NULL", "l", "'descriptions must not be empty'", "e WHERE s % 3 = 0"),
+        ("descriptions", "NULL", "l", "'descriptions must not be blank'", "e WHERE s % 3 = 1"),
+        ("descriptions", "NULL", "l", "'descriptions must be distinct'", "e WHERE s % 3 = 2 AND s % 8 = 2"),
+        ("duplicate_pair", "NULL", "l", "'cross-entity relationship ' || ends || ' is listed more than once'", "(SELECT l, r, ends FROM e GROUP BY ALL HAVING count(*) > 1)"),
+        ("unknown_identity", "NULL", "l",
+         "'cross-entity relationship ' || ends || ' references unknown logical entities [' || array_to_string(list_transform(u, lambda x: '''' || x || ''''), ', ') || ']'",
+         "(SELECT DISTINCT l, ends, list_filter(list_sort(list_distinct([l, r])), lambda x: NOT list_contains(ids, x)) AS u FROM e, (SELECT list(id) AS ids FROM i)) WHERE len(u) > 0"),
+        ("duplicate_annotation", "NULL", "NULL", "'annotation edge_id E' || k || ' is listed more than once'", "c WHERE k % 100 = 0"),
+        ("unknown_edge", "NULL", "NULL", "'annotation references unknown edge E' || k", "c WHERE k % 50 = 0"),
+    ]
+    return {"integrity_rules": base + " UNION ALL ".join(
+        f"SELECT '{rule}' AS rule, {node} AS node_id, {entity} AS identity_id, {message} AS message FROM {source}" for rule, node, entity, message, source in rows)}
+
+
+def _statuses() -> dict[str, str]:
+    requests = ", " + LARGEST + ", best AS (" + largest("c_custkey") + """)
+, req AS (SELECT req_id, CASE WHEN req_id % 4 = 0 THEN 'order:none' ELSE node_id END AS node_id,
+  CASE WHEN req_id % 4 = 1 THEN 'part:none' ELSE 'part:' || p END AS identity_id
+  FROM best LEFT JOIN (SELECT 'order:' || l_orderkey AS node_id, min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey) USING (node_id))"""
+    files = """WITH f AS (SELECT c_custkey AS k, c_custkey % 5 AS kind, 'c' || c_custkey || '.yaml' AS path FROM customer),
+s AS (SELECT * FROM f WHERE k % 7 <> 0), first_ AS (SELECT k, path FROM s WHERE kind = 4 ORDER BY k LIMIT 1)
+"""
+    return {
+        "edge_sources": ORDER_MEMBERS + requests + "SELECT req_id, ord AS s_ord, node_id AS s_node_id, identity_id AS s_identity_id FROM req JOIN m USING (node_id, identity_id)",
+        "edge_statuses": ORDER_MEMBERS + requests + """
+SELECT req_id, CASE WHEN req_id % 4 = 0 THEN 'unknown_dataset' WHEN req_id % 4 = 2 THEN 'unknown_identity'
+  WHEN identity_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM m WHERE m.node_id = req.node_id AND m.identity_id = req.identity_id) THEN 'no_definition' ELSE 'ok' END AS status FROM req""",
+        "ownership_findings": files + """SELECT path || ':$' AS location, 'yaml_syntax' AS rule, 'broken' AS message FROM f WHERE k % 7 = 0
+UNION ALL SELECT path || ':$', 'missing', 'collection file must contain nodes' FROM s WHERE kind = 1
+UNION ALL SELECT path || ':$.schema_version', 'conflicting_schema_version', 'schema_version conflicts with the manifest: 2' FROM s WHERE kind = 2
+UNION ALL SELECT path || ':$.logical_identities', 'collection_ownership', 'file is owned by nodes, not logical_identities' FROM s WHERE kind = 3
+UNION ALL SELECT s.path || ':$.nodes[0].node_id', 'duplicate_definition', 'already defined in ' || first_.path FROM s, first_ WHERE kind = 4 AND s.k > first_.k""",
+        "fingerprint_changes": """SELECT table_name, false AS layout_changes, table_name = 'definitions' AS row_changes
+FROM (SELECT unnest(['identities', 'datasets', 'columns', 'definitions', 'entity_relationships', 'annotations']) AS table_name)""",
+        "search_subjects": """WITH li AS (SELECT 'supplier:' || l_suppkey AS node_id, 'part:' || min(l_partkey) AS identity_id, 'line_' || l_linenumber AS dataset_columns, max(l_returnflag) AS flag
+  FROM lineitem GROUP BY l_suppkey, l_linenumber)
+SELECT 'D' || row_number() OVER (ORDER BY node_id, identity_id, dataset_columns) AS key, CASE flag WHEN 'R' THEN 'lower(' || dataset_columns || ')' END AS entity_expression,
+  node_id, identity_id, dataset_columns, 'conforms|entity_universe|total|unique' AS unknown_fields FROM li""",
+    }
+
+
 def all_sql() -> dict[str, str]:
-    return {**_sources(), **_relationships(), **_discovery(), **_traversal(), **_checks(), **_search(), **_documents()}
+    return {**_measures(), **_rules(), **_statuses(), **_sources(), **_relationships(), **_discovery(), **_traversal(), **_checks(), **_search(), **_documents()}

@@ -140,6 +140,20 @@ def manifest_findings(spark, folder):
     return collections.manifest_findings(entries, there.unionByName(other))
 
 
+@query
+def ownership_findings(spark, folder):
+    """A collection file of nodes per customer; what is wrong with it depends on the key."""
+    key = F.col("c_custkey")
+    kind, text = key % 5, key.cast("string")
+    json = F.concat(
+        F.lit('{"schema_version":"'), F.when(kind == 2, "2").otherwise("1"), F.lit('"'), F.when(kind == 3, ',"logical_identities":{}').otherwise(""),
+        F.when(kind == 1, "").otherwise(F.concat(F.lit(',"nodes":[{"node_id":"'), F.when(kind == 4, "shared").otherwise(F.concat(F.lit("n"), text)), F.lit('"}]'))), F.lit("}"))
+    rows = read_table(spark, folder, "customer").select(key, F.concat(F.lit("c"), text, F.lit(".yaml")).alias("path"), json.alias("json"))
+    files = rows.select("path", F.when(key % 7 != 0, F.col("json")).alias("json"), F.when(key % 7 == 0, "broken").alias("error"))
+    entries = rows.select(F.lit("1").alias("schema_version"), F.lit("nodes").alias("collection"), "path", key.alias("place"), F.lit("$.nodes").alias("location"))
+    return collections.ownership_findings(entries, cut(files))
+
+
 # -- identifiers and relationships ---------------------------------------------------------------
 
 
@@ -262,6 +276,31 @@ def fan_out(spark, folder):
     return discovery.fan_out(cat, cut(_customer_requests(spark, folder)), threshold=100)
 
 
+def _filtered_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Each customer's largest order with the part of its first line; every fourth names an order, a part or a target that is not there."""
+    line = read_table(spark, folder, "lineitem").groupBy(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("node_id")).agg(F.min("l_partkey").alias("p"))
+    kind = F.col("req_id") % 4
+    return cut(_customer_requests(spark, folder).join(line, "node_id", "left").select(
+        "req_id", F.when(kind == 0, "order:none").otherwise(F.col("node_id")).alias("node_id"),
+        F.when(kind == 1, "part:none").otherwise(F.concat(F.lit("part:"), F.col("p").cast("string"))).alias("identity_id"),
+        F.when(kind == 2, F.array(F.lit("part:none"))).alias("targets")))
+
+
+@query
+def edge_sources(spark, folder):
+    """The definitions of one entity that the edges of each customer's largest order leave from."""
+    cat = _catalog("order", spark, folder)
+    return discovery.edge_sources(cat, _filtered_requests(spark, folder)).select("req_id", "s_ord", "s_node_id", "s_identity_id")
+
+
+@query
+def edge_statuses(spark, folder):
+    """Whether each of these requests names what exists."""
+    cat = _catalog("order", spark, folder)
+    requests = _filtered_requests(spark, folder)
+    return discovery.edge_request_status(cat, requests, discovery.edge_sources(cat, requests))
+
+
 @query
 def edge_histogram(spark, folder):
     cat = _catalog("order", spark, folder)
@@ -352,6 +391,13 @@ def neighbourhood(spark, folder):
     return traversal.expand(cat, _nation_seeds(spark, folder), 2, 1000).select("req_id", "node_id", "distance", "rank", "reached", "status")
 
 
+@query
+def customer_neighbourhood(spark, folder):
+    """The 20 nearest orders within two steps of each customer's largest one, and how many there are."""
+    cat = _catalog("order", spark, folder)
+    return traversal.expand(cat, _customer_requests(spark, folder), 2, 20).select("req_id", "node_id", "distance", "rank", "reached", "status")
+
+
 @query
 def neighbourhood_edges(spark, folder):
     cat = _catalog("order", spark, folder)
@@ -478,6 +524,58 @@ def integrity_findings(spark, folder):
     return integrity.integrity(_faulty_catalog(spark, folder)).select("rule", "node_id", "identity_id")
 
 
+def _broken_catalog(spark: SparkSession, folder: str) -> Catalog:
+    """A dataset per customer and a stated pair per supplier; which rule each breaks depends on its key."""
+    key, n = F.col("c_custkey"), F.col("c_nationkey")
+    node, nation = F.concat(F.lit("c:"), key.cast("string")), F.concat(F.lit("nation:"), n.cast("string"))
+    customer = read_table(spark, folder, "customer").select(key, n, node.alias("node_id"), nation.alias("nation"))
+    empty = F.array().cast("array<string>")
+
+    def component(columns: Column, identity: Column | None = None) -> Column:
+        identity = F.lit(None).cast("string") if identity is None else identity
+        part = F.struct(columns.cast("array<string>").alias("dataset_columns"), identity.alias("identity_id"), F.lit("").alias("description"))
+        return F.struct(F.array(part).alias("components"), F.lit("").alias("description"))
+
+    grain = F.when(key % 13 == 0, component(F.array(F.lit("gone")))).when(
+        key % 13 == 1, component(F.array(F.lit("id")), F.lit("nation:x"))).when(key % 13 == 2, component(empty))
+    name = F.concat(F.lit("q"), key.cast("string"))
+    datasets = customer.select(
+        "node_id", F.lit(0).alias("pos"), F.struct(
+            F.when(key % 17 == 0, "").otherwise(name).alias("qualified_name"), name.alias("display_name"), F.lit("").alias("description"),
+            empty.alias("synonyms"), empty.alias("tags")).alias("descriptor"),
+        F.struct(F.lit("table").alias("kind"), F.when(key % 11 == 0, "shared").otherwise(name).alias("endpoint"),
+                 F.create_map().cast("map<string,string>").alias("labels"), F.lit(None).cast("string").alias("properties")).alias("accessor"),
+        grain.alias("grain"))
+
+    def listed(twice: Column) -> Column:
+        return F.explode(F.sequence(F.lit(1), F.when(twice, 2).otherwise(1))).alias("time")
+
+    columns = customer.select("node_id", F.lit("id").alias("name"), listed(key % 7 == 0))
+    used = F.when(key % 5 == 0, F.array(F.lit("id"), F.lit("id"))).when(key % 5 == 1, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("id")))
+    definitions = customer.select(
+        "node_id", F.col("nation").alias("identity_id"), used.alias("dataset_columns"),
+        F.when(key % 19 == 0, "most").otherwise("complete").alias("entity_universe"), F.when(key % 23 == 0, F.lit(False)).alias("conforms"),
+        F.when(key % 29 == 0, F.array(F.lit(" "))).alias("entity_expression"), listed(key % 5 == 2))
+    m = F.col("n_nationkey")
+    identities = read_table(spark, folder, "nation").where(m % 6 != 0).select(
+        F.concat(F.lit("nation:"), m.cast("string")).alias("identity_id"), F.when(m % 5 != 0, F.col("n_name")).alias("name"), listed(m % 4 == 1))
+    s = F.col("s_suppkey")
+    one = F.array(F.lit("x"))
+    stated = read_table(spark, folder, "supplier").select(
+        F.concat(F.lit("nation:"), F.col("s_nationkey").cast("string")).alias("left_id"),
+        F.when(s % 31 == 0, " ").otherwise(F.concat(F.lit("nation:"), (s % 25).cast("string"))).alias("right_id"),
+        F.when(s % 4 == 0, "few").otherwise("1:1").alias("multiplicity"), F.lit("always").alias("me_left"), F.when(s % 9 != 0, "optional").alias("me_right"),
+        F.when(s % 3 == 0, empty).when(s % 3 == 1, F.array(F.lit(" "))).when(s % 8 == 2, F.array(F.lit("x"), F.lit("x"))).otherwise(one).alias("descriptions"))
+    annotations = customer.where(key % 50 == 0).select(F.concat(F.lit("E"), key.cast("string")).alias("edge_id"), listed(key % 100 == 0))
+    return Catalog(spark, datasets=datasets, columns=columns, definitions=definitions, identities=identities, entity_relationships=stated, annotations=annotations)
+
+
+@query
+def integrity_rules(spark, folder):
+    """Findings of every rule, with their messages."""
+    return integrity.integrity(_broken_catalog(spark, folder))
+
+
 @query
 def unknown_claims(spark, folder):
     return integrity.unknown_claims(_catalog("order", spark, folder)).select("object_kind", "claim", "location")
@@ -498,6 +596,21 @@ def catalog_fingerprint(spark, folder):
     return _catalog("order", spark, folder).fingerprint()
 
 
+@query
+def fingerprint_changes(spark, folder):
+    """Which table's fingerprint a new layout changes (none), and which one changed row (that of the definitions)."""
+    cat = _catalog("order", spark, folder)
+    dealt = Catalog(spark, **{name: getattr(cat, name).repartition(7) for name in ("identities", "datasets", "columns", "definitions")})
+    first = F.col("node_id") == cat.definitions.agg(F.min("node_id")).first()[0]
+    changed = Catalog(spark, identities=cat.identities, datasets=cat.datasets, columns=cat.columns, definitions=cat.definitions.withColumn(
+        "entity_universe", F.when(first, "other").otherwise(F.col("entity_universe"))))
+    rows = cat.fingerprint()
+    for name, other in (("layout_changes", dealt), ("row_changes", changed)):
+        rows = rows.join(other.fingerprint().select("table_name", F.col("fingerprint").alias("_f")), "table_name").withColumn(
+            name, F.col("_f") != F.col("fingerprint")).drop("_f")
+    return rows.drop("fingerprint")
+
+
 # -- text and search -----------------------------------------------------------------------------
 
 
@@ -546,6 +659,13 @@ def lexical_search(spark, folder):
     ).withColumn("matched_term", F.md5("matched_term"))
 
 
+@query
+def search_subjects(spark, folder):
+    """What a search shows of every definition."""
+    rows = search.subject_rows(_catalog("library", spark, folder), "entity_definition")
+    return rows.withColumns({"dataset_columns": _joined(F.col("dataset_columns")), "unknown_fields": _joined(F.col("unknown_fields"))})
+
+
 # -- documents -----------------------------------------------------------------------------------
 
 
@@ -639,3 +759,21 @@ def measured_containment(spark, folder):
         ).withColumn("key", F.lit(f"{table}:{key}"))
         result = row if result is None else result.unionByName(row)
     return result
+
+
+def _all_definitions() -> list[measure.Measured]:
+    return [measure.Measured(t, tuple(c.split(",")), e) for t, c, e in oracles.MEASURED]
+
+
+@query
+def measured_definitions(spark, folder):
+    """Every definition of every table: records, keys, repeats and gaps."""
+    tables = {d.table: read_table(spark, folder, d.table) for d in _all_definitions()}
+    return measure.measure_catalog(tables, _all_definitions())[0]
+
+
+@query
+def measured_pairs(spark, folder):
+    """Every two definitions of one entity: shared keys, keys of one side, and whether both can be complete."""
+    tables = {d.table: read_table(spark, folder, d.table) for d in _all_definitions()}
+    return measure.measure_catalog(tables, _all_definitions())[1]

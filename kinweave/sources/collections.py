@@ -83,22 +83,27 @@ OBJECTS = {
 def _yaml_to_json(content: pd.Series) -> pd.DataFrame:
     import yaml
 
-    def one(text):
-        try:
-            return json.dumps(yaml.safe_load(text), ensure_ascii=False, default=str), None
-        except yaml.YAMLError as error:
-            return None, str(error).splitlines()[0]
+    def one(data):
+        try:  # dates outside the calendar, NaN, mapping keys that are no text, other encodings, deep nesting: whatever is wrong is the file's
+            return json.dumps(yaml.safe_load(data), ensure_ascii=False, default=str, allow_nan=False), None
+        except Exception as error:
+            return None, (str(error).splitlines() or [type(error).__name__])[0]
 
-    return pd.DataFrame([one(text) for text in content], columns=["json", "error"])
+    return pd.DataFrame([one(data) for data in content], columns=["json", "error"])
 
 
 _yaml_to_json = _yaml_to_json.asNondeterministic()
 
 
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``(path, json, error)`` of YAML files; a file that cannot be parsed has its error."""
-    text = spark.read.text(paths, wholetext=True, recursiveFileLookup=True)
-    return cut(text.select(F.col("_metadata.file_path").alias("path"), _yaml_to_json("value").alias("p")).select("path", "p.*"))
+    """``(path, json, error)`` of YAML files; a file that cannot be read as YAML has its error, whatever is wrong with it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    return parse_files(files.select(F.col("_metadata.file_path").alias("path"), "content"))
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """``(path, json, error)`` of YAML given as ``(path, content)``, bytes as they are in the file."""
+    return cut(files.select("path", _yaml_to_json("content").alias("p")).select("path", "p.*"))
 
 
 def catalog_from_files(spark: SparkSession, files: DataFrame, version: str | None = None, **options) -> Catalog:
@@ -395,5 +400,5 @@ def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
     is_yaml = F.col("doc_id").rlike(SUFFIXES)
     as_json = text.where(~is_yaml).select("doc_id", F.col("value").alias("payload"))
-    parsed = text.where(is_yaml).select("doc_id", "value", _yaml_to_json("value").alias("p"))
+    parsed = text.where(is_yaml).select("doc_id", "value", _yaml_to_json(F.col("value").cast("binary")).alias("p"))
     return as_json.unionByName(parsed.select("doc_id", F.coalesce("p.json", "value").alias("payload")))

@@ -1,11 +1,13 @@
-"""Published catalogs: one folder per version, and a list of pointers that is appended to last.
+"""Published catalogs: one folder per attempt, and a list of pointers that is appended to last.
 
-A version folder is complete and checked before the pointer names it, so a failed publication leaves
-the current catalog as it was. Definitions are written clustered by entity and columns by dataset.
+A folder is complete and checked before a pointer names it, so a failed publication leaves the current
+catalog as it was, and its version free for the next attempt. Definitions are written clustered by entity and columns by dataset.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.catalog import TABLES, Catalog
@@ -15,8 +17,8 @@ from kinweave.sources.collections import NODE, STATED, catalog_of
 _CLUSTER = {"definitions": "identity_id", "columns": "node_id", "datasets": "node_id"}
 
 
-def _folder(root: str, version: str) -> str:
-    return f"{root.rstrip('/')}/version={version.replace(':', '-')}"
+def _attempt(version: str) -> str:
+    return f"version={version.replace(':', '-')}/attempt={uuid.uuid4().hex}"
 
 
 def publish(cat: Catalog, root: str, version: str | None = None) -> str:
@@ -24,7 +26,10 @@ def publish(cat: Catalog, root: str, version: str | None = None) -> str:
     version = version or cat.snapshot.agg(F.max("version")).first()[0]
     if not version:
         raise ValueError("a snapshot needs a version")
-    folder = _folder(root, version)
+    if _pointers(cat.spark, root).where(F.col("version") == version).limit(1).count():
+        raise ValueError(f"version {version} is published already")
+    place = _attempt(version)
+    folder = f"{root.rstrip('/')}/{place}"
     for name in TABLES:
         table = getattr(cat, name)
         if name == "snapshot":
@@ -37,18 +42,18 @@ def publish(cat: Catalog, root: str, version: str | None = None) -> str:
     if faults:
         raise ValueError(f"candidate {version} is not sound: {[f.message for f in faults]}")
     number = (_pointers(cat.spark, root).agg(F.max("number")).first()[0] or 0) + 1
-    pointer = cat.spark.range(1).select(F.lit(number).alias("number"), F.lit(version).alias("version"))
+    pointer = cat.spark.range(1).select(F.lit(number).alias("number"), F.lit(version).alias("version"), F.lit(place).alias("place"))
     pointer.coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/current")  # what is there stays until this is committed
     return version
 
 
 def _pointers(spark: SparkSession, root: str) -> DataFrame:
-    """(number, version) of every publication; the highest number is current."""
+    """(number, version, place) of every publication; the highest number is current."""
     folder = f"{root.rstrip('/')}/current"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], "number int, version string")
-    return spark.read.schema("number int, version string").json(folder)
+        return spark.createDataFrame([], "number int, version string, place string")
+    return spark.read.schema("number int, version string, place string").json(folder)
 
 
 def _read(spark: SparkSession, folder: str, block_rows: int) -> Catalog:
@@ -59,11 +64,14 @@ def _read(spark: SparkSession, folder: str, block_rows: int) -> Catalog:
 
 def load(spark: SparkSession, root: str, version: str | None = None, block_rows: int = 100_000) -> Catalog:
     """The current catalog, or the one of a named version."""
-    if version is None:
-        version = _pointers(spark, root).agg(F.max_by("version", F.struct("number", "version"))).first()[0]
-        if version is None:
-            raise ValueError(f"nothing is published below {root}")
-    return _read(spark, _folder(root, version), block_rows)
+    published = _pointers(spark, root)
+    if version is not None:
+        published = published.where(F.col("version") == version)
+    place = published.agg(F.max_by("place", F.struct("number", "version"))).first()[0]
+    if place is None:
+        what = "nothing is" if version is None else f"version {version} is not"
+        raise ValueError(f"{what} published below {root}")
+    return _read(spark, f"{root.rstrip('/')}/{place}", block_rows)
 
 
 # -- JSON artifacts --------------------------------------------------------------------------------

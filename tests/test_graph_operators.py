@@ -208,6 +208,42 @@ def test_expand(spark, depth, max_nodes, limit):
         assert {r.node_id for r in used if r.req_id == q} == named & set(inside)
 
 
+def test_many_requests_expand_together(spark):
+    """More requests than bits of one integer, each like a search of its own."""
+    defs = random_definitions(9, nodes=12, entities=8, count=24)
+    graph, cat = Graph(defs), catalog_of(spark, defs)
+    seeds = {f"q{i:03d}": [f"n{i % 12}"] + ([f"n{(i * 7) % 12}"] if i % 5 == 0 else []) for i in range(150)}
+    known = set(graph.nodes)
+    df = spark.createDataFrame([(q, n) for q, ns in seeds.items() for n in ns], "req_id string, node_id string")
+    rows = {}
+    for r in traversal.distances(cat, df, 2).collect():
+        assert rows.setdefault(r.req_id, {}).setdefault(r.node_id, r.distance) == r.distance
+    assert rows == {q: graph.distances([n for n in ns if n in known], 2) for q, ns in seeds.items() if set(ns) & known}
+    kept = traversal.expand(cat, df, 2, 3).where("status = 'ok'").collect()
+    got = {}
+    for r in sorted(kept, key=lambda r: r["rank"]):
+        got.setdefault(r.req_id, []).append((r.node_id, r.distance, r.reached))
+    for q, found in rows.items():
+        order = sorted(found.items(), key=lambda x: (x[1], x[0]))
+        assert got[q] == [(n, d, len(order)) for n, d in order[:3]]
+
+
+def test_no_window_spans_a_hub(spark):
+    """Ranks of a page come from windows over counted blocks."""
+    from pyspark.sql import functions as F
+
+    from kinweave.plans import paging
+
+    rows = spark.range(1000).select(F.lit(1).alias("g"), "id")
+    block = F.floor(F.col("id") / 64)
+    counts = paging.counted_blocks(rows, ["g"], block)
+    page = paging.page_of(rows, counts, ["g"], block, ["id"], 700, 5, "rank")
+    assert [(r.id, r["rank"]) for r in page.orderBy("id").collect()] == [(i, i + 1) for i in range(700, 705)]
+    plan = page._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "row_number()" in line and "Window" in line]
+    assert windows and all("_block" in line for line in windows)
+
+
 def brute_paths(graph, source, target, max_edges, allowed):
     """Every path by exhaustive search, in rank order."""
     found = []
@@ -251,6 +287,22 @@ def test_k_paths(spark, allowed):
     assert touched == {(r.req_id, n) for r in steps for n in (r.s_node_id, r.t_node_id)}
 
 
+@pytest.mark.parametrize("rows, wider", [(1, 2), (10**9, 3)])
+def test_k_paths_tries_again_with_more(spark, monkeypatch, rows, wider):
+    """A reverse search that stops at once lets prefixes die; nothing is lost for it."""
+    monkeypatch.setattr(paths, "REACH_ROWS", rows)
+    monkeypatch.setattr(paths, "WIDER", wider)
+    defs = random_definitions(12, nodes=10, entities=9, count=20)
+    graph, cat = Graph(defs), catalog_of(spark, defs)
+    pairs = [(a, b) for a in ("n0", "n1", "n2") for b in ("n4", "n7")]
+    reqs = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "req_id bigint, from_node_id string, to_node_id string")
+    found = paths.k_paths(cat, reqs, 2, 4).collect()
+    for i, (a, b) in enumerate(pairs):
+        every = brute_paths(graph, a, b, 4, None)
+        got = [([tuple(e) for e in r.edges], r.truncated) for r in sorted((r for r in found if r.req_id == i), key=lambda r: r["rank"])]
+        assert got == [(p, len(every) > 2) for p in every[:2]]
+
+
 def plain_tree(graph, terminals):
     """Region growth over listed edges, run to the end, then a spanning choice."""
     owner = {t: t for t in terminals}

@@ -124,6 +124,17 @@ def test_search_follows_the_rules(spark, library):
     assert {r.match_field for r in rows if r.kind == "dataset"} <= {"node_id", "display_name", "qualified_name", "tag", "accessor"}
 
 
+def test_prefixes_are_intervals_of_the_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(search, "TERM_BLOCK", 2)
+    terms = ["a", "ab", "abc", "abd", "b", "ba", "été", "éta", "z", "zz", "zzz", "a b", "a bc", "日本", "日本語"]
+    words = ["a", "ab", "abc", "c", "zz", "é", "日", "a b", "zzzz", "b"]
+    got = search.matched_terms(
+        spark.createDataFrame([(t,) for t in terms * 2], "term string"), spark.createDataFrame([(w,) for w in words * 2], "word string")).collect()
+    assert sorted(map(tuple, got)) == sorted((w, t) for w in words for t in terms if t.startswith(w))
+    nothing = spark.createDataFrame([], "word string")
+    assert search.matched_terms(spark.createDataFrame([("a",)], "term string"), nothing).count() == 0
+
+
 def test_subject_rows_and_postings(spark, library, tmp_path):
     cat, _ = library
     unknown = {r.key: r.unknown_fields for r in search.subject_rows(cat, "entity_definition").collect()}

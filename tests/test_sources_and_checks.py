@@ -55,6 +55,22 @@ def test_ingestion_refuses_or_reports(spark, tmp_path):
         ("good.yaml:$.nodes[0].columns[1].colour", "extra_forbidden")}
 
 
+def test_any_broken_file_is_a_finding(spark, tmp_path):
+    broken = {
+        "date.yaml": b"a: 2024-13-45", "nan.yaml": b"a: .nan", "key.yaml": b"2024-01-01: x", "latin.yaml": b"a: \xe9\xff", "tab.yaml": b"a:\n\t- b",
+        "deep.yaml": b"[" * 5000, "tag.yaml": b"a: !!python/object:os.system {}", "two.yaml": b"a: 1\n---\nb: 2",
+    }
+    for name, data in broken.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "wide.yaml").write_bytes('{"schema_version": "1", "logical_identities": {"k": {"name": "naïve"}}}'.encode("utf-16"))
+    files = collections.read_files(spark, str(tmp_path))
+    errors = {r.path.rsplit("/", 1)[1]: r.error for r in files.collect()}
+    assert {name for name, error in errors.items() if error} == set(broken)
+    found = collections.ingest_findings(files).collect()
+    assert {(r.location.rsplit("/", 1)[1], r.rule) for r in found} == {(f"{name}:$", "yaml_syntax") for name in broken}
+    assert all(r.message for r in found)
+
+
 def test_publish_and_load(cat, tmp_path, spark):
     root = str(tmp_path / "store")
     snapshots.publish(cat, root)
@@ -68,6 +84,12 @@ def test_publish_and_load(cat, tmp_path, spark):
     assert snapshots.load(spark, root).counts().first()["version"] == obs.VERSION
     snapshots.publish(cat, root, "2026-02-01T00:00:00Z")  # the last one published is current, not the greatest text
     assert snapshots.load(spark, root).counts().first()["version"] == "2026-02-01T00:00:00Z"
+    snapshots.publish(cat, root, "2027-01-01T00:00:00Z")  # a refused candidate does not take its version
+    assert snapshots.load(spark, root, "2027-01-01T00:00:00Z").counts().first()["version"] == "2027-01-01T00:00:00Z"
+    with pytest.raises(ValueError, match="already"):
+        snapshots.publish(cat, root, "2027-01-01T00:00:00Z")
+    with pytest.raises(ValueError, match="not published"):
+        snapshots.load(spark, root, "1999-01-01T00:00:00Z")
 
 
 def test_version_is_fixed_when_built(spark, tmp_path):
@@ -342,3 +364,31 @@ def test_measured_claims(spark):
     assert measure.measure_containment(df, ["b"], pop, ["k"]).first().entity_universe == "complete"
     e = measure.containment_evidence(df, ["a"], pop, ["k"]).first()
     assert (e.shared_count, e.left_only_count, e.right_only_count, e.conflict_if_complete) == (2, 0, 2, True)
+
+
+def test_measured_catalog_matches_brute_force(spark):
+    from itertools import combinations
+
+    from kinweave.operators import measure
+
+    rows = {"a": [(i % 5, "x" if i % 3 else None) for i in range(20)] + [(None, "y"), (0, "x")] * 3, "b": [(i, "x") for i in range(3, 9)], "c": []}
+    tables = {name: spark.createDataFrame(held, "k int, t string") for name, held in rows.items()}
+    wanted = [measure.Measured("a", ("k",), "e"), measure.Measured("b", ("k",), "e"), measure.Measured("c", ("k",), "e"),
+              measure.Measured("a", ("k", "t"), "f"), measure.Measured("b", ("k", "t"), "f"), measure.Measured("a", ("t",), "g")]
+    each, pairs = measure.measure_catalog(tables, wanted)
+
+    def keys(d):
+        at = [("k", "t").index(c) for c in d.columns]
+        return [tuple(r[i] for i in at) for r in rows[d.table]]
+
+    whole = {d: [k for k in keys(d) if None not in k] for d in wanted}
+    assert {tuple(r) for r in each.collect()} == {
+        (d.name, d.entity, len(keys(d)), len(set(whole[d])), len(keys(d)) - len(whole[d]), len(set(whole[d])) == len(whole[d]), len(whole[d]) == len(keys(d)))
+        for d in wanted}
+    expected = set()
+    for a, b in combinations(wanted, 2):
+        if a.entity == b.entity:
+            x, y = set(whole[a]), set(whole[b])
+            expected.add((a.entity, a.name, b.name, len(x & y), len(x - y), len(y - x), x <= y, y <= x, x != y))
+    assert {tuple(r) for r in pairs.collect()} == expected
+    assert measure.measure_catalog({"a": tables["a"]}, wanted[:1])[1].count() == 0

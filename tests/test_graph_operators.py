@@ -287,20 +287,19 @@ def test_k_paths(spark, allowed):
     assert touched == {(r.req_id, n) for r in steps for n in (r.s_node_id, r.t_node_id)}
 
 
-@pytest.mark.parametrize("rows, wider", [(1, 2), (10**9, 3)])
-def test_k_paths_tries_again_with_more(spark, monkeypatch, rows, wider):
+def test_k_paths_tries_again_with_more(spark, monkeypatch):
     """A reverse search that stops at once lets prefixes die; nothing is lost for it."""
-    monkeypatch.setattr(paths, "REACH_ROWS", rows)
-    monkeypatch.setattr(paths, "WIDER", wider)
+    monkeypatch.setattr(paths, "REACH_ROWS", 1)
+    monkeypatch.setattr(paths, "WIDER", 8)
     defs = random_definitions(12, nodes=10, entities=9, count=20)
     graph, cat = Graph(defs), catalog_of(spark, defs)
-    pairs = [(a, b) for a in ("n0", "n1", "n2") for b in ("n4", "n7")]
+    pairs = [(a, b) for a in ("n0", "n1") for b in ("n4", "n7")]
     reqs = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "req_id bigint, from_node_id string, to_node_id string")
-    found = paths.k_paths(cat, reqs, 2, 4).collect()
+    found = paths.k_paths(cat, reqs, 1, 3).collect()
     for i, (a, b) in enumerate(pairs):
-        every = brute_paths(graph, a, b, 4, None)
+        every = brute_paths(graph, a, b, 3, None)
         got = [([tuple(e) for e in r.edges], r.truncated) for r in sorted((r for r in found if r.req_id == i), key=lambda r: r["rank"])]
-        assert got == [(p, len(every) > 2) for p in every[:2]]
+        assert got == [(p, len(every) > 1) for p in every[:1]]
 
 
 def plain_tree(graph, terminals):

@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from kinweave.llm.common import carried, uncarried
 from kinweave.plans.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -106,7 +105,8 @@ def identify(docs: DataFrame, profiles: DataFrame, keep: list[str], length: int
     no profiles. Ties go to the first language in code point order. The profiles travel to every task:
     ``length`` entries per language. Columns of ``keep`` with the name of a result column give way to it.
     """
-    docs, renamed = carried(docs, keep, ("text",))
+    own = [c for c in dict.fromkeys(keep) if c not in ("lang_pred", "score")]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_kept_{i}") for i, c in enumerate(own)], F.col("text").alias("_text"))
     table: dict[str, dict[int, int]] = {}
     for row in profiles.collect():
         table.setdefault(row["lang"], {})[row["code"]] = row["place"] - 1
@@ -135,9 +135,8 @@ def identify(docs: DataFrame, profiles: DataFrame, keep: list[str], length: int
                 [*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
                 names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in docs.select(*renamed).schema)
-    found = docs.select(*renamed, "text").mapInArrow(run, f"{schema}lang_pred string, score double")
-    return uncarried(found, renamed).select(*[c for c in keep if c in renamed.values() and c not in ("lang_pred", "score")], "lang_pred", "score")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema[:-1])
+    return rows.mapInArrow(run, f"{schema}lang_pred string, score double").toDF(*own, "lang_pred", "score")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -314,35 +314,35 @@ def _page_by_position(cat: Catalog, requests: DataFrame, offset: int, limit: int
 
 
 def _page_by_rank(cat: Catalog, requests: DataFrame, offset: int, limit: int) -> DataFrame:
-    sources = edge_sources(cat, requests)
-    entities = _source_entities(requests, sources)
-    held = cat.join_postings(entities, "t_").drop("identity_id", "size", "_own").withColumn("node_id", F.col("t_node_id"))
-    chosen = _keep_targets(cat, requests, held).drop("node_id")
-    group = ["req_id", "t_identity_id"]
+    sources = edge_sources(cat, requests).join(requests.select("req_id", *_target_set(requests)), "req_id")
+    # What passes depends on the targets and the entity alone, so requests with the same ones share it.
+    entities = sources.select("_targets", F.col("s_identity_id").alias("identity_id"), F.col("s_size").alias("size")).distinct()
+    held = cat.join_postings(entities, "t_").drop("identity_id", "size")
+    passing = _datasets_with_all(cat, requests)
+    chosen = held.join(passing, (held["_targets"] == passing["_targets"]) & (held["t_node_id"] == passing["node_id"]), "left_semi")
+    group = ["_targets", "t_identity_id"]
     blocks = counted_blocks(chosen, group, F.col("t_entity_block"))
     counts = group_totals(blocks, group, "_n").withColumnRenamed("t_identity_id", "s_identity_id")
     top = page_of(chosen, blocks, group, F.col("t_entity_block"), ["t_ord"], offset, limit + 1, "_rank")
     # A source that passes its own target filter leaves its slot to the next definition.
-    own = requests.select("req_id", "node_id", *_target_set(requests))
-    passing = own.join(_datasets_with_all(cat, requests), ["_targets", "node_id"]).select(
-        "req_id", F.col("node_id").alias("s_node_id"), F.lit(1).alias("_self"))
+    own = passing.select("_targets", F.col("node_id").alias("s_node_id"), F.lit(1).alias("_self"))
     counted = _with_more(
-        sources.join(counts, ["req_id", "s_identity_id"])
-        .join(passing, ["req_id", "s_node_id"], "left")
+        sources.join(counts, ["_targets", "s_identity_id"])
+        .join(own, ["_targets", "s_node_id"], "left")
         .withColumn("_self", F.coalesce("_self", F.lit(0)))
         .withColumn("edge_count", F.col("_n") - F.col("_self"))
         .where("edge_count > 0").drop("_n"),
         offset + limit,
     )
     paired = counted.join(
-        top.withColumnRenamed("req_id", "_req"),
-        (F.col("req_id") == F.col("_req")) & (F.col("s_identity_id") == F.col("t_identity_id")),
+        top.withColumnRenamed("_targets", "_of"),
+        (F.col("_targets") == F.col("_of")) & (F.col("s_identity_id") == F.col("t_identity_id")),
     ).where("s_ord <> t_ord")
     rank = F.col("_rank") - (F.col("s_ord") < F.col("t_ord")).cast("int") * F.col("_self")
     return (
         paired.withColumn("rank", rank.cast("bigint"))
         .where(F.col("rank").between(offset + 1, offset + limit))
-        .drop("_rank", "_self", "_req")
+        .drop("_rank", "_self", "_of", "_targets")
     )
 
 

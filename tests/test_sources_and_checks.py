@@ -392,3 +392,30 @@ def test_measured_catalog_matches_brute_force(spark):
             expected.add((a.entity, a.name, b.name, len(x & y), len(x - y), len(y - x), x <= y, y <= x, x != y))
     assert {tuple(r) for r in pairs.collect()} == expected
     assert measure.measure_catalog({"a": tables["a"]}, wanted[:1])[1].count() == 0
+
+
+def test_stored_tables_keep_rows_and_ordinals(spark):
+    """Rows come back from columns below the checkpoint folder, in compressed form, with their ordinals."""
+    from pyspark.sql import functions as F
+
+    from kinweave.plans.lineage import stored
+    from kinweave.plans.ordinals import dense_ordinal
+
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("id"), F.lit("x" * 200).alias("t"), F.parse_json(F.lit('{"a":[1]}')).alias("v"))
+    kept = stored(rows)
+    assert kept.columns == rows.columns and kept.where("to_json(v) = '{\"a\":[1]}'").count() == 5000
+    assert all("/stored-" in name for name in kept.inputFiles())
+    assert dense_ordinal(rows.select("id", "t").repartition(9), ["id"]).where("ord <> id + 1").count() == 0
+
+
+def test_documents_are_walked_without_a_table_per_level(spark, monkeypatch):
+    """Only findings are materialised, however deep a document nests."""
+    made = []
+    cut = documents.cut
+    monkeypatch.setattr(documents, "cut", lambda df: made.append(df.columns) or cut(df))
+    docs = spark.createDataFrame([(1, '{"status":"draft","question":"q","edge_fields":["edge","edge_id"],"datasets":[{"node_id":7}],"odd":1}')], "doc_id int, payload string")
+    errors, unknown = documents._walk(documents._parse(docs))
+    assert made == [["doc_id", "location", "rule", "severity", "message"]]
+    assert {(r.location, r.rule) for r in errors.collect()} == {
+        ("$.datasets[0].node_id", "string_type"), ("$.datasets[0].qualified_name", "missing"), ("$.datasets[0].accessor", "missing")}
+    assert [(r.location, r.rule) for r in unknown.collect()] == [("$.odd", "unknown_key")]

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from kinweave.catalog import MEMBER_COLUMNS, Catalog
 from kinweave.operators.relationships import _check_page
-from kinweave.plans.ordinals import block_of
+from kinweave.plans.ordinals import block_of, blocks_between
 from kinweave.plans.paging import counted_blocks, group_totals, page_of
 
 HISTOGRAM_ROWS = 20  # fixed value
@@ -277,7 +277,7 @@ def edge_page(cat: Catalog, requests: DataFrame, offset: int = 0, limit: int = 2
     """Edges ``offset .. offset + limit`` of every source definition, in target order.
 
     ``edge_count`` covers the definition's whole selection. ``rank`` is 1-based over it. Without
-    targets the wanted positions are computed, so exactly the listed pairs are joined; with targets
+    targets the positions of the page are known, so only they are joined; with targets
     the selected postings are counted by block, and only blocks that hold the page are ranked.
     """
     _check_page(offset, limit)
@@ -303,14 +303,16 @@ def _page_by_position(cat: Catalog, requests: DataFrame, offset: int, limit: int
         edge_sources(cat, requests).withColumn("edge_count", F.col("s_size") - 1).where("edge_count > 0"),
         offset + limit,
     )
-    last = F.least(F.col("edge_count"), F.lit(offset + limit))
-    wanted = sources.where(F.col("edge_count") > offset).withColumn(
-        "rank", F.explode(F.sequence(F.lit(offset + 1).cast("bigint"), last.cast("bigint")))
-    ).withColumn("_pos", F.col("rank") + (F.col("rank") >= F.col("s_pos")).cast("bigint"))
-    t = cat.prefixed("t_")
-    return wanted.join(
-        t, (F.col("s_identity_id") == t.t_identity_id) & (F.col("_pos") == t.t_pos)
-    ).drop("_pos")
+    # Every source of an entity looks at the same positions, one more than a page for the source's own. Only these
+    # are read, and a hub's are repeated for each of its blocks.
+    t = cat.prefixed("t_").where(F.col("t_pos").between(offset + 1, offset + limit + 1)).withColumn(
+        "_block", blocks_between(F.lit(1), F.col("t_size"), cat.block_rows)
+    )
+    paired = sources.where(F.col("edge_count") > offset).join(
+        t, (F.col("s_identity_id") == t.t_identity_id) & (F.col("s_entity_block") == t["_block"])
+    ).where("s_pos <> t_pos")
+    rank = F.col("t_pos") - (F.col("t_pos") > F.col("s_pos")).cast("bigint")
+    return paired.withColumn("rank", rank).where(F.col("rank").between(offset + 1, offset + limit)).drop("_block")
 
 
 def _page_by_rank(cat: Catalog, requests: DataFrame, offset: int, limit: int) -> DataFrame:

@@ -29,6 +29,7 @@ BITS, PREFIXES = 17, (5, 7)
 #: More parts fit faster; on samples of this size one part is markedly more accurate.
 PARTS, SLICES, ROUNDS, EPOCHS, BATCH = 1, 16, 2, 5, 32
 SAMPLE = 20_000  # labelled documents to fit on, about
+SMALL_PIECE = 1 << 16  # bytes of text at a time: the arrays of features are many times as large
 
 
 @dataclass
@@ -127,7 +128,7 @@ def fit(rated: DataFrame, grades: int, bits: int = BITS) -> Model:
 
     def extract(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:
-            for piece in pieces(batch.column(1)):
+            for piece in pieces(batch.column(1), SMALL_PIECE):
                 index, counts = features(piece, bits)
                 part = batch.slice(piece.first, piece.last - piece.first)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -148,11 +149,13 @@ def fit(rated: DataFrame, grades: int, bits: int = BITS) -> Model:
             for batch in batch_iter:
                 numbers = batch.column(0).to_numpy()
                 for number in np.unique(numbers).tolist():
-                    held.setdefault(number, []).append(batch.filter(pa.array(numbers == number)))
-            for number, batches in held.items():
+                    held.setdefault(number, []).append(batch if (numbers == number).all() else batch.filter(pa.array(numbers == number)))
+            for number in list(held):
+                batches = held.pop(number)  # the rows are held once while the model is fitted
                 grade = np.concatenate([b.column(1).to_numpy() for b in batches])
-                index = np.concatenate([b.column(2).flatten().to_numpy() for b in batches])
                 counts = np.concatenate([pa.compute.list_value_length(b.column(2)).to_numpy() for b in batches]).astype(np.int64)
+                index = np.concatenate([b.column(2).flatten().to_numpy() for b in batches])
+                batches.clear()
                 new = _epochs(start, grade, index, counts, seed)
                 vector = np.concatenate([new.weights, new.thresholds])
                 yield pa.RecordBatch.from_pydict({
@@ -194,7 +197,7 @@ def grade_documents(docs: DataFrame, model: Model, keep: list[str], at_least: fl
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:
-            for piece in pieces(batch.column(0)):
+            for piece in pieces(batch.column(0), SMALL_PIECE):
                 index, counts = features(piece, bits)
                 t = tails(_sums(model.weights[index], counts) / np.sqrt(np.maximum(counts, 1)), model.thresholds)
                 part = batch.slice(piece.first, piece.last - piece.first)

@@ -1,12 +1,16 @@
 """Each stage on its own input, and all of them in a row."""
 
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from kinweave.llm import mixing, positional_index
+from kinweave.llm import mixing, ordinal_quality, positional_index
+from kinweave.llm.batches import PIECE, pieces
 from tests.llm.test_free_operators import shingle_links
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -86,3 +90,19 @@ def test_stages_take_empty_and_wide_tables(spark, none, wide, folder, corpus, tm
         assert out.where("shard < 0 or shard > 39").count() == 0 and out.columns[-2:] == ["shard", "slot"]
     else:
         assert out.columns == named.columns
+
+
+def test_features_are_taken_in_small_pieces():
+    text = pa.array([" ".join(f"word{(i * k) % 997}" for i in range(90)) for k in range(1, 900)])
+
+    def taken(limit):
+        tracemalloc.start()
+        parts = [ordinal_quality.features(piece) for piece in pieces(text, limit)]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), peak
+
+    taken(PIECE)  # the tables of powers are kept
+    large, small = taken(PIECE), taken(ordinal_quality.SMALL_PIECE)
+    assert (large[0] == small[0]).all() and (large[1] == small[1]).all()
+    assert small[2] < large[2] / 2

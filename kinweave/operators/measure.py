@@ -4,7 +4,7 @@ The catalog declares claims and reads no data. A Spark user holds the data, so t
 can be checked: every function is one aggregation over the keys, or an anti-join of distinct keys.
 
 ``measure_catalog`` checks all definitions at once: keys are dealt by entity and value, once, with one counter
-per definition, and folded to the few combinations of definitions that keys are found in. Everything about
+per definition that they can be found in, and folded to the few combinations of definitions that keys are found in. Everything about
 single definitions and pairs of them follows from those combinations.
 """
 
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from kinweave.catalog import Catalog
 from kinweave.plans.lineage import cut
@@ -42,27 +42,61 @@ class Measured:
         return f"{self.table}:{','.join(self.columns)}"
 
 
+def _shapes(tables: Mapping[str, DataFrame], definitions: Sequence[Measured]) -> dict[tuple[str, ...], list[list[int]]]:
+    """Definitions whose keys can meet (one entity, as many columns), by the types their keys are compared in.
+
+    A column that is a whole number in all of them stays one; others are compared as text, as whole numbers would
+    be against them.
+    """
+    together: dict[tuple[str, int], list[int]] = {}
+    for i, d in enumerate(definitions):
+        together.setdefault((d.entity, len(d.columns)), []).append(i)
+    shapes: dict[tuple[str, ...], list[list[int]]] = {}
+    for group in together.values():
+        whole = [
+            all(isinstance(tables[d.table].schema[d.columns[at]].dataType, T.IntegralType) for d in (definitions[i] for i in group))
+            for at in range(len(definitions[group[0]].columns))
+        ]
+        shapes.setdefault(tuple("bigint" if w else "string" for w in whole), []).append(group)
+    return shapes
+
+
 def key_combinations(tables: Mapping[str, DataFrame], definitions: Sequence[Measured]) -> DataFrame:
-    """One row per entity and combination of definitions that keys are found in.
+    """One row per entity, number of columns and combination of definitions that keys are found in.
 
     ``b<i>`` is 0, 1 or 2 if definition i holds such a key in no, one or several records, ``s<i>`` counts its
-    records, ``keys`` the keys; ``absent`` marks records whose key is not complete. Each table is read once;
-    the counters are added up before the shuffle, so a key that most records hold travels as one row a task.
+    records, ``keys`` the keys; ``absent`` marks records whose key is not complete. Every definition reads its own
+    columns only; keys travel in their types with one counter per definition that they can be found in. The
+    counters are added up before the shuffle, so a key that most records hold travels as one row a task.
     """
-    parts = []
-    for table in dict.fromkeys(d.table for d in definitions):
-        own = [(i, d) for i, d in enumerate(definitions) if d.table == table]
-        held = F.array(*[F.struct(
-            F.lit(i).alias("def"), F.lit(d.entity).alias("entity"),
-            F.when(_complete(list(d.columns)), F.array(*[F.col(c).cast("string") for c in d.columns])).alias("key"),
-        ) for i, d in own])
-        parts.append(tables[table].select(F.explode(held).alias("d")).select("d.*"))
     numbers = range(len(definitions))
-    keys = reduce(DataFrame.unionByName, parts).groupBy("entity", "key").agg(*[F.count_if(F.col("def") == i).alias(f"c{i}") for i in numbers])
-    found = keys.groupBy(
-        "entity", F.col("key").isNull().alias("absent"), *[F.least(F.col(f"c{i}"), F.lit(2)).alias(f"b{i}") for i in numbers]
-    ).agg(F.count("*").alias("keys"), *[F.sum(f"c{i}").alias(f"s{i}") for i in numbers])
-    return cut(found)
+    found = []
+    for types, groups in _shapes(tables, definitions).items():
+        keys, places = [f"k{at}" for at in range(len(types))], range(max(map(len, groups)))
+        parts = []
+        for number, group in enumerate(groups):
+            for place, i in enumerate(group):
+                columns = definitions[i].columns
+                whole = _complete(list(columns))
+                parts.append(tables[definitions[i].table].select(
+                    F.lit(number).alias("group"), (~whole).alias("absent"),
+                    *[F.when(whole, F.col(c).cast(t)).alias(k) for k, c, t in zip(keys, columns, types)],
+                    *[F.lit(1 if p == place else 0).cast("bigint").alias(f"n{p}") for p in places]))
+        held = reduce(DataFrame.unionByName, parts).groupBy("group", "absent", *keys).agg(*[F.sum(f"n{p}").alias(f"c{p}") for p in places])
+        folded = held.groupBy("group", "absent", *[F.least(F.col(f"c{p}"), F.lit(2)).alias(f"h{p}") for p in places]).agg(
+            F.count("*").alias("keys"), *[F.sum(f"c{p}").alias(f"t{p}") for p in places])
+        # From here on one row per combination: back to the numbers of all definitions.
+        own = {i: (number, place) for number, group in enumerate(groups) for place, i in enumerate(group)}
+        named = F.element_at(F.array(*[F.lit(definitions[group[0]].entity) for group in groups]), F.col("group") + 1)
+
+        def of(i: int, kind: str) -> Column:
+            if i not in own:
+                return F.lit(0).cast("bigint").alias(f"{'b' if kind == 'h' else 's'}{i}")
+            number, place = own[i]
+            return F.when(F.col("group") == number, F.col(f"{kind}{place}")).otherwise(0).cast("bigint").alias(f"{'b' if kind == 'h' else 's'}{i}")
+
+        found.append(folded.select(named.alias("entity"), "absent", *[of(i, "h") for i in numbers], "keys", *[of(i, "t") for i in numbers]))
+    return cut(reduce(DataFrame.unionByName, found))
 
 
 def measure_catalog(tables: Mapping[str, DataFrame], definitions: Sequence[Measured]) -> tuple[DataFrame, DataFrame]:

@@ -394,6 +394,22 @@ def test_measured_catalog_matches_brute_force(spark):
     assert measure.measure_catalog({"a": tables["a"]}, wanted[:1])[1].count() == 0
 
 
+def test_measured_keys_keep_their_types(spark, monkeypatch):
+    from kinweave.operators import measure
+
+    tables = {"a": spark.createDataFrame([(1, 7), (2, 7), (2, None)], "k int, n int"), "b": spark.createDataFrame([(2, "7"), (3, "x")], "k bigint, n string")}
+    wanted = [measure.Measured(t, c, e) for c, e in ((("k",), "e"), (("n",), "g"), (("k", "n"), "h")) for t in "ab"]
+    planned = []
+    monkeypatch.setattr(measure, "cut", lambda df: planned.append(df) or df)
+    each, pairs = measure.measure_catalog(tables, wanted)
+    got = {(r.entity, r.shared_count, r.left_only_count, r.right_only_count) for r in pairs.collect()}
+    assert got == {("e", 1, 1, 1), ("g", 1, 0, 1), ("h", 1, 1, 1)}  # whole numbers meet whole numbers, and text as text
+    assert {(r.definition, r.record_count, r.key_count, r.null_count) for r in each.collect()} == {
+        ("a:k", 3, 2, 0), ("b:k", 2, 2, 0), ("a:n", 3, 1, 1), ("b:n", 2, 2, 0), ("a:k,n", 3, 2, 1), ("b:k,n", 2, 2, 0)}
+    plan = planned[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "array(cast(" not in plan  # no row per definition, no list of texts as a key
+
+
 def test_stored_tables_keep_rows_and_ordinals(spark):
     """Rows come back from columns below the checkpoint folder, in compressed form, with their ordinals."""
     from pyspark.sql import functions as F

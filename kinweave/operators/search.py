@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from kinweave.catalog import Catalog
 from kinweave.functions import claims, ids, text
-from kinweave.plans.lineage import cut
+from kinweave.plans.lineage import cut, stored
 from kinweave.plans.ordinals import block_of, blocks_between, dense_ordinal
 
 # Kinds in output order, field order within a subject, match types by rank
@@ -29,6 +29,7 @@ _WORD_FIELDS = (("dataset", "qualified_name"), ("dataset", "canonical_name"), ("
 
 LAST = "\U0010ffff"  # behind every character of a term
 TERM_BLOCK = 256  # ordinals
+_RANK = 1 << 60  # above every ordinal: what a prefix match adds to it
 
 _ENTRY = "array<struct<field: int, value: string, descriptive: boolean>>"
 
@@ -138,17 +139,13 @@ def corpus(cat: Catalog, kinds: list[str] | None = None) -> DataFrame:
     values take no index.
     """
     labelled = subjects(cat, kinds).withColumn("sort_label", text.normalize_term(F.coalesce("label", F.lit(""))))
-    values = labelled.select(
-        "kind", "key", "ord", "sort_label", F.posexplode("entries").alias("_at", "_e")
-    ).select("kind", "key", "ord", "sort_label", "_at", "_e.*").where("value is not null").withColumn(
-        "normalized", text.normalize_term(F.col("value"))
-    )
-    kept = values.where(
-        (F.col("normalized") != "") & ~(F.col("descriptive") & text.is_placeholder(F.col("normalized")))
-    )
-    # A subject's values are its own few fields, so this window stays small.
-    order = W.partitionBy("kind", "key").orderBy("_at")
-    return kept.withColumn("value_idx", (F.row_number().over(order) - 1).cast("bigint")).drop("_at", "descriptive")
+    # A subject's values are its own few fields: they are numbered inside their row, with no shuffle.
+    named = text.with_normalized_list(labelled, F.transform("entries", lambda e: e["value"]), "_normalized")
+    values = F.zip_with("entries", "_normalized", lambda e, n: F.struct(
+        e["field"].alias("field"), e["value"].alias("value"), e["descriptive"].alias("descriptive"), n.alias("normalized")))
+    kept = F.filter(values, lambda v: v["value"].isNotNull() & (v["normalized"] != "") & ~(v["descriptive"] & text.is_placeholder(v["normalized"])))
+    return named.select("kind", "key", "ord", "sort_label", F.posexplode(kept).alias("_at", "_v")).select(
+        "kind", "key", "ord", "sort_label", "_v.field", "_v.value", "_v.normalized", F.col("_at").cast("bigint").alias("value_idx"))
 
 
 def build_postings(values: DataFrame) -> DataFrame:
@@ -177,50 +174,59 @@ def search(
     """
     if not 1 <= limit <= 1000:
         raise ValueError("limit must be between 1 and 1000")
-    values = cut(corpus(cat, kinds)) if values is None else values
+    values = stored(corpus(cat, kinds)) if values is None else values
     asked = queries.select("query_id", text.normalize_term(F.col("query")).alias("q")).where("q <> ''")
-    best = _best_per_value(asked, values)
+    best, terms = _best_per_value(asked, values)
+    best = stored(best)
 
     subject = ["query_id", "kind", "key"]
-    ranked = best.groupBy(*subject).agg(
-        F.min("match.rank").alias("best"), F.first("sort_label").alias("sort_label"), F.first("ord").alias("ord")
-    )
+    ranked = best.groupBy(*subject).agg(F.min("rank").alias("best")).join(
+        values.select("kind", "key", "sort_label", "ord").distinct(), ["kind", "key"])
     totals = ranked.groupBy("query_id", "kind").agg(F.count("*").alias("total"))
     order = W.partitionBy("query_id", "kind").orderBy("best", "sort_label", "ord", "key")
-    top = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    rows = top.select(*subject, "rank").join(totals, ["query_id", "kind"]).join(best, subject)
-    inside = W.partitionBy(*subject).orderBy("match.rank", "field", "value_idx")
-    return rows.select(
-        *subject, F.col("rank").cast("bigint").alias("rank"),
+    top = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    # Texts and terms are read for what is shown only: a query can match most values of a catalog.
+    value = ["kind", "key", "value_idx"]
+    rows = top.select(*subject, "place").join(totals, ["query_id", "kind"]).join(best, subject).join(
+        values.select(*value, "field", "value"), value).join(terms, "ord", "left")
+    inside = W.partitionBy(*subject).orderBy("rank", "field", "value_idx")
+    return rows.withColumn("term", F.coalesce("words", "term")).select(
+        *subject, F.col("place").cast("bigint").alias("rank"),
         F.row_number().over(inside).cast("bigint").alias("match_rank"),
-        F.element_at(F.array(*map(F.lit, MATCH_TYPES)), F.col("match.rank") + 1).alias("match_type"),
+        F.element_at(F.array(*map(F.lit, MATCH_TYPES)), F.col("rank") + 1).alias("match_type"),
         field_name(F.col("kind"), F.col("field")).alias("match_field"),
-        F.col("match.term").alias("matched_term"), F.col("value").alias("matched_value"),
+        F.col("term").alias("matched_term"), F.col("value").alias("matched_value"),
         "total", (F.col("total") > limit).alias("truncated"),
     )
 
 
-def _best_per_value(asked: DataFrame, values: DataFrame) -> DataFrame:
-    """The best match of each value for each query: the lowest (rank, term)."""
+def _best_per_value(asked: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The best match of each value for each query, and the terms by ordinal.
+
+    ``(query_id, kind, key, value_idx, rank, ord, words)``: the lowest rank, and the first term by its ordinal in the
+    vocabulary; ``words`` is what a match word by word shows instead. Both are folded as one number. Word by word,
+    the names that a query's rarest word starts in are tested for its other words.
+    """
     value = ["kind", "key", "value_idx"]
     postings = build_postings(values)
     words = asked.where(F.col("q").contains(" "))
     each = words.select("query_id", "q", F.explode(F.array_distinct(F.split("q", " "))).alias("word"))
     # A name's words are terms as well, so one pass over the vocabulary serves both kinds of match.
-    started = cut(matched_terms(postings.select("term"), asked.select(F.col("q").alias("word")).unionByName(each.select("word"))))
-    whole = postings.join(started, "term").join(asked, F.col("word") == F.col("q")).select(
-        "query_id", *value, F.struct((F.col("term") != F.col("word")).cast("int").alias("rank"), "term").alias("match")
-    )
-    names = values.where(_is_word_field()).select(*value, "normalized")
-    starts = names.select(*value, "normalized", F.explode(F.array_distinct(F.split("normalized", " "))).alias("term"))
-    every = (
-        starts.join(started, "term").join(each, "word").groupBy("query_id", "q", *value, "normalized")
-        .agg(F.count_distinct("word").alias("_n"))
-        .where(F.col("_n") == F.size(F.array_distinct(F.split("q", " "))))
-    )
-    by_words = every.select("query_id", *value, _word_match(F.col("normalized"), F.col("q")).alias("match"))
-    best = whole.unionByName(by_words).groupBy("query_id", *value).agg(F.min("match").alias("match"))
-    return best.join(values.select(*value, "ord", "sort_label", "field", "value"), value)
+    started = cut(_started(postings.select("term"), asked.select(F.col("q").alias("word")).unionByName(each.select("word"))))
+    code = F.when(F.col("term") == F.col("word"), 0).otherwise(_RANK) + F.col("ord")
+    whole = postings.join(started.join(asked, F.col("word") == F.col("q")).select("query_id", "term", code.alias("code")), "term").groupBy(
+        "query_id", *value).agg(F.min("code").alias("code"))
+    names = values.where(_is_word_field()).select(*value, "normalized", F.explode(F.array_distinct(F.split("normalized", " "))).alias("term"))
+    reach = names.groupBy("term").agg(F.count("*").alias("n")).join(started, "term").groupBy("word").agg(F.sum("n").alias("n"))
+    rarest = each.join(reach, "word").groupBy("query_id", "q").agg(F.min(F.struct("n", "word"))["word"].alias("word"))
+    tried = rarest.join(started.select("word", "term"), "word").join(names, "term")
+    every = tried.where(F.forall(F.split("q", " "), lambda w: F.exists(F.split("normalized", " "), lambda h: F.startswith(h, w))))
+    by_words = every.groupBy("query_id", *value).agg(F.min(_word_match(F.col("normalized"), F.col("q"))).alias("_m"))
+    both = whole.join(by_words, ["query_id", *value], "full_outer")
+    best = both.select(
+        "query_id", *value, F.coalesce((F.col("code") >= _RANK).cast("int"), "_m.rank").alias("rank"),
+        (F.col("code") % _RANK).alias("ord"), F.when(F.col("code").isNull(), F.col("_m.term")).alias("words"))
+    return best, started.select("ord", "term").distinct()
 
 
 def _is_word_field() -> Column:
@@ -231,7 +237,12 @@ def _is_word_field() -> Column:
 
 
 def matched_terms(terms: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, term): which of the distinct terms start with which of the distinct words.
+    """(word, term): which of the distinct terms start with which of the distinct words."""
+    return _started(terms, words).select("word", "term")
+
+
+def _started(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, term, ord): as :func:`matched_terms`, with the term's place in the sorted vocabulary.
 
     Two marks per word enter the sorted vocabulary, one before and one after its terms; the terms between
     them are found by blocks of ordinals. Terms are normalised, so none holds the last code point.
@@ -244,7 +255,7 @@ def matched_terms(terms: DataFrame, words: DataFrame) -> DataFrame:
     spans = ordered.where("is_term = 0").groupBy("word").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
     spans = spans.where("last > first + 1").withColumn("block", blocks_between(F.col("first"), F.col("last"), TERM_BLOCK))
     listed = ordered.where("is_term = 1").select(F.col("text").alias("term"), "ord", block_of(F.col("ord"), TERM_BLOCK).alias("block"))
-    return spans.join(listed, "block").where((F.col("ord") > F.col("first")) & (F.col("ord") < F.col("last"))).select("word", "term")
+    return spans.join(listed, "block").where((F.col("ord") > F.col("first")) & (F.col("ord") < F.col("last"))).select("word", "term", "ord")
 
 
 def _word_match(normalized: Column, query: Column) -> Column:

@@ -124,6 +124,18 @@ def test_search_follows_the_rules(spark, library):
     assert {r.match_field for r in rows if r.kind == "dataset"} <= {"node_id", "display_name", "qualified_name", "tag", "accessor"}
 
 
+def test_values_are_numbered_in_their_row_and_texts_read_last(spark, library, monkeypatch):
+    cat, subjects = library
+    plan = search.corpus(cat, ["identity", "dataset"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    kept = []
+    monkeypatch.setattr(search, "stored", lambda df: kept.append(df.columns) or cut(df))
+    queries = spark.createDataFrame([("q", "main cust")], "query_id string, query string")
+    rows = search.search(cat, queries, 50).collect()
+    assert {(r.kind, r.key, r["rank"], r.match_rank): (r.match_type, r.matched_term, r.matched_value, r.total) for r in rows} == plain_search(subjects, "main cust", 50)
+    assert kept[-1] == ["query_id", "kind", "key", "value_idx", "rank", "ord", "words"]  # no value or label for each match
+
+
 def test_prefixes_are_intervals_of_the_vocabulary(spark, monkeypatch):
     monkeypatch.setattr(search, "TERM_BLOCK", 2)
     terms = ["a", "ab", "abc", "abd", "b", "ba", "été", "éta", "z", "zz", "zzz", "a b", "a bc", "日本", "日本語"]

@@ -394,6 +394,32 @@ def test_measured_catalog_matches_brute_force(spark):
     assert measure.measure_catalog({"a": tables["a"]}, wanted[:1])[1].count() == 0
 
 
+def test_relationship_pages_need_no_index(spark):
+    from kinweave import Catalog
+
+    pairs = [(f"a{i % 4}", f"b{i:02d}") for i in range(30)] + [("a0", "a0"), ("b01", "a1")]  # a self pair, and a pair stated from both ends
+    stated = spark.createDataFrame([(x, y, "1:many", "always", "optional", ["t"]) for x, y in pairs], "left_id string, right_id string, multiplicity string, me_left string, me_right string, descriptions array<string>")
+    names = spark.createDataFrame([(n, n.upper()) for n in sorted({x for p in pairs for x in p})], "identity_id string, name string")
+    place = {p: f"X{i}" for i, p in enumerate(sorted(pairs), 1)}
+    ends = [(x, y, place[x, y], "1:many") for x, y in pairs] + [(y, x, place[x, y], "many:1") for x, y in pairs if x != y]
+    for block_rows in (2, 1000):
+        for offset, limit in ((0, 3), (3, 4), (7, 100)):
+            cat = Catalog(spark, block_rows=block_rows, identities=names, entity_relationships=stated)
+            asked = spark.createDataFrame([(i, f"a{i}") for i in range(5)], "req_id bigint, identity_id string")
+            got = relationships.entity_relationships(cat, asked, offset, limit).collect()
+            for i in range(5):
+                own = sorted((e[1], e[2], e[3]) for e in ends if e[0] == f"a{i}")
+                rows = [r for r in got if r.req_id == i]
+                assert {(r.status, r.total) for r in rows} == {("ok" if i < 4 else "unknown_identity", len(own))}
+                shown = [r for r in rows if r["rank"] is not None]
+                assert sorted(r["rank"] for r in shown) == [n + 1 for n in range(len(own))][offset:offset + limit]
+                assert [r.other_id for r in sorted(shown, key=lambda r: r["rank"])] == [o for o, _, _ in own][offset:offset + limit]
+                assert {(r.other_id, r.id, r.multiplicity) for r in shown} <= set(own)
+            assert not {"members", "entities", "entity_ordinals"} & set(vars(cat))
+    bare = relationships.entity_relationships(cat, asked, 0, 3, with_ids=False).collect()
+    assert {r.id for r in bare} == {None} and max(r["rank"] or 0 for r in bare) == 3
+
+
 def test_measured_keys_keep_their_types(spark, monkeypatch):
     from kinweave.operators import measure
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.llm import label_sharding, metric_join, mixing, ordinal_quality, positional_index
+from kinweave.llm.common import arrow_rows
 from kinweave.llm.token_codes import shared_folder
-from kinweave.plans.lineage import cut
+from kinweave.plans.lineage import cut, stored
 
 SHARDS = 40
 ROW, ROW_TOO = "_row_key", "_row_key_too"
@@ -43,10 +44,15 @@ def _attached(docs: DataFrame, keyed: DataFrame, chosen: DataFrame, more: list[s
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps; it learns on the labelled ones among ``docs``."""
+    """Documents that the quality classifier keeps; it learns on the labelled ones among ``docs``.
+
+    They are stored here, where few rows travel to a worker at a time: the caller's write would send 10,000 texts.
+    """
     model = ordinal_quality.quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     plain = _renamed(docs)
-    return ordinal_quality.grade_documents(plain, model, plain.columns).where("kept").select(*plain.columns).toDF(*docs.columns)
+    with arrow_rows(spark, ordinal_quality.ROWS):
+        kept = stored(ordinal_quality.grade_documents(plain, model, plain.columns).where("kept").select(*plain.columns))
+    return kept.toDF(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

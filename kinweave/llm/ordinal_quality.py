@@ -20,6 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.llm.batches import Piece, lowered, mix, pieces, span_hashes, split
+from kinweave.llm.common import arrow_rows
 from kinweave.plans.lineage import cut
 from kinweave.plans.shipping import ship_by_value
 
@@ -29,6 +30,7 @@ BITS, PREFIXES = 17, (5, 7)
 #: More parts fit faster; on samples of this size one part is markedly more accurate.
 PARTS, SLICES, ROUNDS, EPOCHS, BATCH = 1, 16, 2, 5, 32
 SAMPLE = 20_000  # labelled documents to fit on, about
+ROWS = 1000  # rows sent to a worker at a time: workers keep the memory of their largest batch
 SMALL_PIECE = 1 << 16  # bytes of text at a time: the arrays of features are many times as large
 
 
@@ -125,6 +127,11 @@ def _average(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(rated: DataFrame, grades: int, bits: int = BITS) -> Model:
     """Fits on ``rated`` (doc_id, text, grade in 0 .. ``grades`` - 1); no rows give a model that keeps all."""
+    with arrow_rows(rated.sparkSession, ROWS):
+        return _fit(rated, grades, bits)
+
+
+def _fit(rated: DataFrame, grades: int, bits: int) -> Model:
 
     def extract(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from kinweave.llm import mixing, ordinal_quality, positional_index
+from kinweave.llm import mixing, ordinal_quality, positional_index, shared_keys
 from kinweave.llm.batches import PIECE, pieces
 from tests.llm.test_free_operators import shingle_links
 
@@ -106,3 +106,39 @@ def test_features_are_taken_in_small_pieces():
     large, small = taken(PIECE), taken(ordinal_quality.SMALL_PIECE)
     assert (large[0] == small[0]).all() and (large[1] == small[1]).all()
     assert small[2] < large[2] / 2
+
+
+def test_the_classifier_sends_few_texts_at_a_time(spark, docs, folder, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+
+    def noted(write):
+        def run(df):
+            seen.append(int(spark.conf.get(name)))
+            return write(df)
+
+        return run
+
+    for module, writer in ((ordinal_quality, "cut"), (pipeline, "stored")):
+        monkeypatch.setattr(module, writer, noted(getattr(module, writer)))
+    before = spark.conf.get(name)
+    assert rows(pipeline.classify(spark, docs, folder)) == rows(docs)
+    assert seen[-2:] == [ordinal_quality.ROWS] * 2  # features of the ratings, and the graded rows
+    assert spark.conf.get(name) == before
+
+
+def test_no_task_needs_two_workers_for_shared_keys(spark):
+    def extract(batch):
+        yield batch.column(0).to_numpy(), (batch.column(1).to_numpy() % 7).astype(np.uint64)
+
+    many = spark.createDataFrame([(i, i) for i in range(700)], "doc bigint, key bigint").repartition(1)  # every key is frequent
+    found = shared_keys.shared_keys(many, extract)
+    assert Counter(r.owner for r in found.collect()) == Counter({i: 100 for i in range(7)})
+
+    def check(node, above=False):
+        python = node.nodeName() == "MapInArrow"
+        assert not (above and python)
+        children = node.children()
+        for i in range(children.size()):
+            check(children.apply(i), (above or python) and not node.nodeName().startswith(("Repartition", "Join")))
+
+    check(found._jdf.queryExecution().optimizedPlan())

@@ -461,3 +461,15 @@ def test_documents_are_walked_without_a_table_per_level(spark, monkeypatch):
     assert {(r.location, r.rule) for r in errors.collect()} == {
         ("$.datasets[0].node_id", "string_type"), ("$.datasets[0].qualified_name", "missing"), ("$.datasets[0].accessor", "missing")}
     assert [(r.location, r.rule) for r in unknown.collect()] == [("$.odd", "unknown_key")]
+
+
+def test_a_changed_row_is_fingerprinted_in_the_same_pass(cat, spark):
+    first = F.col("node_id") == cat.definitions.agg(F.min("node_id")).first()[0]
+    other = Catalog(spark, datasets=cat.datasets, columns=cat.columns, identities=cat.identities, entity_relationships=cat.entity_relationships,
+                    annotations=cat.annotations, definitions=cat.definitions.withColumn("entity_universe", F.when(first, "other").otherwise(F.col("entity_universe"))))
+    before, after = (dict(tuple(r) for r in c.fingerprint().collect()) for c in (cat, other))
+    both = cat.fingerprint({"definitions": (first, {"entity_universe": F.lit("other")})}).collect()
+    assert {r.table_name: r.fingerprint for r in both} == before and {r.table_name: r.changed_fingerprint for r in both} == after
+    assert [name for name in before if before[name] != after[name]] == ["definitions"]
+    none = cat.fingerprint({"definitions": (F.lit(None).cast("boolean"), {"entity_universe": F.lit("other")})}).collect()
+    assert all(r.fingerprint == r.changed_fingerprint == before[r.table_name] for r in none)

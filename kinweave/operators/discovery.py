@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 
 from kinweave.catalog import MEMBER_COLUMNS, Catalog
 from kinweave.operators.relationships import _check_page
+from kinweave.plans.lineage import stored
 from kinweave.plans.ordinals import block_of, blocks_between
 from kinweave.plans.paging import counted_blocks, group_totals, page_of
 
@@ -131,10 +132,17 @@ def choose_view(count: Column, view: str = "auto", threshold: int = 200, first_p
 
 def _histogram(cat: Catalog, held: DataFrame) -> DataFrame:
     """Top entities of ``held(req_id, node_id, identity_id)`` by definitions, then ID."""
-    per_node = held.groupBy("req_id", "identity_id", "node_id").agg(F.count("*").alias("_n"))
-    groups = per_node.groupBy("req_id", "identity_id").agg(
+    return _top_entities(cat, held.groupBy("req_id", "identity_id", "node_id").agg(F.count("*").alias("_n")))
+
+
+def _top_entities(cat: Catalog, per_node: DataFrame) -> DataFrame:
+    """Top entities of ``per_node(req_id, identity_id, _n)``, one row per dataset with its definitions of the entity.
+
+    The groups are stored, as ranks and totals both read them; the shuffles that lead to them end there.
+    """
+    groups = stored(per_node.groupBy("req_id", "identity_id").agg(
         F.sum("_n").alias("entity_definition_count"), F.count("*").alias("dataset_count")
-    )
+    ))
     totals = groups.groupBy("req_id").agg(F.count("*").alias("logical_entity_count"))
     order = W.partitionBy("req_id").orderBy(F.desc("entity_definition_count"), "identity_id")
     top = groups.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HISTOGRAM_ROWS)
@@ -151,11 +159,16 @@ def _histogram(cat: Catalog, held: DataFrame) -> DataFrame:
 
 def entity_histogram(cat: Catalog, requests: DataFrame) -> DataFrame:
     """The other entities on the selected datasets."""
-    nodes = entity_primaries(cat, requests).select("req_id", "node_id", "node_first", "node_size", "_primary").distinct()
-    held = cat.join_definitions(nodes, "d_").where("d_identity_id <> _primary").select(
-        "req_id", "node_id", F.col("d_identity_id").alias("identity_id")
-    )
-    return _histogram(cat, held)
+    nodes = stored(entity_primaries(cat, requests).select("req_id", "node_id", "node_first", "node_size", "_primary").distinct())
+    first, last = (block_of(place, cat.block_rows) for place in (F.col("node_first"), F.col("node_first") + F.col("node_size") - 1))
+
+    def counted(some: DataFrame, *block: str) -> DataFrame:
+        held = cat.join_definitions(some, "d_").where("d_identity_id <> _primary")
+        return held.groupBy("req_id", "d_identity_id", "d_node_id", *block).agg(F.count("*").alias("_n")).select(
+            "req_id", F.col("d_identity_id").alias("identity_id"), "_n")
+
+    # A dataset that lies in one block has all its definitions in one task already; few lie in several.
+    return _top_entities(cat, counted(nodes.where(first == last), "d_node_block").unionByName(counted(nodes.where(first < last))))
 
 
 def entity_definition_page(

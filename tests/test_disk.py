@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from kinweave.operators import discovery
+from kinweave.operators import discovery, documents, relationships
 from kinweave.plans.lineage import stored
 from tests.graphs import catalog_of, random_definitions
 
@@ -44,3 +44,19 @@ def test_a_histogram_groups_its_datasets_once(spark):
     cat = catalog_of(spark, random_definitions(3), block_rows=100)
     found = discovery.entity_histogram(cat, spark.createDataFrame([(1, "e0"), (2, "e1")], "req_id bigint, identity_id string"))
     assert _exchanges(found) <= 4  # only ranks, totals and names are left; the groups are stored
+
+
+def test_a_lookup_never_sends_the_members_to_every_task(spark):
+    cat = catalog_of(spark, random_definitions(3))
+    asked = spark.createDataFrame([("D1-D2", "n0", None), ("D2-D1", "n0", None)], "edge_id string, from_node_id string, from_dataset_columns array<string>")
+    plan = relationships.looked_up(cat, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+
+
+def test_repeated_datasets_are_told_without_a_shuffle(spark):
+    names = ["b", "a", "b", None, "a", None, "c"]
+    document = spark.createDataFrame([(1, ["edge"], [(n,) for n in names])], "doc_id bigint, edge_fields array<string>, datasets array<struct<node_id: string>>")
+    rows = documents.document_datasets(document)
+    assert _exchanges(rows) == 0
+    assert {r.i: r.occurrence == 1 for r in rows.collect()} == {i: n not in names[:i] for i, n in enumerate(names)}
+    assert [(r.i, r.node_id) for r in rows.sort("i").collect()] == list(enumerate(names))

@@ -18,6 +18,7 @@ from kinweave.functions.canonical import (
 )
 from kinweave.functions.labels import json_string
 from kinweave.operators.relationships import resolve_edges
+from kinweave.plans.lineage import stored
 
 _SALTS = 32  # an accessor or identifier shared by very many rows is spread over this many keys
 KEY = ["node_id", "identity_id", "dataset_columns"]
@@ -58,12 +59,17 @@ def integrity(cat: Catalog) -> DataFrame:
 
     Rules on single rows are one array of faults per table. Repeated keys of all tables fold in one
     aggregation, and the references to columns, entities and definitions each meet their table once.
+    Definitions and columns are stored with what the rules read, as several do. The rules that shuffle store their
+    findings one after the other, so that the shuffles of one are gone before the next begins.
     """
-    return reduce(DataFrame.unionByName, [
-        dataset_faults(cat), column_faults(cat), definition_faults(cat), identity_faults(cat), relationship_faults(cat),
-        repeated_keys(cat), column_references(cat), identity_references(cat), grain_definitions(cat),
-        duplicate_accessors(cat), annotation_targets(cat),
-    ])
+    listed = Catalog(
+        cat.spark, datasets=cat.datasets, identities=cat.identities, entity_relationships=cat.entity_relationships, annotations=cat.annotations,
+        definitions=stored(cat.definitions.select(*KEY, "entity_universe", "conforms", "entity_expression")),
+        columns=stored(cat.columns.select("node_id", "name")),
+    )
+    rows = [rule(listed) for rule in (dataset_faults, column_faults, definition_faults, identity_faults, relationship_faults)]
+    keys = [stored(rule(listed)) for rule in (repeated_keys, column_references, identity_references, grain_definitions, duplicate_accessors)]
+    return reduce(DataFrame.unionByName, [*rows, *keys, annotation_targets(cat)])
 
 
 # -- rules on single rows ------------------------------------------------------------------------
@@ -215,7 +221,7 @@ def _grain_components(cat: Catalog) -> DataFrame:
 def column_references(cat: Catalog) -> DataFrame:
     """Columns that definitions and grains use and the dataset lacks; both meet the columns in one join."""
     used = cat.definitions.select(F.lit(False).alias("grain"), *KEY, F.explode("dataset_columns").alias("name")).unionByName(
-        _grain_components(cat).select("node_id", F.explode("dataset_columns").alias("name")).distinct().withColumn("grain", F.lit(True)),
+        _grain_components(cat).select("node_id", F.explode("dataset_columns").alias("name")).withColumn("grain", F.lit(True)),
         allowMissingColumns=True)
     absent = used.join(cat.columns.select("node_id", "name"), ["node_id", "name"], "left_anti")
     # A grain names each missing column, a definition lists them.
@@ -230,7 +236,7 @@ def identity_references(cat: Catalog) -> DataFrame:
     ends = F.array("left_id", "right_id")
     used = cat.definitions.select(F.lit(None).cast("array<string>").alias("ends"), "node_id", "identity_id").unionByName(
         cat.entity_relationships.select(ends.alias("ends"), F.lit(None).cast("string").alias("node_id"), F.explode(F.array_distinct(ends)).alias("identity_id")))
-    unknown = used.distinct().join(cat.identities.select("identity_id").distinct(), "identity_id", "left_anti")
+    unknown = used.join(cat.identities.select("identity_id").distinct(), "identity_id", "left_anti")
     found = unknown.groupBy("ends", "node_id", F.when(F.col("ends").isNull(), F.col("identity_id")).alias("one")).agg(
         F.array_sort(F.collect_set("identity_id")).alias("unknown"))
     message = F.when(F.col("ends").isNull(), _text("node ", F.col("node_id"), " references unknown logical entity ", F.col("one"))).otherwise(_text(

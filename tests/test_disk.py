@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from kinweave.operators import discovery, documents, relationships
+from kinweave.operators import discovery, documents, integrity, relationships
 from kinweave.plans.lineage import stored
 from tests.graphs import catalog_of, random_definitions
 
@@ -60,3 +60,10 @@ def test_repeated_datasets_are_told_without_a_shuffle(spark):
     assert _exchanges(rows) == 0
     assert {r.i: r.occurrence == 1 for r in rows.collect()} == {i: n not in names[:i] for i, n in enumerate(names)}
     assert [(r.i, r.node_id) for r in rows.sort("i").collect()] == list(enumerate(names))
+
+
+def test_findings_are_there_before_they_are_read(spark):
+    cat = catalog_of(spark, random_definitions(3), columns=spark.createDataFrame([("n0", "c0")], "node_id string, name string"))
+    found = integrity.integrity(cat)
+    assert _exchanges(found) <= 2  # annotations alone are looked up when the findings are read
+    assert "missing_column" in {r.rule for r in found.collect()}
